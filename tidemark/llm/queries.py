@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, resharding, topk_search, url_filters
+from . import media, neardup, packing, resharding, topk_search, url_filters
 
 #: Where the vocabularies of public tokenizers lie; a parameter of the queries that use them.
 TOKENIZERS = "/opt/tokenizers"
@@ -53,8 +53,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_topk_search": op2_topk_search, "op3_resharding": op3_resharding, "op5_media": op5_media, "op6_packing": op6_packing}
+    return {"op1_url_filters": op1_url_filters, "op2_topk_search": op2_topk_search, "op3_resharding": op3_resharding, "op5_media": op5_media, "op6_packing": op6_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 _URL_SQL = r"""

@@ -176,3 +176,54 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield mixed(np.array([(whole + 0x5851F42D4C957F2D * int(high - low)) % 2**64], np.uint64))
         else:
             yield np.empty(0, np.uint64)
+
+
+#: The most bits of an IdBitmap: 2 MB, whatever the input.
+BITMAP_BITS = 1 << 24
+
+
+class IdBitmap:
+    """A Bloom filter with one hash over a table's ids: sure of what is absent. Its size is bounded, so it can be sent to every task; a full one only lets more rows through to the exact join that follows."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        count = ids.count()
+        self.bits = min(BITMAP_BITS, 1 << max(10, (16 * count).bit_length()))
+        at = F.pmod(F.xxhash64(column), F.lit(self.bits))
+        rows = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect()
+        words = np.zeros(self.bits // 64, np.int64)
+        if rows:
+            words[[r["w"] for r in rows]] = [r["m"] for r in rows]
+        self.words = ids.sparkSession.sparkContext.broadcast(words)
+
+    def marked(self, df: DataFrame, column: str, flag: str) -> DataFrame:
+        """df with a flag that is false where the id is surely not in the table."""
+        words, bits = self.words, self.bits
+
+        @F.pandas_udf("boolean")
+        def hit(at: pd.Series) -> pd.Series:
+            x = at.to_numpy(np.int64)
+            return pd.Series((words.value[x >> 6] >> (x & 63) & 1).astype(bool))
+
+        return df.withColumn(flag, hit(F.pmod(F.xxhash64(column), F.lit(bits))))
+
+    def matching(self, df: DataFrame, column: str) -> DataFrame:
+        return self.marked(df, column, "_hit").where("_hit").drop("_hit")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) of the graph whose edges are the columns a and b.
+
+    Labels hook to the smallest label next to them, and hooks are shortened by pointer jumps, until no edge
+    joins two labels. Every round is a written table.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    while True:
+        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("component").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b")
+        hooks = written(ends.where("la <> lb").groupBy(F.greatest("la", "lb").alias("high")).agg(F.min(F.least("la", "lb")).alias("low")))
+        if hooks.isEmpty():
+            return labels
+        for _ in range(2):
+            on = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
+            hooks = hooks.join(on, "low", "left").select("high", F.coalesce("lower", "low").alias("low"))
+        labels = written(labels.join(hooks, labels["component"] == hooks["high"], "left").select("node", F.coalesce("low", "component").alias("component")))
