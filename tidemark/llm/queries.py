@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, neardup, packing, resharding, topk_search, url_filters
+from . import media, neardup, packing, quality, resharding, topk_search, toxicity, url_filters
 
 #: Where the vocabularies of public tokenizers lie; a parameter of the queries that use them.
 TOKENIZERS = "/opt/tokenizers"
@@ -48,17 +48,52 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", SEQUENCE)
+def held_out(column: str, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text, modulo `parts`, is `part`."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts == part
+
+
+def learnable(parts: int, part: int) -> Callable[[Column], Column]:
+    """For the fit of a model: the rows that are not held out."""
+    return lambda column: F.crc32(column.cast("string").cast("binary")) % parts != part
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable(3, 1))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learnable(5, 0))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.token_pieces(docs, f"{TOKENIZERS}/word_bpe_49k.json", SEQUENCE)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op2_topk_search": op2_topk_search, "op3_resharding": op3_resharding, "op5_media": op5_media, "op6_packing": op6_packing, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op1_url_filters": op1_url_filters,
+        "op2_topk_search": op2_topk_search,
+        "op3_resharding": op3_resharding,
+        "op4_toxicity": op4_toxicity,
+        "op5_media": op5_media,
+        "op6_packing": op6_packing,
+        "op9_quality": op9_quality,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
 
 
 _URL_SQL = r"""

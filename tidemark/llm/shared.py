@@ -140,20 +140,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z lower-cased; and where each text's words begin."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with a space before, between and after them, A-Z lower-cased; where each word `[^\\x20\\x09-\\x0D]+` starts and ends in them; and each text's first word."""
     raw, offsets = text_bytes(column)
     count = len(column)
-    lengths = np.diff(offsets)
-    spaced = np.full(len(raw) + count + 1, 32, np.uint8)  # a space before, between and after the texts
-    spaced[np.arange(len(raw)) + np.repeat(np.arange(1, count + 1), lengths)] = _LOWER[raw]
+    spaced = np.full(len(raw) + count + 1, 32, np.uint8)
+    spaced[np.arange(len(raw)) + np.repeat(np.arange(1, count + 1), np.diff(offsets))] = _LOWER[raw]
     word = ~_SPACE[spaced]
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
+    return spaced, starts, ends, np.searchsorted(starts, offsets + np.arange(count + 1))
+
+
+def hashed(spaced: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of bytes."""
     power, inverse = _powers(len(spaced) + 1)
     sums = np.cumsum(_BYTE[spaced] * power[: len(spaced)])
-    hashes = mixed((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
-    return hashes, np.searchsorted(starts, offsets + np.arange(count + 1))
+    return mixed((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, and each text's first word."""
+    spaced, starts, ends, begin = words_of(column)
+    return hashed(spaced, starts, ends), begin
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -227,3 +236,28 @@ def components(edges: DataFrame) -> DataFrame:
             on = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
             hooks = hooks.join(on, "low", "left").select("high", F.coalesce("lower", "low").alias("low"))
         labels = written(labels.join(hooks, labels["component"] == hooks["high"], "left").select("node", F.coalesce("low", "component").alias("component")))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, max_bytes: int, ones: float = 0.5, id_column: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], float]:
+    """[(text, label)] of at most `rows` labelled rows, a share `ones` of them of label 1 where there are as many, and the share of label 1 in all.
+
+    `allowed` says which labelled rows may be learned from. Rows are taken in the order of a hash of their id;
+    texts that would take the whole over `max_bytes` are left out of the sample, whole.
+    """
+    known = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id"))).distinct()
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = [F.xxhash64("id", F.lit(3)), F.col("id")]
+    most = int(rows * ones)
+    first = known.where("y = 1").orderBy(*order).limit(most)
+    chosen = first.unionByName(known.where("y = 0").orderBy(*order).limit(rows - most)).collect()
+    spark = docs.sparkSession
+    ids = F.broadcast(spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int"))  # `rows` at most
+    found = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "id").withColumn("n", F.octet_length("t"))
+    share = max(1, max_bytes // max(1, len(chosen))) * 8
+    sample, taken = [], 0
+    for r in sorted(found.where(F.col("n") <= share).select("id", "y", "t", "n").toLocalIterator(), key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % 2**64, r["t"])):
+        if taken + r["n"] <= max_bytes:
+            sample.append((r["t"], r["y"]))
+            taken += r["n"]
+    total = sum(counts.values())
+    return sample, (counts.get(1, 0) / total if total else 0.5)
