@@ -1,8 +1,50 @@
-"""A corpus in four stages."""
+"""A corpus in four stages: toxic documents go, poor ones go, one of each group of near copies stays, and what is left is packed into sequences."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import neardup, packing, quality, queries, toxicity
+from tidemark.llm.shared import IdBitmap, written
+
+TOXIC_FROM = 0.7
+GOOD_FROM = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under TOXIC_FROM."""
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(3, 1))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is GOOD_FROM or more."""
+    model = quality.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(5, 0))
+    return quality.score(docs, model).where(F.col("score") >= GOOD_FROM).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    gone = written(found.where("NOT kept").select("doc_id").distinct())
+    marked = IdBitmap(gone, "doc_id").marked(docs, "doc_id", "_maybe")
+    stay = marked.where("NOT _maybe").unionByName(marked.where("_maybe").join(gone, "doc_id", "left_anti"))
+    return stay.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents with their sequence and place."""
+    return queries.packed(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality classifier", keep_good), ("minhash near-dedup", one_of_each), ("best-fit packing", pack)]
+#: The models and the token ids can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs
