@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, neardup, packing, quality, resharding, topk_search, toxicity, url_filters
+from . import licenses, media, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
 
 #: Where the vocabularies of public tokenizers lie; a parameter of the queries that use them.
 TOKENIZERS = "/opt/tokenizers"
@@ -64,6 +64,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    rows = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    count = lambda c: (F.octet_length(c) / 4).cast("long")
+    return rows.select(
+        "doc_id", count("ids").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "path_score", count("merge_ids").alias("n_merge_ids"), F.crc32("merge_ids").alias("merge_ids_crc32"),
+        (F.col("decoded_text") == F.col("normal_text")).alias("round_trip"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learnable(5, 0))
@@ -91,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_media": op5_media,
         "op6_packing": op6_packing,
+        "op7_license_scans": op7_license_scans,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
