@@ -14,6 +14,8 @@ are pieces of their own; an empty table gives an empty one; other columns are no
 from __future__ import annotations
 
 import bisect
+import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ordered_prefix, written
+from .shared import as_array, ordered_prefix, passes, written
 
+#: Bytes of text that are cut into chunks at a time; the larger, the fewer chunks are looked up again.
+TEXTS_BYTES = 6 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Chunks between spaces whose ids a worker remembers; it forgets them all when there are more.
-REMEMBERED = 400_000
-_KNOWN: dict[str, dict[str, bytes]] = {}
+#: Chunks between spaces whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
+_KNOWN: dict[str, ChunkIds] = {}
 _TOKENIZERS: dict = {}
 
 
@@ -43,21 +47,70 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+#: Byte-level vocabularies write the bytes 33-126, 161-172 and 174-255 as the characters of those numbers, and the other bytes, in order, as those from 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
+
+
+class ChunkIds:
+    """Ids of the chunks of text between spaces, as little-endian unsigned 32-bit integers.
+
+    The tokenizer lower-cases, and none of its merges crosses a space, a line end or the border between a
+    letter and a mark; so a chunk is encoded once, and one that ends in a mark is its letters and the mark.
+    When a generation is full it becomes the old one, and only what is used again comes over.
+    """
+
+    def __init__(self, path: str):
+        self.encode = tokenizer(path).encode_batch_fast
+        self.merge = tokenizer(path).model.tokenize
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        young, old = self.young, self.old
+        absent = []
+        for c in chunks:
+            got = old.get(c)
+            if got is None:
+                absent.append(c)
+            else:
+                young[c] = got
+        stems = {c: c[:-1] for c in absent if len(c) > 1 and c[-1] in ".,;:!?" and c[-2].isalpha()}
+        plain = {*absent} - stems.keys() | {c[-1] for c in stems} | {*stems.values()}
+        order = []
+        merge, stable = self.merge, unicodedata.is_normalized
+        for c in plain:
+            if c in young:
+                continue
+            if c in old:
+                young[c] = old[c]
+            elif c.isalpha() and c == c.lower() and stable("NFC", c):
+                # letters alone are one word for the tokenizer, so its merges can be asked without the steps before them
+                young[c] = array("I", [t.id for t in merge(c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+            else:
+                order.append(c)
+        for low in range(0, len(order), 8192):
+            part = order[low : low + 8192]
+            for chunk, got in zip(part, self.encode(part, add_special_tokens=False), strict=True):
+                young[chunk] = np.array(got.ids, "<u4").tobytes()
+        for c, stem in stems.items():
+            young[c] = young[stem] + young[c[-1]]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        # str.lower is the tokenizer's own lower-casing but for the sigma that ends a word
+        split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        fresh = set().union(*split) - self.young.keys()
+        if fresh:
+            self.learn(fresh)
+        young = self.young
+        return [b"".join([young[c] for c in chunks]) for chunks in split]
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids. No merge of this kind of tokenizer crosses a space or a line end, so chunks between those are encoded once and remembered."""
-    known = _KNOWN.setdefault(path, {})
-    chunked = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = {c for chunks in chunked for c in chunks if c not in known}
-    if fresh:
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = {c for chunks in chunked for c in chunks}
-        order = list(fresh)
-        for low in range(0, len(order), 4096):
-            part = order[low : low + 4096]
-            for chunk, got in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join([known[c] for c in chunks]) for chunks in chunked]
+    if path not in _KNOWN:
+        _KNOWN[path] = ChunkIds(path)
+    return _KNOWN[path].of(texts)
 
 
 def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,8 +119,8 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_colu
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, len(whole), 512):
-                batch = whole.slice(low, 512)
+            for low, high in passes(as_array(whole.column(1)), TEXTS_BYTES):
+                batch = whole.slice(low, high - low)
                 rows = []
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(texts, path), strict=True):
