@@ -37,6 +37,8 @@ _ASCII = np.zeros(128, np.int32)
 _ASCII[97:123] = np.arange(1, 27)
 _ASCII[48:58] = 27 + np.arange(10) % 13
 _PAIRS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+#: Bytes of text whose distinct words are scored at a time.
+PASS = 1 << 18
 _EMPTY = -4.0
 COST = 100.0
 #: Minus the log of the chance that a word's documents are all toxic, from which on it is surely a toxic word.
@@ -65,13 +67,14 @@ def char_stream(words: str) -> np.ndarray:
     return np.frombuffer(words.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def kernel_rows(words: list[str]) -> np.ndarray:
-    """Normalised subsequence weights of each word, dense; their inner products are the kernel."""
+def kernel_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised subsequence weights of each word, whose inner products are the kernel, and the subsequences that the columns stand for: those that occur."""
     index, weight, number = subsequences(char_stream(" ".join(words)))
-    rows = np.zeros((len(words), CLASSES**3), np.float32)
-    np.add.at(rows, (number, index), weight)
+    known, place = np.unique(index, return_inverse=True)
+    rows = np.zeros((len(words), len(known)), np.float32)
+    np.add.at(rows, (number, place), weight)
     own = np.bincount(number, np.square(weight), len(words))
-    return rows / np.sqrt(np.maximum(own, 1e-9))[:, None].astype(np.float32)
+    return rows / np.sqrt(np.maximum(own, 1e-9))[:, None].astype(np.float32), known
 
 
 def alike(words: list[str], marks: np.ndarray) -> np.ndarray:
@@ -98,6 +101,11 @@ def stream_scores(stream: np.ndarray, count: int, weights: np.ndarray) -> np.nda
     return np.where(own > 0, total / np.sqrt(np.maximum(own, 1e-9)), 0.0)
 
 
+def vocabulary_scores(words: list[str], weights: np.ndarray, chunk: int = 20_000) -> np.ndarray:
+    parts = [words[low : low + chunk] for low in range(0, len(words), chunk)]
+    return np.concatenate([stream_scores(char_stream(" ".join(p)), len(p), weights) for p in parts] or [np.empty(0)])
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: a number for each subsequence; a text's score is logistic(slope * (worst word's sum + bias) + shift)."""
@@ -109,7 +117,7 @@ class Model:
 
     def worst(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), _EMPTY)
-        for low, high in passes(texts):
+        for low, high in passes(texts, PASS):
             spaced, starts, ends, begin = words_of(texts.slice(low, high - low))
             if not len(starts):
                 continue
@@ -178,6 +186,13 @@ def spread(words: list[str], most: int, rows: np.ndarray) -> list[int]:
     return chosen
 
 
+def family_counts(members: list[np.ndarray], family: list[int], size: int) -> Counter:
+    """{word: number of families a member of which holds it}."""
+    pairs = np.unique(np.concatenate([m * np.int64(size + 1) + f for m, f in zip(members, family, strict=True)]))
+    counts = np.bincount(pairs // (size + 1), minlength=size)
+    return Counter({int(w): int(counts[w]) for w in np.flatnonzero(counts)})
+
+
 def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, rounds: int = 4, hard: int = 6000, seed: int = 5) -> Model:
     y = np.array([label for _, label in sample], np.int64)
     clipped = float(np.clip(prior, 1e-6, 1 - 1e-6))
@@ -195,24 +210,24 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
         toxic, clean = ([i for i in range(len(sample)) if y[i] == k and len(members[i])] for k in (1, 0))
     # a family of near copies counts as few documents: those with the same least hash of a word
     scramble = rng.permutation(len(vocabulary))
-    family = [int(scramble[m].min()) if len(m) else -1 for m in members]
-    in_toxic, in_clean = (Counter(x for x, _ in {(x, family[i]) for i in rows for x in members[i].tolist()}) for rows in (toxic, clean))
+    family = [int(scramble[m].min()) if len(m) else 0 for m in members]
+    in_toxic, in_clean = (family_counts([members[i] for i in rows], [family[i] for i in rows], len(vocabulary)) for rows in (toxic, clean))
     odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1)) + 0.1 * np.log(n) for w, n in in_toxic.items()}
     guess = np.full(len(vocabulary), -9.0)
     guess[list(odds)] = list(odds.values())
     ranked = sorted(odds, key=lambda w: (-in_toxic[w] * (in_clean[w] == 0), -odds[w], vocabulary[w]))[: 6 * landmarks]
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], vocabulary[x[0]]))[: 2 * landmarks]]
     pool = ranked + common
-    pool_rows = kernel_rows([vocabulary[w] for w in pool])
+    pool_rows, known = kernel_rows([vocabulary[w] for w in pool])
     bad = spread([vocabulary[w] for w in ranked], landmarks * 2 // 3, pool_rows[: len(ranked)])
     good = spread([vocabulary[w] for w in common], landmarks - len(bad), pool_rows[len(ranked) :])
     marks = pool_rows[[*bad, *[len(ranked) + i for i in good]]]
     values, axes = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-4
     to_nystrom = axes[:, keep] / np.sqrt(values[keep])
-    columns = np.ascontiguousarray(marks.T)
+    columns = np.zeros((CLASSES**3, len(marks)), np.float32)
+    columns[known] = marks.T
 
-    stream = char_stream(" ".join(vocabulary))
     weights, bias = np.zeros(CLASSES**3, np.float32), 0.0
     is_clean = np.zeros(len(vocabulary), bool)
     is_clean[list(in_clean)] = True
@@ -232,9 +247,9 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
         cost = COST * np.r_[2 * np.sqrt(times), np.ones(len(worst) + len(some))]
         x = np.c_[alike([vocabulary[w] for w in words], columns) @ to_nystrom, np.ones(len(words))]
         w = squared_hinge(x, target, cost)
-        weights = ((to_nystrom @ w[:-1]) @ marks).astype(np.float32)
+        weights = (columns @ (to_nystrom @ w[:-1])).astype(np.float32)
         bias = float(w[-1])
-        score = stream_scores(stream, len(vocabulary), weights) + bias
+        score = vocabulary_scores(vocabulary, weights) + bias
     model = Model(weights, bias, 1.0, 0.0)
     rows = [i for i in range(len(sample)) if tune[i]]
     if len({int(y[i]) for i in rows}) < 2:
