@@ -66,12 +66,21 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, re.split(r"[?#]", rest, maxsplit=1)[0]
 
 
+#: A rule set of up to so many tokens is sent to every task; a larger one meets tokens that are counted first.
+SENT_TOKENS = 100_000
+
+
 def token_counts(urls: DataFrame, column: str, tokens: set[str]) -> dict[str, int]:
     """How many URLs hold each of the rules' tokens; the result is no larger than the rule set."""
     spark = urls.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
     found = urls.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), _SPLIT))).alias("token"))
-    return {r["token"]: r["n"] for r in found.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    count = F.count(F.lit(1)).alias("n")
+    if len(tokens) <= SENT_TOKENS:
+        counts = found.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").agg(count)
+    else:
+        counts = found.groupBy("token").agg(count).join(wanted, "token", "left_semi")
+    return {r["token"]: r["n"] for r in counts.collect()}
 
 
 class RuleIndex:
