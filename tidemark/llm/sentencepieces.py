@@ -6,7 +6,7 @@ no piece holds costs the least score less 10, as in the unigram model, and is wr
 the model has byte pieces, else as the unknown id. Equal scores go to the longer piece.
 
 Scores of a model made by merges are the merges' order, and such a model's own ids are those that its merges
-leave, not those of the best sum. The same pass finds them too: at each position it takes the first piece along
+leave, not those of the best sum. With `merges` the same pass finds them too: at each position it takes the first piece along
 the output links that merging would leave beside the piece before it, which two pieces tell by themselves.
 
 No piece of such a model reaches from a character over a following word mark, so the best path of a text is
@@ -22,6 +22,7 @@ replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,15 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import as_array, passes
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Words whose paths a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Pairs of pieces for which a worker remembers whether merging leaves them.
+MOST_PAIRS = 1_000_000
+#: Bytes of text that are cut into words at a time.
+TEXTS_BYTES = 3 << 19
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Pieces:
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = False):
         import ahocorasick
         import sentencepiece
 
@@ -66,9 +73,11 @@ class Pieces:
         self.unknown_score = least - UNKNOWN_COST
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.automaton)
         # in a model made by merges the scores count down with the ids
-        self.merges = len({i + own for _, i, own in self.automaton.values() if own > -1e8}) == 1
+        self.made_by_merges = len({i + own for _, i, own in self.automaton.values() if own > -1e8}) == 1
+        self.merges = merges and self.made_by_merges
         self.text_of = {i: p.decode() for i, p in self.plain.items() if i not in self.byte_ids.values()}
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.spans = {p[i : i + 2] for p in self.automaton for i in range(len(p) - 1)}
+        self.stays: dict[int, bool] = {}
         self.young: dict[str, tuple[bytes, float, bytes]] = {}
         self.old: dict[str, tuple[bytes, float, bytes]] = {}
 
@@ -86,12 +95,12 @@ class Pieces:
 
     def beside(self, before: int, piece: int) -> bool:
         """Whether merging leaves the two pieces as they are; -1 is a text's start or an unknown character."""
-        key = before, piece
+        key = before << 32 | piece
         got = self.stays.get(key)
         if got is None:
             own = self.text_of[piece]
             got = self.merged(own) == [own] if before < 0 else self.beside(-1, piece) and self.merged(self.text_of[before] + own) == [self.text_of[before], own]
-            if len(self.stays) < 2_000_000:
+            if len(self.stays) < MOST_PAIRS:
                 self.stays[key] = got
         return got
 
@@ -100,6 +109,17 @@ class Pieces:
         size = len(text)
         low = float("-inf")
         score, back, piece = [0.0] + [low] * size, [0] * (size + 1), [-1] * (size + 1)
+        if not self.merges and self.singles.issuperset(text):  # nothing but relaxing
+            for end, (length, i, own) in self.automaton.iter(text):
+                end += 1
+                new = score[end - length] + own
+                if new > score[end]:
+                    score[end], back[end], piece[end] = new, end - length, i
+            ids, at = [], size
+            while at:
+                ids.append(piece[at])
+                at = back[at]
+            return ids[::-1], score[size], []
         last, since = [-2] * (size + 1), [0] * (size + 1)  # -2: not known yet
         last[0] = -1
         singles, unknown, merges, stays = self.singles, self.unknown_score, self.merges, self.stays
@@ -116,7 +136,7 @@ class Pieces:
             if new > score[end + 1]:
                 score[end + 1], back[end + 1], piece[end + 1] = new, start, i
             if merges and last[end + 1] == -2 and last[start] != -2:
-                fits = stays.get((last[start], i))
+                fits = stays.get(last[start] << 32 | i)
                 if fits or (fits is None and self.beside(last[start], i)):
                     last[end + 1], since[end + 1] = i, start
         while ready < size:
@@ -140,28 +160,43 @@ class Pieces:
             at = start
         return ids[::-1]
 
-    def encode(self, text: str) -> tuple[bytes, float, bytes]:
-        """Ids of the best path as little-endian unsigned 32-bit integers, their score, and the ids that merging leaves."""
-        normal = self.normalize(text)
-        words = _WORD.findall(normal) if self.by_word else [normal] * bool(normal)
-        young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        parts, total, kept = [], 0.0, []
+    def learn(self, words: set[str]) -> None:
+        """Find the paths of words. A boundary that no piece spans parts a word for good, so a mark after a word is a word of its own there."""
+        young, old, spans = self.young, self.old, self.spans
+        parted = []
         for word in words:
-            got = young.get(word)
-            if got is None:
-                got = old.get(word)
-                if got is None:
-                    ids, score, left = self.best(word)
-                    got = np.array(ids, "<u4").tobytes(), score, np.array(left, "<u4").tobytes()
-                if len(word) < 64:
-                    young[word] = got
-            parts.append(got[0])
-            total += got[1]
-            kept.append(got[2])
-        return b"".join(parts), total, b"".join(kept)
+            got = old.get(word)
+            if got is None and len(word) > 1 and word[-2:] not in spans:
+                parted.append(word)
+                continue
+            young[word] = got or self.found(word)
+        for word in parted:
+            halves = []
+            for part in (word[:-1], word[-1]):
+                got = young.get(part) or old.get(part) or self.found(part)
+                young[part] = got
+                halves.append(got)
+            young[word] = tuple(x + y for x, y in zip(*halves, strict=True))
+
+    def found(self, word: str) -> tuple[bytes, float, bytes]:
+        ids, score, left = self.best(word)
+        return array("I", ids).tobytes(), score, array("I", left).tobytes() if left else b""
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, float, bytes, str]]:
+        """For each text the ids of the best path as little-endian unsigned 32-bit integers, their score, the ids that merging leaves, and the normalised text."""
+        normal = [self.normalize(t) for t in texts]
+        split = [_WORD.findall(n) if self.by_word else [n] * bool(n) for n in normal]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        fresh = set().union(*split) - self.young.keys()
+        if fresh:
+            self.learn(fresh)
+        young = self.young
+        out = []
+        for words, text in zip(split, normal, strict=True):
+            found = [young[w] for w in words]
+            out.append((b"".join([f[0] for f in found]), float(sum([f[1] for f in found])), b"".join([f[2] for f in found]), text))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids: marks become spaces, and the mark put before the text goes."""
@@ -171,26 +206,27 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str) -> Pieces:
+def pieces(path: str, merges: bool = False) -> Pieces:
     """One automaton for each model in each worker."""
-    return Pieces(path)
+    return Pieces(path, merges)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """docs without the text, with ids (the best path's; binary, little-endian unsigned 32-bit), path_score, merge_ids (empty unless the model is made by merges) and normal_text (what decoding must give). One pass, no shuffle."""
-    kept = [c for c in docs.columns if c != text and c.lower() not in ("ids", "path_score", "merge_ids", "normal_text")]
+def encode(docs: DataFrame, model: str, text: str = "text", merges: bool = False, decoded: bool = False) -> DataFrame:
+    """docs without the text, with ids (the best path's; binary, little-endian unsigned 32-bit), path_score, merge_ids (what merging leaves, if asked for and the model is made by merges; else empty), normal_text (what decoding must give) and decoded_text (if asked for; else null). One pass, no shuffle."""
+    names = ["ids", "path_score", "merge_ids", "normal_text", "decoded_text"]
+    kept = [c for c in docs.columns if c != text and c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_pieces = pieces(model)
+        model_pieces = pieces(model, merges)
         for whole in batches:
-            for low in range(0, len(whole), 512):
-                batch = whole.slice(low, 512)
-                texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-                found = [model_pieces.encode(t) for t in texts]
-                normal = [model_pieces.normalize(t).replace(MARK, " ").removeprefix(" ") for t in texts]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.binary()), pa.array(normal, pa.string())], names=[*kept, "ids", "path_score", "merge_ids", "normal_text"])
-
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("ids", T.BinaryType()), T.StructField("path_score", T.DoubleType()), T.StructField("merge_ids", T.BinaryType()), T.StructField("normal_text", T.StringType())])
+            for low, high in passes(as_array(whole.column(len(kept))), TEXTS_BYTES):
+                batch = whole.slice(low, high - low)
+                found = model_pieces.encode([t or "" for t in batch.column(len(kept)).to_pylist()])
+                normal = [f[3].replace(MARK, " ").removeprefix(" ") for f in found]
+                back = [model_pieces.decode(f[0]) if decoded else None for f in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.binary()), pa.array(normal, pa.string()), pa.array(back, pa.string())], names=[*kept, *names])
+
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("ids", T.BinaryType()), T.StructField("path_score", T.DoubleType()), T.StructField("merge_ids", T.BinaryType()), *[T.StructField(n, T.StringType()) for n in names[3:]]])
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text)).mapInArrow(run, schema)
 
 
