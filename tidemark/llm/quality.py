@@ -92,8 +92,8 @@ class Model:
         return np.round(out, 6)
 
 
-def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, epochs: int = 6, batch: int = 16, rate: float = 0.5, seed: int = 5) -> Model:
-    """Stochastic gradient descent on the softmax loss; a bucket's step is scaled by its own past gradients."""
+def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, visits: int = 14_400, batch: int = 16, rate: float = 0.5, seed: int = 5) -> Model:
+    """Stochastic gradient descent on the softmax loss, at least `visits` documents in all where six rounds are fewer; a bucket's step is scaled by its own past gradients."""
     size = 1 << BITS
     y = np.array([label for _, label in sample], np.int64)
     if len(set(y.tolist())) < 2:
@@ -109,7 +109,9 @@ def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, epochs: in
     vectors = rng.uniform(-1 / dims, 1 / dims, (size, dims)).astype(np.float32)
     softmax, bias = rng.normal(0, 1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     past, past_softmax, past_bias = np.full(size, 1e-8, np.float32), 1e-2, 1e-2
-    for _ in range(epochs):
+    share_of_ones = y.mean()
+    even = np.where(y == 1, 0.5 / share_of_ones, 0.5 / (1 - share_of_ones)).astype(np.float32)  # both labels weigh the same
+    for _ in range(max(6, min(30, visits // len(bags)))):
         order = rng.permutation(len(bags))
         for low in range(0, len(order), batch):
             rows = order[low : low + batch]
@@ -122,6 +124,7 @@ def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, epochs: in
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
+            p *= even[rows, None]
             back = p @ softmax.T
             step = np.repeat(back, lengths, axis=0) * share[:, None]
             np.add.at(past, ids, np.square(step).mean(1))
@@ -133,7 +136,7 @@ def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, epochs: in
             past_bias += float(np.square(slope_bias).mean())
             bias -= rate * 0.1 * slope_bias / np.sqrt(past_bias)
     weights = vectors @ (softmax[:, 1] - softmax[:, 0])
-    shift = np.log(np.clip(prior, 1e-6, 1 - 1e-6) / (1 - np.clip(prior, 1e-6, 1 - 1e-6))) - np.log(y.mean() / (1 - y.mean()))
+    shift = np.log(np.clip(prior, 1e-6, 1 - 1e-6) / (1 - np.clip(prior, 1e-6, 1 - 1e-6)))
     return Model(weights.astype(np.float32), float(bias[1] - bias[0] + shift))
 
 
