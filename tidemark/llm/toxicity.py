@@ -40,9 +40,13 @@ _PAIRS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 #: Bytes of text whose distinct words are scored at a time.
 PASS = 1 << 18
 _EMPTY = -4.0
+#: How many times a clean document weighs in the final fit: a wrong accusation is worse than a miss.
+CAUTION = 2.0
 COST = 100.0
 #: Minus the log of the chance that a word's documents are all toxic, from which on it is surely a toxic word.
 SURE = 11.5
+#: The most of them that are learned in disguise too.
+DISGUISED = 64
 
 
 def subsequences(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +112,7 @@ def vocabulary_scores(words: list[str], weights: np.ndarray, chunk: int = 20_000
 
 @dataclass(frozen=True)
 class Model:
-    """weights: a number for each subsequence; a text's score is logistic(slope * (worst word's sum + bias) + shift)."""
+    """weights: a number for each subsequence; a text's score is logistic(slope * tanh(worst word's sum + bias) + shift)."""
 
     weights: np.ndarray
     bias: float
@@ -146,7 +150,7 @@ class Model:
             np.maximum.at(out, low + doc, scores)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return np.round(1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -30, 30))), 6)
+        return np.round(1 / (1 + np.exp(-np.clip(self.slope * np.tanh(self.worst(texts)) + self.shift, -30, 30))), 6)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -186,6 +190,12 @@ def spread(words: list[str], most: int, rows: np.ndarray) -> list[int]:
     return chosen
 
 
+def disguises(word: str, rng: np.random.Generator) -> list[str]:
+    """The word with marks between all its letters, with a mark in one place, and with a letter doubled."""
+    at, twice = rng.integers(1, max(2, len(word) - 1), 2)
+    return [".".join(word), word[:at] + str(rng.choice(list("-*._"))) + word[at:], word[:twice] + word[twice - 1] + word[twice:]]
+
+
 def family_counts(members: list[np.ndarray], family: list[int], size: int) -> Counter:
     """{word: number of families a member of which holds it}."""
     pairs = np.unique(np.concatenate([m * np.int64(size + 1) + f for m, f in zip(members, family, strict=True)]))
@@ -234,6 +244,7 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
     # words of many toxic documents and no clean one are positive whether or not they are a document's worst
     chance = -np.log(len(toxic) / (len(toxic) + len(clean)))
     sure = np.array([w for w, n in sorted(in_toxic.items()) if n * chance >= SURE and not is_clean[w]], np.int64)
+    disguised = [v for w in sure[np.argsort([-in_toxic[w] for w in sure.tolist()], kind="stable")][:DISGUISED].tolist() for v in disguises(vocabulary[w], rng)]
     score = guess
     for _ in range(rounds):
         witness = np.array([members[i][np.argmax(np.where(is_clean[members[i]], -99.0, score[members[i]]))] for i in toxic])
@@ -242,10 +253,13 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
         worst = clean_words[np.argsort(-score[clean_words], kind="stable")[: hard // 2]]
         some = rng.choice(clean_words, min(hard // 2, len(clean_words)), replace=False)
         positive, times = np.unique(witness, return_counts=True)
+        times = np.maximum(times, np.where(np.isin(positive, sure), [in_toxic[w] for w in positive.tolist()], 0))
         words = np.concatenate([positive, worst, some])
         target = np.r_[np.ones(len(positive)), -np.ones(len(worst) + len(some))]
-        cost = COST * np.r_[2 * np.sqrt(times), np.ones(len(worst) + len(some))]
-        x = np.c_[alike([vocabulary[w] for w in words], columns) @ to_nystrom, np.ones(len(words))]
+        cost = COST * np.r_[np.sqrt(times), np.ones(len(worst) + len(some))]
+        texts = [vocabulary[w] for w in words] + disguised
+        target, cost = np.r_[target, np.ones(len(disguised))], np.r_[cost, np.full(len(disguised), COST)]
+        x = np.c_[alike(texts, columns) @ to_nystrom, np.ones(len(texts))]
         w = squared_hinge(x, target, cost)
         weights = (columns @ (to_nystrom @ w[:-1])).astype(np.float32)
         bias = float(w[-1])
@@ -256,8 +270,8 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
         rows = list(range(len(sample)))
     worst = model.worst(pa.array([sample[i][0] for i in rows], pa.string()))
     own = y[rows]
-    weight = np.where(own == 1, clipped / max(own.mean(), 1e-9), (1 - clipped) / max(1 - own.mean(), 1e-9))
-    slope, shift = logistic_line(worst, own, weight)
+    weight = np.where(own == 1, clipped / max(own.mean(), 1e-9), CAUTION * (1 - clipped) / max(1 - own.mean(), 1e-9))
+    slope, shift = logistic_line(np.tanh(worst), own, weight)
     return Model(weights, bias, max(slope, 0.0), shift)
 
 
