@@ -135,11 +135,13 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_colu
 
 
 def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)] that use up the counts.
+    """[(lengths of a sequence, how many such sequences)] that use up the counts: by complements, or by best fit alone where that takes fewer sequences."""
+    plans = [fill_sequences(counts, size, complements) for complements in (True, False)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
 
-    From the longest length down: alone if it fills the sequence, else with one, two or three pieces whose
-    lengths sum to the gap, else with whatever fits best.
-    """
+
+def fill_sequences(counts: dict[int, int], size: int, complements: bool = True) -> list[tuple[tuple[int, ...], int]]:
+    """From the longest length down: alone if it fills the sequence, else with one, two or three pieces whose lengths sum to the gap, else with whatever fits best."""
     left = {n: c for n, c in counts.items() if c > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
     pair_sums: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -174,14 +176,14 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
             if gap == 0:
                 take((longest,), left[longest])
                 continue
-            if often((longest, gap)):
+            if complements and often((longest, gap)):
                 take((longest, gap), often((longest, gap)))
                 continue
-            if pair := live_pair(gap, (longest,)):
+            if complements and (pair := live_pair(gap, (longest,))):
                 take((longest, *pair), often((longest, *pair)))
                 continue
             triple = None
-            for third in (n for n in lengths if n < gap and left[n]):
+            for third in (n for n in lengths if complements and n < gap and left[n]):
                 if pair := live_pair(gap - third, (longest, third)):
                     triple = (longest, third, *pair)
                     break

@@ -120,7 +120,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id"
     Rows of shards that neither lose nor gain are read where they are.
     """
     spark = docs.sparkSession
-    moved = assign(docs, old, shards, id_column, text)
+    moved = assign(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]), old, shards, id_column, text)
     traffic = moved.groupBy("old_shard", "new_shard").agg(F.count(F.lit(1)).alias("n")).collect()
     affected = {x for r in traffic if r["old_shard"] != r["new_shard"] for x in (r["old_shard"], r["new_shard"])} - {None}
     touched = F.coalesce(F.col("new_shard").isin(sorted(affected)), F.lit(False)) if affected else F.lit(False)
@@ -135,7 +135,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id"
 
 def slots(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """rows with slot: the place of each row in its shard, gapless from 0, by id."""
-    numbered, _ = ordered_prefix(rows.withColumn("_one", F.lit(1).cast("long")), "shard", [F.col(id_column)], "_one", "slot", "_before")
+    numbered, _ = ordered_prefix(rows.drop("slot").withColumn("_one", F.lit(1).cast("long")), "shard", [F.col(id_column)], "_one", "slot", "_before")
     return numbered.drop("_one", "_before")
 
 
