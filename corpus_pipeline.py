@@ -14,18 +14,21 @@ GOOD_FROM = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under TOXIC_FROM."""
+    queries.small_batches(spark)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(3, 1))
     return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is GOOD_FROM or more."""
+    queries.small_batches(spark)
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(5, 0))
     return quality.score(docs, model).where(F.col("score") >= GOOD_FROM).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    queries.small_batches(spark)
     found = neardup.near_duplicates(docs, words=5, percent=80)
     gone = written(found.where("NOT kept").select("doc_id").distinct())
     marked = IdBitmap(gone, "doc_id").marked(docs, "doc_id", "_maybe")
@@ -35,6 +38,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents with their sequence and place."""
+    queries.small_batches(spark)
     return queries.packed(docs)
 
 
