@@ -20,7 +20,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ordered_prefix, shared_folder, written
+from .shared import ordered_prefix, shared_folder
 
 _LEAST = -(2**63)
 
@@ -138,5 +138,3 @@ def slots(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     numbered, _ = ordered_prefix(rows.drop("slot").withColumn("_one", F.lit(1).cast("long")), "shard", [F.col(id_column)], "_one", "slot", "_before")
     return numbered.drop("_one", "_before")
 
-
-__all__ = ["assign", "even_capacities", "min_cost_flow", "plan_blocks", "reshard", "slots", "written"]
