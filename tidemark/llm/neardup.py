@@ -2,9 +2,10 @@
 
 A document's set holds its distinct word shingles (a shorter text is one shingle; a text without words has
 none and links with nothing). Equal sets are one class, known by its smallest id. Signatures of MinHash
-values are banded; within a bucket every class is compared with the bucket's smallest id, which takes a
-number of pairs in proportion to the rows. Classes of a bucket that are still in different components after
-that are then compared with each other, so no link between candidates is lost.
+values are banded; within a bucket every class is compared with the class that shares most bands with others,
+which takes a number of pairs in proportion to the rows. While a bucket holds classes of several components, a
+few of its members, others each turn, meet the rest, again in proportion. What is left at the end is compared
+across components, so no link between candidates is lost.
 
 Comparing is sequential: signatures are read batch by batch, and a pair is dropped as soon as the chance,
 given the matches so far under a uniform prior, that its similarity reaches the threshold falls below
@@ -24,14 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import IdBitmap, as_array, components, mixed, passes, shingle_sets, written
+from .shared import IdBitmap, as_array, components, give_back, mixed, passes, shingle_sets, written
 
-SIGNED = "doc_id long, n_shingles long, class binary, signature binary"
+SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<tinyint>"
 #: Values of a signature that one step of the sequential test reads.
 STEP = 20
+#: Turns in which DELEGATES members of each mixed bucket's largest component meet those outside it, while more than FEW pairs a member are left.
+TURNS = 2
+DELEGATES = 8
+FEW = 4
 
 
 def hash_functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,48 +69,56 @@ def least_matches(threshold: float, total: int, miss: float) -> dict[int, int]:
     return found
 
 
-def sign(docs: DataFrame, words: int, count: int, id_column: str, text: str) -> DataFrame:
-    functions = hash_functions(count)
+def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A hash of the place and values of each band of each signature."""
+    salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    factor = mixed(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
+    values = signatures[:, : rows * bands].astype(np.uint64).reshape(len(signatures), bands, rows)
+    return mixed(mixed((values + np.uint64(1)) * factor).sum(2, dtype=np.uint64) + salt).view(np.int64)
+
+
+def sign(docs: DataFrame, words: int, rows: int, bands: int, id_column: str, text: str) -> DataFrame:
+    """The digest of each text's set, its bands, and its sketch: the low byte of each MinHash value. Equal values have equal bytes, so a test on bytes never finds fewer matches."""
+    functions = hash_functions(rows * bands)
+
+    def lists(values: np.ndarray, filled: np.ndarray, kind: pa.DataType) -> pa.Array:
+        ends = np.cumsum(np.r_[0, filled * values.shape[1]], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[filled].reshape(-1), kind), mask=pa.array(~filled))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_array(batch.column(1))
-            sizes, classes, signatures = [], [], []
             for low, high in passes(texts):
-                for s in shingle_sets(texts.slice(low, high - low), words):
-                    sizes.append(len(s))
-                    classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    signatures.append(signature(s, functions).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+                sets = list(shingle_sets(texts.slice(low, high - low), words))
+                filled = np.array([len(s) > 0 for s in sets])
+                least = np.stack([signature(s, functions) for s in sets]).astype(np.uint32)
+                classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                sketch = (least & 255).astype(np.uint8).view(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), lists(band_keys(least, rows, bands), filled, pa.int64()), lists(sketch, filled, pa.int8())], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(signed, SIGNED)
 
 
-def banded(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
-    """band, node: one row for each band of each signature; a band is a hash of its place and values."""
-    salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    factor = mixed(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
+def matrix(sketches: pa.Array) -> np.ndarray:
+    """Sketches, all of one length, as rows."""
+    return sketches.flatten().to_numpy().reshape(len(sketches), -1)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(batch), -1)[:, : rows * bands].astype(np.uint64)
-            keys = mixed(mixed((values.reshape(len(batch), bands, rows) + np.uint64(1)) * factor).sum(2, dtype=np.uint64) + salt)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], names=["band", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(explode, "band long, node long")
+def banded(nodes: DataFrame) -> DataFrame:
+    """place, band, node: one row for each band of each node."""
+    return nodes.select("node", F.posexplode("bands").alias("place", "band"))
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, percent: int, count: int, miss: float) -> DataFrame:
-    """The pairs a, b that the sequential test on their signatures does not rule out."""
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int, count: int, miss: float) -> DataFrame:
+    """The pairs a, b that the sequential test on their sketches does not rule out."""
     table = least_matches(percent / 100, count, miss)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, len(whole), 4096):
                 batch = whole.slice(low, 4096)
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(len(batch), -1) for i in (2, 3))
+                x, y = matrix(batch.column(2)), matrix(batch.column(3))
                 alive, matches, done = np.arange(len(batch)), np.zeros(len(batch), np.int64), 0
                 for n, least in table.items():
                     matches = matches + (x[alive, done:n] == y[alive, done:n]).sum(1)
@@ -113,26 +126,17 @@ def likely(pairs: DataFrame, signatures: DataFrame, percent: int, count: int, mi
                     alive, matches, done = alive[keep], matches[keep], n
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
 
-    one, two = (signatures.select(F.col("node").alias(n), F.col("signature").alias(f"s{n}")) for n in "ab")
+    one, two = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = 0
-                if 100 * min(len(u), len(v)) >= percent * max(len(u), len(v)):
-                    both = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
+    """The pairs with 100 * intersection >= percent * union on the full sets; a built-in function, so no batch of large sets is ever gathered."""
     one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
+    na, nb = F.size("sa").cast("long"), F.size("sb").cast("long")
+    fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one, "a").join(two, "b").where(fits).where((100 + percent) * both >= percent * (na + nb)).select("a", "b")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
@@ -141,51 +145,89 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_column: str, te
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_array(batch.column(1))
-            found = [s.tobytes() for low, high in passes(texts) for s in shingle_sets(texts.slice(low, high - low), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+            for low, high in passes(texts):
+                found = list(shingle_sets(texts.slice(low, high - low), words))
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
+        give_back()
 
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text).alias("text"))
     near = IdBitmap(wanted, "node").matching(texts, "node").join(wanted, "node", "left_semi")
-    return near.dropDuplicates(["node"]).mapInArrow(collect, "node long, shingles binary")
+    return near.dropDuplicates(["node"]).mapInArrow(collect, "node long, shingles array<long>")
+
+
+def still_apart(buckets: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+    """band, place, node, component and largest (the bucket's component with most nodes) of the buckets that hold more than one component; how many pairs of nodes they hold across components, and how many nodes."""
+    named = written(buckets.select("band", "place", "node").join(found, "node", "left").select("band", "place", "node", F.coalesce("component", "node").alias("component")))
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed_buckets = written(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", (-F.col("component")).alias("m"))).alias("top")).where("c > 1").select("band", "n", "same", (-F.col("top.m")).alias("largest")))
+    total = mixed_buckets.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return named.join(mixed_buckets.select("band", "largest"), "band"), int(total["pairs"]), int(total["n"])
+
+
+def apart_pairs(apart: DataFrame, known: DataFrame, rows: int, bands: int, least: dict[int, int]) -> DataFrame:
+    """x, y: pairs of a bucket's nodes across components. The sequential test is part of the join, so a pair comes out only if it passes, and in its first common band only."""
+    signed = apart.join(known, "node")
+    one, two = (signed.select("band", *(["place"] if n == "x" else []), F.col("node").alias(n), F.col("component").alias(f"c{n}"), F.col("sketch").alias(f"s{n}"), F.col("bands").alias(f"b{n}")) for n in "xy")
+    equal = lambda x, y: F.zip_with(x, y, lambda a, b: a == b)
+    enough = F.size(F.filter(equal("sx", "sy"), lambda e: e)) >= least[rows * bands]
+    first = F.array_position(equal("bx", "by"), True) - 1
+    return one.join(two, "band").where((F.col("cx") < F.col("cy")) & (first == F.col("place")) & enough).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 5, bands: int = 32, miss: float = 1e-6, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept for every row of docs."""
     count = rows * bands
-    signed = written(sign(docs, words, count, id_column, text))
+    signed = written(sign(docs, words, rows, bands, id_column, text))
     classes = signed.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
     member = written(signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")))
 
-    # one signature for each class: rows that the bitmap says are no copies need no join
+    # one sketch for each class: rows that the bitmap says are no copies need no join
     copies = written(member.where("doc_id <> node").select("doc_id").distinct())
     bitmap = IdBitmap(copies, "doc_id")
-    signatures = bitmap.marked(signed.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "signature"), "doc_id", "maybe")
-    nodes = signatures.where("NOT maybe").select(F.col("doc_id").alias("node"), "signature").unionByName(signatures.where("maybe").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "signature"))
-
-    places = banded(nodes, rows, bands)
-    leaders = places.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
-    buckets = written(places.join(leaders, "band"))
-    shared = written(buckets.select("node").distinct())
+    flagged = bitmap.marked(signed.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "bands", "sketch"), "doc_id", "maybe")
+    named = lambda rows: rows.select(F.col("doc_id").alias("node"), "bands", "sketch")
+    nodes = named(flagged.where("NOT maybe")).unionByName(named(flagged.where("maybe").join(copies, "doc_id", "left_anti")))
+
+    places = banded(nodes)
+    sizes = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("band", "n")
+    buckets = written(places.join(sizes, "band"))
+    # a family's centre shares its bands with most of the family, so it leads wherever it is
+    fame = buckets.groupBy("node").agg(F.sum("n").alias("fame"))
+    shared = written(fame.select("node"))
     known = written(IdBitmap(shared, "node").matching(nodes, "node").join(shared, "node", "left_semi").dropDuplicates(["node"]))
+    famous = buckets.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("top"))
+    leaders = famous.select("band", (-F.col("top.m")).alias("leader"))
 
-    first = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    near = written(likely(first, known, percent, count, miss))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(full_sets(docs, written(ends(near)), words, id_column, text))
-    links = written(confirmed(near, sets, percent))
-    found = components(links)
+    sets = written(full_sets(docs, shared, words, id_column, text))
 
-    # what shares a bucket and is still apart
-    apart = buckets.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed_buckets = apart.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    apart = written(apart.join(mixed_buckets, "band"))
-    one, two = (apart.select("band", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    rest = one.join(two, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(likely(rest.join(first, ["a", "b"], "left_anti"), known, percent, count, miss))
-    if not more.isEmpty():
-        late = written(full_sets(docs, written(ends(more)), words, id_column, text))
-        links = links.unionByName(confirmed(more, late, percent))
-        found = components(written(links))
+    def links_among(pairs: DataFrame) -> DataFrame:
+        return written(confirmed(likely(pairs, known, percent, count, miss), sets, percent))
+
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tested = written(buckets.join(leaders, "band").where("node <> leader").select(*ordered("node", "leader")).distinct())
+    links = links_among(tested)
+    found = components(links)
+    apart = buckets
+    for turn in range(TURNS + 1):
+        apart, left, members = still_apart(apart, found)
+        if not left:
+            break
+        last = turn == TURNS or left <= FEW * members
+        if last:
+            pairs = apart_pairs(apart, known, rows, bands, least_matches(percent / 100, count, miss))
+        else:
+            # a few members of each bucket's largest component, others each time, meet those outside it
+            order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            some = apart.where("component = largest").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DELEGATES)
+            pairs = some.select("band", F.col("node").alias("x")).join(apart.where("component <> largest").select("band", F.col("node").alias("y")), "band")
+        fresh = written(pairs.select(*ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti"))
+        links = written(links.unionByName(links_among(fresh)))
+        found = components(links)
+        if last:
+            break
+        tested = written(tested.unionByName(fresh))
 
     named = member.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

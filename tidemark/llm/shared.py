@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass takes at a time; a longer document is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,6 +85,14 @@ def ordered_prefix(df: DataFrame, group: str, order: list, value: str, position:
     return dealt.mapInArrow(number, schema), totals
 
 
+def give_back() -> None:
+    """At the end of a partition: free memory goes back to the system, as workers live on and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array; the nulls of a text column become empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -187,7 +196,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-#: The most bits of an IdBitmap: 2 MB, whatever the input.
+#: The most bits of an IdBitmap: 262,144 rows of 64, whatever the input.
 BITMAP_BITS = 1 << 24
 
 
@@ -195,25 +204,17 @@ class IdBitmap:
     """A Bloom filter with one hash over a table's ids: sure of what is absent. Its size is bounded, so it can be sent to every task; a full one only lets more rows through to the exact join that follows."""
 
     def __init__(self, ids: DataFrame, column: str):
-        count = ids.count()
-        self.bits = min(BITMAP_BITS, 1 << max(10, (16 * count).bit_length()))
+        self.bits = min(BITMAP_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+        self.words = written(ids.select(*self._place(column)).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_m")))
+
+    def _place(self, column: str) -> list:
         at = F.pmod(F.xxhash64(column), F.lit(self.bits))
-        rows = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect()
-        words = np.zeros(self.bits // 64, np.int64)
-        if rows:
-            words[[r["w"] for r in rows]] = [r["m"] for r in rows]
-        self.words = ids.sparkSession.sparkContext.broadcast(words)
+        return [F.shiftright(at, 6).alias("_w"), (at % 64).cast("int").alias("_b")]
 
     def marked(self, df: DataFrame, column: str, flag: str) -> DataFrame:
         """df with a flag that is false where the id is surely not in the table."""
-        words, bits = self.words, self.bits
-
-        @F.pandas_udf("boolean")
-        def hit(at: pd.Series) -> pd.Series:
-            x = at.to_numpy(np.int64)
-            return pd.Series((words.value[x >> 6] >> (x & 63) & 1).astype(bool))
-
-        return df.withColumn(flag, hit(F.pmod(F.xxhash64(column), F.lit(bits))))
+        placed = df.select("*", *self._place(column)).join(F.broadcast(self.words), "_w", "left")
+        return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.expr("shiftright(_m, _b) & 1L = 1L"), F.lit(False)).alias(flag))
 
     def matching(self, df: DataFrame, column: str) -> DataFrame:
         return self.marked(df, column, "_hit").where("_hit").drop("_hit")
