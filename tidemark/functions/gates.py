@@ -10,6 +10,7 @@ from .scoring import is_tech, rule_direction
 from .text import abbreviations, any_of, text_of
 from .times import quiet_window
 
+# Results depend on these exact names and patterns.
 _INDEXES = (*L.INDEX_NAMES, "KOSPI", "恒生指数", "综合指数", "美元指数", "美元兑日元", "日元", "WTI", "原油期货", "柴油期货", "柴油价格", "现货黄金", "现货白银", "黄金期货", "白银期货", "伦敦金", "COMEX")
 _MOVE = "涨超|跌超|涨逾|跌逾|涨幅|跌幅|大涨|大跌|暴涨|暴跌|走强|走弱|拉升|下挫|高开|低开|创新高|创新低|净流入|净流出|异动|翻红|翻绿|收涨|收跌|现报"
 _SIZE = r"[0-9]+(?:\.[0-9]+)?%|超[0-9]+%|[0-9]+个点|[0-9]+cm|[0-9]+天[0-9]+板|涨停|跌停|连板"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lexicons as L
 from .text import abbreviations, any_of, clean_url, first_group, hit_count, hits, text_of, url_host, weight_sum, without, word_pattern
 
-#: Words that make an abbreviation a medical one.
+#: Words that make an abbreviation a medical one.
 _EYE_WORDS = ("黄斑变性", "眼底", "眼科", "视网膜", "视力")
 _PLAIN_TECH = tuple(w for w in L.TECH_WORDS if w not in L.TECH_ABBREVIATIONS)
 _EXEMPT_SOURCES = tuple(s for s in L.NATIONAL_SOURCES if s not in ("光明日报", "银保监会", "国家发改委"))
