@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_array, ordered_prefix, passes, written
+from .shared import as_array, give_back, ordered_prefix, passes, written
 
 #: Bytes of text that are cut into chunks at a time; the larger, the fewer chunks are looked up again.
-TEXTS_BYTES = 6 << 20
+TEXTS_BYTES = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Chunks between spaces whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 160_000
 _KNOWN: dict[str, ChunkIds] = {}
 _TOKENIZERS: dict = {}
 
@@ -95,6 +95,11 @@ class ChunkIds:
         for c, stem in stems.items():
             young[c] = young[stem] + young[c[-1]]
 
+    def rest(self) -> None:
+        """Between partitions one generation is kept."""
+        if self.young:
+            self.old, self.young = self.young, {}
+
     def of(self, texts: list[str]) -> list[bytes]:
         # str.lower is the tokenizer's own lower-casing but for the sigma that ends a word
         split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
@@ -130,6 +135,9 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_colu
                         rows.append((doc, piece, at // 4, len(part) // 4, part))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+        if path in _KNOWN:
+            _KNOWN[path].rest()
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 

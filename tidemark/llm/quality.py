@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_array, labelled_sample, mixed, passes, text_bytes, word_hashes
+from .shared import as_array, give_back, labelled_sample, mixed, passes, text_bytes, word_hashes
 
 BITS = 17
 GRAMS = (3, 5)
@@ -154,6 +154,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(as_array(batch.column(at))))], names=[*kept, "score"])
+        give_back()
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(scored, schema)

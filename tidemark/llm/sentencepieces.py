@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_array, passes
+from .shared import as_array, give_back, passes
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", merges: bool = False
                 normal = [f[3].replace(MARK, " ").removeprefix(" ") for f in found]
                 back = [model_pieces.decode(f[0]) if decoded else None for f in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.binary()), pa.array(normal, pa.string()), pa.array(back, pa.string())], names=[*kept, *names])
+        give_back()
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("ids", T.BinaryType()), T.StructField("path_score", T.DoubleType()), T.StructField("merge_ids", T.BinaryType()), *[T.StructField(n, T.StringType()) for n in names[3:]]])
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text)).mapInArrow(run, schema)
