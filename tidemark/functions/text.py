@@ -31,9 +31,11 @@ def abbreviations(words: Iterable[str]) -> set[str]:
 
 
 def any_of(text: Column, words: Iterable[str], bounded: Iterable[str] = ()) -> Column:
-    """Whether the text holds one of the words: one regular expression, built on the driver."""
-    bounded = set(bounded)
-    return F.coalesce(text, F.lit("")).rlike("|".join(word_pattern(w, w in bounded) for w in words))
+    """Whether the text holds one of the words. Plain words are searched as bytes, which is many times faster than one long alternation; bounded ones by one regular expression."""
+    t, bounded = F.coalesce(text, F.lit("")), set(bounded)
+    plain, alone = [w for w in words if w not in bounded], [w for w in words if w in bounded]
+    found = F.exists(F.array(*map(F.lit, plain)), lambda w: F.contains(t, w)) if plain else F.lit(False)
+    return found | t.rlike("|".join(word_pattern(w, True) for w in alone)) if alone else found
 
 
 def hits(text: Column, words: Sequence[str], bounded: Iterable[str] = ()) -> Column:
