@@ -20,10 +20,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import as_array, give_back, ordered_prefix, passes, written
 
@@ -251,13 +251,11 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     table = written(pieces)
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = Places(plan_sequences(counts, size))
-    ranked, _ = ordered_prefix(table, "length", [F.col("doc_id"), F.col("piece")], "length", "rank", "_before")
     names = pieces.columns
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sequence, offset = places.of(frame["length"].to_numpy(), frame["rank"].to_numpy())
-            yield frame[names].assign(sequence_id=sequence, offset=offset)
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sequence, offset = places.of(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.drop("_before").mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ordered_prefix(table, "length", [F.col("doc_id"), F.col("piece")], "length", "rank", "_before", place, schema)[0]

@@ -18,7 +18,7 @@ SEQUENCE = 2048
 
 
 #: Bytes of the batches that go to Python workers: a batch is held by the executor and by the worker at once.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:

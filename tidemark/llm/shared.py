@@ -5,10 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ordered_prefix(df: DataFrame, group: str, order: list, value: str, position: str, before: str) -> tuple[DataFrame, dict]:
+def ordered_prefix(df: DataFrame, group: str, order: list, value: str, position: str, before: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, finished: T.StructType | None = None) -> tuple[DataFrame, dict]:
     """Add the row's place in its group (from 0) and the sum of `value` over the rows before it.
 
     Rows are dealt out by range of (group, order), so a group of any size spreads over tasks. The driver
-    sees one count and sum for each group in each partition. Also returns {group: (rows, sum)}.
+    sees one count and sum for each group in each partition. Also returns {group: (rows, sum)}. `finish`
+    turns each numbered batch into one of the schema `finished` in the same worker.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -69,20 +69,21 @@ def ordered_prefix(df: DataFrame, group: str, order: list, value: str, position:
         at: dict = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            groups = pd.Series(table.column(group).to_pylist(), dtype=object)
+            groups = np.array(table.column(group).to_pylist(), dtype=object)
             values = table.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
             place, sums = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
-            starts = np.flatnonzero(np.r_[True, (groups.iloc[1:].to_numpy() != groups.iloc[:-1].to_numpy())]) if len(values) else []
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(values) else []
             for lo, hi in zip(starts, [*starts[1:], len(values)], strict=True):
-                key = groups.iloc[lo]
+                key = groups[lo]
                 n, s = at.get(key) or offsets[part, key]
                 run = np.cumsum(values[lo:hi])
                 place[lo:hi] = n + np.arange(hi - lo)
                 sums[lo:hi] = s + run - values[lo:hi]
                 at = {key: (n + hi - lo, s + int(run[-1]))}
-            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in names], pa.array(place), pa.array(sums)], names=[*names, position, before])
+            numbered = pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in names], pa.array(place), pa.array(sums)], names=[*names, position, before])
+            yield finish(numbered) if finish else numbered
 
-    return dealt.mapInArrow(number, schema), totals
+    return dealt.mapInArrow(number, finished if finish else schema), totals
 
 
 def give_back() -> None:
