@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,27 @@ def test_merges_are_the_library(pieces, spark, sf):
     assert [np.frombuffer(e[2], "<u4").tolist() for e in pieces.encode(texts)] == library.encode(texts)
 
 
+def test_query_returns_the_ids_of_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op8_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(library.encode(texts[r.doc_id] or ""), "<u4")
+        assert (r.n_merge_ids, r.merge_ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), r.doc_id
+
+
+def test_taking_merges_back_is_merging(pieces):
+    rng = np.random.default_rng(3)
+    known = list(pieces.text_of)
+    for a, b in rng.choice(known, (4000, 2)).tolist():
+        x, y = pieces.text_of[a], pieces.text_of[b]
+        assert pieces.beside(a, b) == (pieces.merged(x) == [x] and pieces.merged(y) == [y] and pieces.merged(x + y) == [x, y]), (x, y)
+
+
 def test_encode_and_decode_odd_rows(spark, odd_docs):
     rows = sentencepieces.decode(sentencepieces.encode(odd_docs, MODEL), MODEL).collect()
     assert len(rows) == odd_docs.count() and all(r["decoded_text"] == r["normal_text"] for r in rows)

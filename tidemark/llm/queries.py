@@ -88,8 +88,12 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    rows = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.round("path_score", 3).alias("path_score"), (F.col("decoded_text") == F.col("normal_text")).alias("round_trip"))
+    rows = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, merges=True, decoded=True)
+    count = lambda c: (F.octet_length(c) / 4).cast("long")
+    return rows.select(
+        "doc_id", count("ids").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.round("path_score", 3).alias("path_score"), count("merge_ids").alias("n_merge_ids"), F.crc32("merge_ids").alias("merge_ids_crc32"),
+        (F.col("decoded_text") == F.col("normal_text")).alias("round_trip"),
+    )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

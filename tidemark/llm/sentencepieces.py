@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,14 +79,17 @@ class Pieces:
         self.text_of = {i: p.decode() for i, p in self.plain.items() if i not in self.byte_ids.values()}
         self.spans = {p[i : i + 2] for p in self.automaton for i in range(len(p) - 1)}
         self.stays: dict[int, bool] = {}
+        self.halves: dict[str, tuple[str, str] | tuple[()] | None] = {}
+        # whose turn to merge comes first has the least number; characters are there before all merges
+        self.turn = {p: -self.automaton.get(p)[2] if len(p) > 1 else -1.0 for p in self.automaton} if self.merges else {}
         self.young: dict[str, tuple[bytes, float, bytes]] = {}
         self.old: dict[str, tuple[bytes, float, bytes]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves: again and again the neighbours whose joined piece scores best, the first ones first."""
+    def merged(self, text: str, fewest: int = 1) -> list[str]:
+        """What merging leaves, or has left at `fewest` parts: again and again the neighbours whose joined piece scores best, the first ones first."""
         parts = list(text)
         get = self.automaton.get
-        while len(parts) > 1:
+        while len(parts) > fewest:
             scores = [get(a + b, None) for a, b in zip(parts, parts[1:], strict=False)]
             at = max((i for i, s in enumerate(scores) if s), key=lambda i: (scores[i][2], -i), default=None)
             if at is None:
@@ -98,19 +102,40 @@ class Pieces:
         key = before << 32 | piece
         got = self.stays.get(key)
         if got is None:
-            own = self.text_of[piece]
-            got = self.merged(own) == [own] if before < 0 else self.beside(-1, piece) and self.merged(self.text_of[before] + own) == [self.text_of[before], own]
+            got = self.last_merge(self.text_of[piece]) is not None if before < 0 else self.beside(-1, piece) and self.beside(-1, before) and self.unmerged(self.text_of[before], self.text_of[piece])
             if len(self.stays) < MOST_PAIRS:
                 self.stays[key] = got
         return got
 
+    def last_merge(self, piece: str) -> tuple[str, str] | tuple[()] | None:
+        """The two parts whose merge makes the piece; () for a single character, None where merging does not leave the piece whole."""
+        if piece not in self.halves:
+            parts = [piece] if len(piece) == 1 else self.merged(piece, 2)
+            whole = len(parts) == 1 or (len(parts) == 2 and self.automaton.get("".join(parts), None) is not None)
+            self.halves[piece] = tuple(parts) * (len(parts) == 2) if whole else None
+        return self.halves[piece]
+
+    def unmerged(self, a: str, b: str) -> bool:
+        """Whether merging leaves a and b, each whole by itself: their merges are taken back, the last first, and no two parts that then meet may merge before those."""
+        turn, limit = self.turn, float("inf")
+        while True:
+            if turn.get(a + b, limit) < limit:
+                return False
+            if turn[a] > turn[b]:
+                limit, a = turn[a], self.last_merge(a)[1]
+            elif len(b) > 1:
+                limit, b = turn[b] + 0.5, self.last_merge(b)[0]  # of equal merges the first one goes first
+            else:
+                return True
+
     def best(self, text: str) -> tuple[list[int], float, list[int]]:
         """Ids and score of the best segmentation of a normalised text, and the ids that merging leaves (none for other models)."""
         size = len(text)
         low = float("-inf")
         score, back, piece = [0.0] + [low] * size, [0] * (size + 1), [-1] * (size + 1)
-        if not self.merges and self.singles.issuperset(text):  # nothing but relaxing
-            for end, (length, i, own) in self.automaton.iter(text):
+        if self.singles.issuperset(text):  # nothing but relaxing
+            matches = list(self.automaton.iter(text)) if self.merges else self.automaton.iter(text)
+            for end, (length, i, own) in matches:
                 end += 1
                 new = score[end - length] + own
                 if new > score[end]:
@@ -119,7 +144,8 @@ class Pieces:
             while at:
                 ids.append(piece[at])
                 at = back[at]
-            return ids[::-1], score[size], []
+            ids.reverse()
+            return ids, score[size], self.left(size, ids, matches) if self.merges else []
         last, since = [-2] * (size + 1), [0] * (size + 1)  # -2: not known yet
         last[0] = -1
         singles, unknown, merges, stays = self.singles, self.unknown_score, self.merges, self.stays
@@ -146,6 +172,44 @@ class Pieces:
             ready += 1
         return self.path(text, back, piece), score[size], self.path(text, since, last) if merges else []
 
+    def left(self, size: int, ids: list[int], matches: list[tuple[int, tuple[int, int, float]]]) -> list[int]:
+        """The ids that merging leaves of `size` known characters: the best path's where merging leaves these, else they are searched for.
+
+        At each position it is the first piece that merging leaves beside the piece before it. Positions are
+        settled from the end, so only those on which the end depends are looked at.
+        """
+        get, before = self.stays.get, -1
+        for i in ids:
+            fits = get(before << 32 | i)
+            if not (fits or (fits is None and self.beside(before, i))):
+                break
+            before = i
+        else:
+            return ids
+        last: dict[int, tuple[int, int] | None] = {0: (-1, 0)}  # None: no piece fits there
+        waiting = [(size, bisect_left(matches, (size - 1,)))]
+        while waiting:
+            end, k = waiting.pop()
+            last[end] = None
+            while k < len(matches) and matches[k][0] == end - 1:
+                length, i, _ = matches[k][1]
+                start = end - length
+                if start not in last:
+                    waiting += [(end, k), (start, bisect_left(matches, (start - 1,)))]
+                    break
+                if last[start] is not None:
+                    before = last[start][0]
+                    fits = get(before << 32 | i)
+                    if fits or (fits is None and self.beside(before, i)):
+                        last[end] = i, start
+                        break
+                k += 1
+        found, at = [], size
+        while at:
+            i, at = last[at]
+            found.append(i)
+        return found[::-1]
+
     def path(self, text: str, back: list[int], piece: list[int]) -> list[int]:
         ids: list[int] = []
         at = len(text)
