@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import events
 from tidemark.plans import views
 from tidemark.sources import feeds
 from tidemark.streaming import rounds
@@ -20,6 +21,35 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, rounds.round_of(news, log, F.lit(latest).cast("timestamp")).collect())) and got
 
 
+def candidates(spark, titles):
+    rows = spark.createDataFrame([(i, t, i == 1) for i, t in enumerate(titles)], "seq long, title string, push boolean")
+    same = {"content": "", "name": "", "source": "", "direction": "bullish", "scope": "market", "score": 8.0, "pref_score": 0.9, "judged": True, "published_at": "2026-01-05 10:00:00"}
+    rows = rows.withColumns({k: F.lit(v) for k, v in same.items()} | {k: F.array().cast("array<string>") for k in ("affected_stocks", "affected_sectors", "entities")})
+    return events.signed(rows, F.col("entities"), F.col("affected_sectors"), F.col("scope"))
+
+
+def test_representatives_meet_without_a_shared_key(spark):
+    rows = candidates(spark, ["美股开盘三大股指齐涨", "道指开盘涨0.52", "欧洲央行宣布维持利率不变"])
+    assert sorted(r["seq"] for r in rounds.representatives(rows).collect()) == [1, 2]
+
+
+def test_events_sent_within_48_hours_are_not_sent_again(spark):
+    rows = candidates(spark, ["美股开盘三大股指齐涨", "欧洲央行宣布维持利率不变"])
+    sent = candidates(spark, ["道指开盘涨0.52"]).select(F.lit(1).alias("event_id"), "sig", F.lit("2026-01-04 10:00:00").cast("timestamp").alias("t"))
+    gates = lambda at: {r["seq"]: r["gate"] for r in rounds.gated(rows, sent, F.lit(at).cast("timestamp"), ()).collect()}
+    assert gates("2026-01-05 10:00:00") == {0: "same event", 1: "sent"}
+    assert gates("2026-01-06 10:00:01") == {0: "sent", 1: "sent"}
+
+
+def test_seen_rows_are_left_out(spark):
+    from tidemark.functions.signatures import fingerprint
+
+    news, log, at = views.news(spark, SF), views.event_log(spark, SF), F.lit(views.AS_OF).cast("timestamp")
+    before = {r["seq"] for r in rounds.round_of(news, log, at).collect()}
+    seen = news.where(F.col("seq").isin(*before)).select(fingerprint(*map(F.col, ("published_at", "title", "content", "name", "affected_stocks"))).alias("fp"))
+    assert before and not before & {r["seq"] for r in rounds.round_of(news, log, at, seen=seen).collect()}
+
+
 def test_windowed_counts(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.coalesce(1).write.parquet(str(tmp_path / "in"))

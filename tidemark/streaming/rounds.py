@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..common import stored
 from ..functions import gates
 from ..functions.judge import rule_judge
-from ..functions.signatures import all_entities, same_event
-from ..operators import dedup, events, ranking
+from ..functions.signatures import fingerprint, same_event
+from ..operators import dedup, events, ranking, state
 
 GATES = "seq long, title string, direction string, score double, scope string, pref_score double, gate string"
 
@@ -20,10 +20,9 @@ GATES = "seq long, title string, direction string, score double, scope string, p
 def representatives(rows: DataFrame) -> DataFrame:
     """One row of each group that tells of the same event: the best by push, score and pref_score. For the few candidates of a round."""
     s = stored(rows)
-    keys = s.select("seq", F.explode(F.array_distinct(F.concat(F.array(F.substring("sig.title_norm", 1, 2)), F.col("sig.stocks"), all_entities(F.col("sig")), F.col("sig.events"), F.col("sig.sectors")))).alias("k"))
-    met = keys.select(F.col("seq").alias("a"), "k").join(keys.select(F.col("seq").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    sigs = s.select("seq", "sig")
-    pairs = met.join(sigs.select(F.col("seq").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("seq").alias("b"), F.col("sig").alias("sb")), "b").where(same_event(F.col("sa"), F.col("sb"))).select("a", "b")
+    # all pairs, as same_event needs no shared name: a round has no more than `most` candidates
+    left, right = (s.select(F.col("seq").alias(n), F.col("sig").alias(f"s{n}")) for n in "ab")
+    pairs = stored(left.crossJoin(F.broadcast(right)).where((F.col("a") < F.col("b")) & same_event(F.col("sa"), F.col("sb"))).select("a", "b"))
     rank = Window.partitionBy().orderBy(F.desc("push"), F.desc("score"), F.desc("pref_score"), "seq")
     placed = s.withColumn("_p", F.row_number().over(rank))  # as many rows as a round has candidates
     order = placed.select("seq", "_p")
@@ -38,19 +37,23 @@ def gated(rows: DataFrame, log: DataFrame, as_of: Column, watched: tuple[str, ..
     noise = gates.noise_reason(t, n, c, F.col("score"), F.col("scope"), leader, watched)
     topics = events.topic_counts(rows, log, as_of).select("seq", F.col("n").alias("topics"))
     themes = events.theme_counts(rows, log, as_of).select("seq", F.col("n").alias("themes"))
+    told = stored(events.already_sent(rows, log, as_of).withColumn("told", F.lit(True)))  # a plan of its own: same_event is large
     full = F.when((F.col("scope") == "market") & gates.is_macro_release(t), False).when((F.col("scope") == "market") & (F.col("themes") >= theme_limit), True).otherwise(F.col("topics") >= topic_limit)
     quiet = gates.quiet_reason(t, c, F.col("direction"), F.col("score"), F.lit(False), as_of)
     reason = (
         F.when(~F.col("judged"), "not judged").when(~F.col("direction").isin("bullish", "bearish"), "direction").when(noise != "", noise)
         .when(~gates.passes_threshold(mode, F.col("score"), F.col("direction"), F.col("scope"), leader), "threshold").when(quiet != "", quiet)
-        .when(F.lit(risk_off) & gates.falls_with_risk(t, c, F.col("source"), F.col("affected_sectors"), F.col("direction")), "risk").when(full, "topic").otherwise("sent")
+        .when(F.lit(risk_off) & gates.falls_with_risk(t, c, F.col("source"), F.col("affected_sectors"), F.col("direction")), "risk")
+        .when(F.coalesce("told", F.lit(False)), "same event").when(full, "topic").otherwise("sent")
     )
-    return rows.join(topics, "seq").join(themes, "seq").withColumn("gate", reason).drop("topics", "themes")
+    return rows.join(topics, "seq").join(themes, "seq").join(told, "seq", "left").withColumn("gate", reason).drop("topics", "themes", "told")
 
 
-def round_of(news: DataFrame, log: DataFrame, as_of: Column, watched: tuple[str, ...] = (), judge: Callable[[DataFrame], DataFrame] = rule_judge, most: int = 40) -> DataFrame:
-    """Duplicates out, candidates chosen, judged, grouped and gated: one row for each event, with its gate."""
+def round_of(news: DataFrame, log: DataFrame, as_of: Column, watched: tuple[str, ...] = (), judge: Callable[[DataFrame], DataFrame] = rule_judge, most: int = 40, seen: DataFrame | None = None) -> DataFrame:
+    """Duplicates and, where `seen` is given, rows with a seen fingerprint out, candidates chosen, judged, grouped and gated: one row for each event, with its gate."""
     fresh = dedup.by_title(dedup.by_url(news))
+    if seen is not None:
+        fresh = state.unseen(fresh.withColumn("fp", fingerprint(*map(F.col, ("published_at", "title", "content", "name", "affected_stocks")))), seen).drop("fp")
     chosen = stored(judge(ranking.candidates(fresh, watched, most)))
     signed = events.signed(chosen, F.coalesce("entities", F.array().cast("array<string>")), F.col("affected_sectors"), F.col("scope"))
     reps = stored(representatives(signed))
