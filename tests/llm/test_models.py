@@ -107,6 +107,18 @@ def test_every_template_is_confirmed(spark):
     assert all(licenses.FAMILIES[int(np.argmax(model.probabilities(t)))] == "unknown" for t in ("the of and", "", "quick fox jumps", "see the file"))
 
 
+def test_wrapped_notices_are_confirmed(spark):
+    import textwrap
+
+    long = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 90]
+    wrapped = [textwrap.wrap(t, 38) for _, t in long]
+    texts = ["Some code.\n\n" + "\n".join(" * " + x for x in lines) + "\n *\nend of it" for lines in wrapped]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    model = licenses.train(["the quick brown fox", "an ordinary line of text", "version of the work"])
+    rows = licenses.scan(docs, model).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"], r["similarity"]) for r in rows) == sorted([(i, 2, f, 1.0) for i, (f, _) in enumerate(long)] * 2)
+
+
 def test_licences_of_odd_rows(spark, odd_docs):
     docs = odd_docs.unionByName(spark.createDataFrame([(50, "x\nReleased under the MIT License.\n" + "y" * 9), (50, "x\nReleased under the MIT License.\n" + "y" * 9)], "doc_id long, text string"), allowMissingColumns=True)
     rows = licenses.scan(docs, licenses.fit(docs)).collect()

@@ -1,6 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison, in DataFrame functions alone.
 
-A paragraph is a line. Its distinct words and word pairs are the features of a sparse multinomial logistic
+A paragraph is a line, or a run of lines with words that are joined with spaces: notices are often wrapped.
+A run is judged for every family that is likelier than the class unknown, and gives a row, at its first line, where
+a template confirms the family and no line of it alone does; its unconfirmed lines of that family give none then.
+A paragraph's distinct words and word pairs are the features of a sparse multinomial logistic
 regression over the licence families and the class unknown, which is trained by proximal gradient steps on
 the templates (with words left out, versions changed and other words around them) and on ordinary paragraphs.
 Features that ordinary paragraphs share are none. Temperature scaling on held-out paragraphs calibrates the
@@ -148,6 +151,14 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("paragraph", "line"))
 
 
+def runs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with paragraph, last (numbers of the first and last line) and line (lower case) of every run of two or more lines with words."""
+    numbered = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x, i: F.when(x.rlike("[a-z0-9]"), F.concat(i.cast("string"), F.lit("\u0001"), x)).otherwise(""))
+    found = docs.select("*", F.explode(F.split(F.array_join(numbered, "\n"), "\n\n+")).alias("_run")).withColumn("_run", F.trim(F.col("_run"), F.lit("\n"))).where(F.contains("_run", F.lit("\n")))
+    number = lambda x: F.substring_index(x, "\u0001", 1).cast("int")
+    return found.select(*docs.columns, number(F.col("_run")).alias("paragraph"), number(F.substring_index("_run", "\n", -1)).alias("last"), F.regexp_replace("_run", "(^|\n)[0-9]+\u0001", " ").alias("line")).drop(text)
+
+
 def fit(docs: DataFrame, documents: int = 200, text: str = "text", most_lines: int = 4000, max_chars: int = 2000) -> Model:
     """Train with lines of at most `documents` documents, the first by a hash of their text, as ordinary paragraphs; longer lines than `max_chars` are not learned from."""
     some = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(documents)
@@ -170,13 +181,19 @@ def tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
 
 
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph, family, probability, template, similarity and confirmed of every paragraph whose likeliest class is a licence family."""
+    """doc_id, paragraph, family, probability, template, similarity and confirmed of every line whose likeliest class is a licence family, and of every run of lines that confirms one."""
     spark = docs.sparkSession
     weights, templates = tables(spark, model)
     single = sorted({w for g in model.weights for w in g.split() if " " not in g or w in model.weights})
-    lines = paragraphs(docs, id_column, text).withColumn("words", F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " "))
-    hit = lines.where(F.arrays_overlap("words", F.array(*map(F.lit, single)))).select("doc_id", "paragraph", F.array_join("words", " ").alias("norm"))
-    judged_norms = hit.select("norm").distinct().withColumn("words", F.split("norm", " "))
+    held = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.col(id_column), F.col(text)).alias("row"))
+    lines = held.select("doc_id", "row", F.posexplode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("paragraph", "line"))
+
+    def normed(rows: DataFrame) -> DataFrame:
+        words = F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " ")
+        return rows.withColumn("words", words).where(F.arrays_overlap("words", F.array(*map(F.lit, single)))).withColumn("norm", F.array_join("words", " ")).drop("words", "line")
+
+    hit, hit_runs = normed(lines), normed(runs(held, "_text"))
+    judged_norms = hit.select("norm").unionByName(hit_runs.select("norm")).distinct().withColumn("words", F.split("norm", " "))
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
     pairs = F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))
     taken = judged_norms.select("norm", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
@@ -192,8 +209,21 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "
 
     shares = taken.join(F.broadcast(templates), "gram").groupBy("norm", "k", "template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("share"))
     best = shares.groupBy("norm", "k").agg(F.max(F.struct("share", F.expr("translate(template, '0123456789', '9876543210')").alias("turned"))).alias("m"))
-    compared = predicted.join(best, ["norm", "k"], "left")
-    named = compared.select(
-        "norm", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1).alias("family"), "probability", F.expr("translate(m.turned, '0123456789', '9876543210')").alias("template"), F.round(F.coalesce("m.share", F.lit(0.0)), 6).alias("similarity")
-    ).withColumn("confirmed", F.col("similarity") >= CONFIRMED_FROM)
-    return hit.join(named, "norm").select("doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed")
+    # of runs: every family that is likelier than unknown
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), z[i].alias("z"), F.round(F.exp(z[i] - top) / total, 6).alias("probability")) for i in range(size - 1)]))
+    likely = logits.select("norm", z[size - 1].alias("unknown"), each.alias("e")).where(F.col("e.z") > F.col("unknown")).select("norm", "e.k", "e.probability")
+
+    def named(judged: DataFrame) -> DataFrame:
+        return judged.join(best, ["norm", "k"], "left").select(
+            "norm", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1).alias("family"), "probability", F.expr("translate(m.turned, '0123456789', '9876543210')").alias("template"), F.round(F.coalesce("m.share", F.lit(0.0)), 6).alias("similarity")
+        ).withColumn("confirmed", F.col("similarity") >= CONFIRMED_FROM)
+
+    by_line = hit.join(named(predicted), "norm")
+    by_run = hit_runs.join(named(likely).where("confirmed"), "norm")
+    place = lambda rows, n: rows.select(F.col("row").alias(f"row_{n}"), F.col("family").alias(f"family_{n}"), F.col("paragraph").alias(f"first_{n}"), *[F.col("last").alias(f"last_{n}")] * (n == "r")).distinct()
+    of_line = place(by_line.where("confirmed"), "l")
+    by_run = by_run.join(of_line, F.expr("row = row_l AND family = family_l AND first_l BETWEEN paragraph AND last"), "left_anti")
+    of_run = place(by_run, "r")
+    by_line = by_line.join(of_run, F.expr("NOT confirmed AND row = row_r AND family = family_r AND paragraph BETWEEN first_r AND last_r"), "left_anti")
+    out = ("doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed")
+    return by_line.select(*out).unionByName(by_run.select(*out))
