@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import licenses, quality, queries, sentencepieces, toxicity
 
 SF1 = "/root/testdata/sf0.1"
-MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+MODEL = queries.tokenizer_file("piece_bpe_32k.model")
 
 
 def held_out(spark, query, label):

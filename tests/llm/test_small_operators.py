@@ -27,7 +27,7 @@ def test_query_is_its_sql(spark, sf, db, name):
     assert plain(ours) == plain(theirs)
 
 
-URLS = [None, "", "no scheme", "http://Example.COM/en/7?x#y", "https://a.example.com/en/8", "https://xcom/en/1", "ftp://com/en/", "http://m.example.net/de/80", "http://example.net/de/9", "http://org?x=/es/", "http://org#/es/", "http://ORG/es/a", "//x://net/de/1", "http://é.org/es/", "http://" + "a" * 5000 + ".org/es/" + "b" * 5000]
+URLS = [None, "", "no scheme", "http://Example.COM/en/7?x#y", "https://a.example.com/en/8", "https://xcom/en/1", "ftp://com/en/", "http://m.example.net/de/80", "http://example.net/de/9", "http://org?x=/es/", "http://org#/es/", "http://ORG/es/a", "//x://net/de/1", "http://é.org/es/", "http://a\nb.com/en/\n1", "http://x\n.com/en/", "http://com\n/en/", "http://" + "a" * 5000 + ".org/es/" + "b" * 5000]
 
 
 def brute_rule(rules, host, path):
@@ -37,7 +37,7 @@ def brute_rule(rules, host, path):
 
 def test_url_rules_are_brute_force(spark):
     rules = [url_filters.Rule.parse(*r) for r in queries.URL_RULES]
-    rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, host string")
+    rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, host string").withColumn("_judged", F.lit("stays"))
     got = url_filters.filter_urls(rows, rules).orderBy("page_id").collect()
     assert len(got) == len(URLS) + 3
     for r, u in zip(got, URLS + URLS[:3], strict=True):
@@ -64,9 +64,7 @@ def test_top_k_on_odd_vectors(spark):
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     clean = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q in {i for i, _ in clean if i % 20 == 0}:
-        if q == 20:
-            continue  # two rows under one id: either may ask
-        v = next(v for i, v in clean if i == q)
+        v = min(v for i, v in clean if i == q)  # of two rows under one id the smaller vector asks
         best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in clean if i != q and len(w) == len(v))[:7]
         assert sorted(got.get(q, [])) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert topk_search.top_k(vectors.where("vec_id < 0"), "vec_id", "embedding", F.lit(True)).count() == 0
@@ -168,7 +166,7 @@ def test_exact_complements_of_all_kinds():
 def test_packing(spark, sf, odd_docs):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer_file("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     for docs, size in ((queries.table(spark, sf, "documents"), 2048), (odd_docs, 100)):
         texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
@@ -191,7 +189,7 @@ def test_packing(spark, sf, odd_docs):
 def test_chunks_are_the_whole_text():
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.tokenizer_file("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     odd = ["ΣΑΣ. Foo's x", "áb É ﬁ İstanbul K", "don't  stop...\tnow\x1cthen x 12,5 a.b.c U.S., <|endoftext|> hi<|startoftext|>.", "  ", "", "a\r\nb\x0b c", "日本語。テスト, 12345.", "é. ́x l'été. x'S", "Ünï, ö. ß! ñ; É:"]
     for _ in range(2):  # unknown, then remembered

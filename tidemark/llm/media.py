@@ -1,7 +1,7 @@
 """Media columns: WAV payloads, short-time Fourier transforms, spectral-peak pair fingerprints.
 
-A payload becomes a mono WAV of 8-bit samples; the wave module writes it and reads it back. Windows of the
-samples are transformed, each window keeps its loudest bands' peaks, and pairs of near peaks become the
+A payload becomes a mono WAV of 8-bit samples; the wave module writes it and reads it back. Half
+overlapping windows of the samples are transformed, each window keeps its loudest bands' peaks, and pairs of near peaks become the
 fingerprint: arrays of (time, code), where a code holds both frequencies and the gap between them.
 
 Defined results: a null text is an empty one; the payload is padded by zero bytes to a positive multiple of
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 RATE = 8000
 UNIT = 64
 WINDOW = 256
-HOP = 256
+HOP = WINDOW // 2
 #: Frequency ranges of which each window keeps the loudest bin.
 BANDS = ((2, 8), (8, 16), (16, 32), (32, 64), (64, 128))
 #: Windows ahead within which a peak is paired.

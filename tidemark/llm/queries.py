@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from . import licenses, media, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
 
-#: Where the vocabularies of public tokenizers lie; a parameter of the queries that use them.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 SHARDS = 8
@@ -87,7 +92,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer_file("piece_bpe_32k.model")
     rows = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, merges=True, decoded=True)
     count = lambda c: (F.octet_length(c) / 4).cast("long")
     return rows.select(
@@ -102,13 +107,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.token_pieces(docs, f"{TOKENIZERS}/word_bpe_49k.json", SEQUENCE)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
+def pieces_of(docs: DataFrame) -> DataFrame:
+    return packing.token_pieces(docs, tokenizer_file("word_bpe_49k.json"), SEQUENCE)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    pieces = pieces_of(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ordered_prefix, shared_folder
+from .shared import ordered_prefix, shared_folder, unused
 
 _LEAST = -(2**63)
 
@@ -135,6 +135,7 @@ def reshard(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id"
 
 def slots(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """rows with slot: the place of each row in its shard, gapless from 0, by id."""
-    numbered, _ = ordered_prefix(rows.drop("slot").withColumn("_one", F.lit(1).cast("long")), "shard", [F.col(id_column)], "_one", "slot", "_before")
-    return numbered.drop("_one", "_before")
+    one, before = (unused(n, [*rows.columns, "slot"]) for n in ("_one", "_before"))
+    numbered, _ = ordered_prefix(rows.drop("slot").withColumn(one, F.lit(1).cast("long")), "shard", [F.col(f"`{id_column}`")], one, "slot", before)
+    return numbered.drop(one, before)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,24 +19,50 @@ PASS_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session takes a temporary one, and a cluster is an error."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-tables/{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark) + '/tidemark-tables'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """The written tables of one computation, by name, so that those that nothing reads any more can be deleted before it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/tidemark-tables/{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        return written(df, f"{self.folder}/{name}")
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as make it none of the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its partitions as they are, kept in the shared folder."""
     shared_folder(df.sparkSession)
@@ -206,38 +232,46 @@ class IdBitmap:
 
     def __init__(self, ids: DataFrame, column: str):
         self.bits = min(BITMAP_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
-        self.words = written(ids.select(*self._place(column)).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_m")))
+        word, bit = self._place(F.col(f"`{column}`"))
+        self.words = written(ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
 
-    def _place(self, column: str) -> list:
-        at = F.pmod(F.xxhash64(column), F.lit(self.bits))
-        return [F.shiftright(at, 6).alias("_w"), (at % 64).cast("int").alias("_b")]
+    def _place(self, value: Column) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(value), F.lit(self.bits))
+        return F.shiftright(at, 6), (at % 64).cast("int")
 
     def marked(self, df: DataFrame, column: str, flag: str) -> DataFrame:
         """df with a flag that is false where the id is surely not in the table."""
-        placed = df.select("*", *self._place(column)).join(F.broadcast(self.words), "_w", "left")
-        return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.expr("shiftright(_m, _b) & 1L = 1L"), F.lit(False)).alias(flag))
+        word, bit, mask = (unused(n, [*df.columns, flag]) for n in ("_word", "_bit", "_mask"))
+        at = self._place(F.col(f"`{column}`"))
+        placed = df.withColumns({word: at[0], bit: at[1]}).join(F.broadcast(self.words.select(F.col("word").alias(word), F.col("mask").alias(mask))), word, "left")
+        return placed.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.expr(f"shiftright(`{mask}`, `{bit}`) & 1L = 1L"), F.lit(False)).alias(flag))
 
     def matching(self, df: DataFrame, column: str) -> DataFrame:
-        return self.marked(df, column, "_hit").where("_hit").drop("_hit")
+        flag = unused("_hit", df.columns)
+        return self.marked(df, column, flag).where(F.col(f"`{flag}`")).drop(flag)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of the graph whose edges are the columns a and b.
 
     Labels hook to the smallest label next to them, and hooks are shortened by pointer jumps, until no edge
-    joins two labels. Every round is a written table.
+    joins two labels. Every round is a written table, and takes the place of the round before.
     """
+    tables = Tables(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    labels = tables.write("labels0", both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    turn = 0
     while True:
         ends = edges.join(labels.select(F.col("node").alias("a"), F.col("component").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b")
-        hooks = written(ends.where("la <> lb").groupBy(F.greatest("la", "lb").alias("high")).agg(F.min(F.least("la", "lb")).alias("low")))
+        hooks = tables.write(f"hooks{turn}", ends.where("la <> lb").groupBy(F.greatest("la", "lb").alias("high")).agg(F.min(F.least("la", "lb")).alias("low")))
         if hooks.isEmpty():
             return labels
         for _ in range(2):
             on = hooks.select(F.col("high").alias("low"), F.col("low").alias("lower"))
             hooks = hooks.join(on, "low", "left").select("high", F.coalesce("lower", "low").alias("low"))
-        labels = written(labels.join(hooks, labels["component"] == hooks["high"], "left").select("node", F.coalesce("low", "component").alias("component")))
+        turn += 1
+        labels = tables.write(f"labels{turn}", labels.join(hooks, labels["component"] == hooks["high"], "left").select("node", F.coalesce("low", "component").alias("component")))
+        tables.free(f"labels{turn - 1}", f"hooks{turn - 1}")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, max_bytes: int, ones: float = 0.5, id_column: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], float]:

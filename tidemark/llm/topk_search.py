@@ -7,8 +7,8 @@ Survivors are compacted and go on. Cells give at most k rows a query, which a ra
 
 Defined results: vectors that are null or hold null or non-finite components take no part; only vectors of
 the same length are compared, and two empty ones score 0; a query never finds its own id; ties go to the
-smaller id; repeated rows count as one row each on either side, under one id; fewer candidates give fewer
-rows. Scores must stay under 2**53, where sums of doubles are exact.
+smaller id; rows that share an id are candidates each, and the one with the smallest vector asks for the
+id; fewer candidates give fewer rows; other columns are not read, whatever their names. Scores must stay under 2**53, where sums of doubles are exact.
 """
 
 from __future__ import annotations
@@ -73,7 +73,9 @@ def top_k(vectors: DataFrame, id_column: str, vector_column: str, is_query: Colu
     def search(cell: pd.DataFrame) -> pd.DataFrame:
         asks = cell["asks"].to_numpy()
         pack = lambda part: np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.empty((0, 0))
-        q, v = cell[asks].drop_duplicates("id"), cell[~asks]
+        q, v = cell[asks], cell[~asks]
+        if q["id"].duplicated().any():
+            q = q.iloc[sorted(range(len(q)), key=lambda i: tuple(q["v"].iloc[i]))].drop_duplicates("id")
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids, query_ids = v["id"].to_numpy(), q["id"].to_numpy()

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 _TOKEN = re.compile(r"[^/.\-_:@?#=&%+*~,;!]+")
 _SPLIT = r"[/.\-_:@?#=&%+*~,;!]+"
 RESULT = "host string, path string, rule string, verdict string"
@@ -43,10 +45,10 @@ class Rule:
     def text(self) -> str:
         return self.host + self.path
 
-    def pattern(self) -> str:
-        """Fits `host + newline + path`."""
+    def patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """One that fits whole hosts, and one that fits the beginning of paths; either may hold any character, line ends too."""
         host, path = (".*".join(re.escape(x) for x in part.split("*")) for part in (self.host, self.path))
-        return rf"(?:[^\n]*\.)?{host}\n{path}"
+        return re.compile(rf"(?:.*\.)?{host}\Z", re.DOTALL), re.compile(path, re.DOTALL)
 
     def tokens(self) -> set[str]:
         """Literal tokens that every URL the rule fits holds whole: host labels, and path segments that end within the prefix."""
@@ -85,19 +87,18 @@ def token_counts(urls: DataFrame, column: str, tokens: set[str]) -> dict[str, in
 
 class RuleIndex:
     def __init__(self, rules: Iterable[Rule], counts: dict[str, int]):
-        self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = {}
-        self.always: list[tuple[Rule, re.Pattern]] = []
+        self.by_token: dict[str, list[tuple[Rule, re.Pattern, re.Pattern]]] = {}
+        self.always: list[tuple[Rule, re.Pattern, re.Pattern]] = []
         for rule in dict.fromkeys(rules):
-            entry = (rule, re.compile(rule.pattern(), re.DOTALL))
+            entry = (rule, *rule.patterns())
             literal = sorted(rule.tokens(), key=lambda t: (counts.get(t.lower(), 0), t))
             (self.by_token.setdefault(literal[0], []) if literal else self.always).append(entry)
 
     def judge(self, host: str, path: str) -> Rule | None:
-        where = f"{host}\n{path}"
         found = [*self.always]
         for token in {*_TOKEN.findall(host), *_TOKEN.findall(path)}:
             found += self.by_token.get(token, ())
-        fits = [rule for rule, pattern in found if pattern.match(where)]
+        fits = [rule for rule, of_host, of_path in found if of_path.match(path) and of_host.match(host)]
         return min(fits, key=lambda r: (-len(r.text), r.text), default=None)
 
 
@@ -117,4 +118,5 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], column: str = "url", de
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept, judged(F.col(column)).alias("_judged")).select(*kept, "_judged.*")
+    result = unused("_judged", pages.columns)
+    return pages.select(*kept, judged(F.col(column)).alias(result)).select(*kept, f"{result}.*")
