@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset a local session takes a temporary folder, and a cluster is an error."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or context.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
