@@ -1,20 +1,32 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 A document's set holds its distinct word shingles (a shorter text is one shingle; a text without words has
-none and links with nothing). Equal sets are one class, known by its smallest id. Signatures of MinHash
-values are banded; within a bucket every class is compared with the class that shares most bands with others,
-which takes a number of pairs in proportion to the rows. While a bucket holds classes of several components, a
-few of its members, others each turn, meet the rest, again in proportion. What is left at the end is compared
-across components, so no link between candidates is lost.
-
-Comparing is sequential: signatures are read batch by batch, and a pair is dropped as soon as the chance,
+none and links with nothing). Equal sets are one class, named by a hash of the set. Signatures of MinHash
+values are banded, and classes that share a bucket are candidates. They are verified in three steps, none of
+which makes all pairs of a group:
+
+1. Each bucket is led by the class that shares most bands with others. Every class is tested against its
+   leaders, and the most famous of those that are about half like it or more is its home; the two full sets
+   are compared, which gives the class's difference to its home. These are as many pairs as classes.
+2. Classes of one home: |A xor B| = |A'| + |B'| - 2 |A' and B'| for the differences A', B'. Two classes that
+   are linked, though not both with the home, must share so many elements of their differences that they meet
+   through the rarest of them (a prefix filter); so most of a large family never meets. What meets is tested on
+   the signatures, and decided exactly from the differences.
+3. Classes of different homes in a bucket whose components are not the same yet are tested on the signatures
+   inside the join; what survives is confirmed on the full sets.
+
+The test is sequential: signatures are read batch by batch, and a pair is dropped as soon as the chance,
 given the matches so far under a uniform prior, that its similarity reaches the threshold falls below
-`miss`. What survives is confirmed on the full sets, in integers. A pair at the threshold shares no band
-with probability (1 - s**rows)**bands: 3 in a million at 0.8 with 32 bands of 5 rows.
+`miss`. Confirmation is in integers. A pair at the threshold shares no band with probability
+(1 - s**rows)**bands: 3 in a million at 0.8 with 32 bands of 5 rows.
+
+Signatures are kept as their low bytes. Equal values have equal bytes, so tests on bytes find no fewer
+matches and bands of bytes no fewer candidates.
 
 Defined results: null and empty texts have 0 shingles and are their own component; a null id is never
-linked, and its row is kept with a null component; rows that share an id count as one document; an empty
-table gives an empty one.
+linked, and its row is kept with a null component; rows that share an id are one document, linked with all
+that any of their texts is linked with; repeated rows give repeated rows; an empty table gives an empty one;
+other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import IdBitmap, as_array, components, give_back, mixed, passes, shingle_sets, written
+from .shared import IdBitmap, Tables, as_array, components, give_back, passes, shingle_sets, written
 
-SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<tinyint>"
+SIGNED = "doc_id long, n_shingles long, node long, sketch array<tinyint>"
+COMPARED = "leader long, node long, n_leader long, n_node long, both long, diff array<long>"
 #: Values of a signature that one step of the sequential test reads.
 STEP = 20
-#: Turns in which DELEGATES members of each mixed bucket's largest component meet those outside it, while more than FEW pairs a member are left.
-TURNS = 2
-DELEGATES = 8
-FEW = 4
+#: The similarity, in percent, from which a leader can be a class's home.
+HOME_PERCENT = 50
+#: Members of a leader's group that one copy of the leader's text is compared with.
+GROUP = 4096
 
 
 def hash_functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +82,14 @@ def least_matches(threshold: float, total: int, miss: float) -> dict[int, int]:
     return found
 
 
-def band_keys(signatures: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """A hash of the place and values of each band of each signature."""
-    salt = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    factor = mixed(np.arange(101, 101 + rows, dtype=np.uint64)) | np.uint64(1)
-    values = signatures[:, : rows * bands].astype(np.uint64).reshape(len(signatures), bands, rows)
-    return mixed(mixed((values + np.uint64(1)) * factor).sum(2, dtype=np.uint64) + salt).view(np.int64)
+def named(shingles: np.ndarray) -> int | None:
+    """The class of a set: 64 bits of a hash of all its elements; None for the empty set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
 
 
-def sign(docs: DataFrame, words: int, rows: int, bands: int, id_column: str, text: str) -> DataFrame:
-    """The digest of each text's set, its bands, and its sketch: the low byte of each MinHash value. Equal values have equal bytes, so a test on bytes never finds fewer matches."""
-    functions = hash_functions(rows * bands)
-
-    def lists(values: np.ndarray, filled: np.ndarray, kind: pa.DataType) -> pa.Array:
-        ends = np.cumsum(np.r_[0, filled * values.shape[1]], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[filled].reshape(-1), kind), mask=pa.array(~filled))
+def sign(docs: DataFrame, words: int, count: int, id_column: str, text: str) -> DataFrame:
+    """Each row's class and sketch: the low byte of each of `count` MinHash values."""
+    functions = hash_functions(count)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,143 +97,196 @@ def sign(docs: DataFrame, words: int, rows: int, bands: int, id_column: str, tex
             for low, high in passes(texts):
                 sets = list(shingle_sets(texts.slice(low, high - low), words))
                 filled = np.array([len(s) > 0 for s in sets])
-                least = np.stack([signature(s, functions) for s in sets]).astype(np.uint32)
-                classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sketch = (least & 255).astype(np.uint8).view(np.int8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), lists(band_keys(least, rows, bands), filled, pa.int64()), lists(sketch, filled, pa.int8())], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
+                sketch = (np.stack([signature(s, functions) for s in sets]) & 255).astype(np.uint8).view(np.int8)
+                ends = np.cumsum(np.r_[0, filled * count], dtype=np.int32)
+                sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch[filled].reshape(-1), pa.int8()), mask=pa.array(~filled))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(named, sets), pa.int64()), sketches], names=["doc_id", "n_shingles", "node", "sketch"])
         give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(signed, SIGNED)
 
 
-def matrix(sketches: pa.Array) -> np.ndarray:
-    """Sketches, all of one length, as rows."""
-    return sketches.flatten().to_numpy().reshape(len(sketches), -1)
+def banded(nodes: DataFrame, rows: int, bands: int) -> DataFrame:
+    """band, node: one row for each band of each node."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * rows + 1, rows)))
+    return nodes.select("node", F.explode(keys).alias("band"))
+
 
+def alike(x: str, y: str, table: dict[int, int]) -> Column:
+    """Whether the sequential test passes two sketches: a fold over the steps, which reads no further once one has dropped the pair."""
+    ends = sorted(table)
+    steps = F.array(*[F.struct(F.array(*map(F.lit, range(low, high))).alias("at"), F.lit(table[high]).alias("least")) for low, high in zip([0, *ends], ends, strict=False)])
+    equal = lambda at: F.size(F.filter(at, lambda i: F.get(F.col(x), i) == F.get(F.col(y), i)))
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """place, band, node: one row for each band of each node."""
-    return nodes.select("node", F.posexplode("bands").alias("place", "band"))
+    def step(matches: Column, s: Column) -> Column:
+        more = F.element_at(F.transform(F.array(matches + equal(s["at"])), lambda m: F.when(m >= s["least"], m).otherwise(-1)), 1)
+        return F.when(matches < 0, matches).otherwise(more)
 
+    return F.aggregate(steps, F.lit(0), step) >= 0
 
-def likely(pairs: DataFrame, sketches: DataFrame, percent: int, count: int, miss: float) -> DataFrame:
-    """The pairs a, b that the sequential test on their sketches does not rule out."""
-    table = least_matches(percent / 100, count, miss)
+
+def survivors(pairs: DataFrame, known: DataFrame, table: dict[int, int]) -> DataFrame:
+    """The pairs of a leader and a node that the sequential test on their sketches does not rule out."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda column: column.flatten().to_numpy().reshape(len(column), -1)  # noqa: E731  sketches have one length
         for whole in batches:
             for low in range(0, len(whole), 4096):
                 batch = whole.slice(low, 4096)
-                x, y = matrix(batch.column(2)), matrix(batch.column(3))
+                x, y = rows(batch.column(2)), rows(batch.column(3))
                 alive, matches, done = np.arange(len(batch)), np.zeros(len(batch), np.int64), 0
                 for n, least in table.items():
                     matches = matches + (x[alive, done:n] == y[alive, done:n]).sum(1)
                     keep = matches >= least
                     alive, matches, done = alive[keep], matches[keep], n
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
-
-    one, two = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["leader", "node"])
 
+    of = lambda n: known.select(F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}"))
+    return pairs.join(of("leader"), "leader").join(of("node"), "node").select("leader", "node", "sketch_leader", "sketch_node").mapInArrow(test, "leader long, node long")
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets; a built-in function, so no batch of large sets is ever gathered."""
-    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-    na, nb = F.size("sa").cast("long"), F.size("sb").cast("long")
-    fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(fits).where((100 + percent) * both >= percent * (na + nb)).select("a", "b")
 
+def compared(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
+    """The pairs of a leader and a node with the sizes of their full sets, of what both hold, and what one of them holds alone.
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_column: str, text: str) -> DataFrame:
-    """node, shingles of the wanted nodes' texts: a bitmap of their ids keeps most other texts from being shuffled."""
+    A leader's text is sent along with every GROUP of its nodes, and comes first in its group; a task holds one
+    leader's set at a time, however many nodes follow.
+    """
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    first = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node"), F.lit(0).alias("follows"))
+    rest = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(1).alias("follows"))
+    seats = written(first.unionByName(rest).join(known.select("node", "doc_id"), "node"))
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            texts = as_array(batch.column(1))
+            texts = as_array(batch.column(3))
             for low, high in passes(texts):
-                found = list(shingle_sets(texts.slice(low, high - low), words))
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
+                found: list[tuple[int, int, int, int, int]] = []
+                diffs = []
+                keys = zip(*(batch.column(i).slice(low, high - low).to_pylist() for i in range(3)), shingle_sets(texts.slice(low, high - low), words), strict=True)
+                for group, node, follows, shingles in keys:
+                    if named(shingles) != node:  # another text of an id that several rows share
+                        continue
+                    if not follows:
+                        leader, own = group, shingles
+                    elif leader == group:
+                        diff = np.setxor1d(own, shingles, assume_unique=True)
+                        found.append((group, node, len(own), len(shingles), (len(own) + len(shingles) - len(diff)) // 2))
+                        diffs.append(diff.view(np.int64))
+                columns = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)]
+                ends = np.cumsum([0, *map(len, diffs)], dtype=np.int32)
+                values = pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=["leader", "node", "n_leader", "n_node", "both", "diff"])
         give_back()
 
-    texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text).alias("text"))
-    near = IdBitmap(wanted, "node").matching(texts, "node").join(wanted, "node", "left_semi")
-    return near.dropDuplicates(["node"]).mapInArrow(collect, "node long, shingles array<long>")
-
-
-def still_apart(buckets: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
-    """band, place, node, component and largest (the bucket's component with most nodes) of the buckets that hold more than one component; how many pairs of nodes they hold across components, and how many nodes."""
-    named = written(buckets.select("band", "place", "node").join(found, "node", "left").select("band", "place", "node", F.coalesce("component", "node").alias("component")))
-    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = written(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", (-F.col("component")).alias("m"))).alias("top")).where("c > 1").select("band", "n", "same", (-F.col("top.m")).alias("largest")))
-    total = mixed_buckets.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    return named.join(mixed_buckets.select("band", "largest"), "band"), int(total["pairs"]), int(total["n"])
-
-
-def apart_pairs(apart: DataFrame, known: DataFrame, rows: int, bands: int, least: dict[int, int]) -> DataFrame:
-    """x, y: pairs of a bucket's nodes across components. The sequential test is part of the join, so a pair comes out only if it passes, and in its first common band only."""
-    signed = apart.join(known, "node")
-    one, two = (signed.select("band", *(["place"] if n == "x" else []), F.col("node").alias(n), F.col("component").alias(f"c{n}"), F.col("sketch").alias(f"s{n}"), F.col("bands").alias(f"b{n}")) for n in "xy")
-    equal = lambda x, y: F.zip_with(x, y, lambda a, b: a == b)
-    enough = F.size(F.filter(equal("sx", "sy"), lambda e: e)) >= least[rows * bands]
-    first = F.array_position(equal("bx", "by"), True) - 1
-    return one.join(two, "band").where((F.col("cx") < F.col("cy")) & (first == F.col("place")) & enough).select("x", "y")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    near = IdBitmap(seats.select("doc_id").distinct(), "doc_id").matching(texts, "doc_id").join(seats, "doc_id")
+    return near.repartition("leader", "part").sortWithinPartitions("leader", "part", "follows").select("leader", "node", "follows", "text").mapInArrow(compare, COMPARED)
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the compared pairs with 100 * intersection >= percent * union."""
+    return rows.where(F.expr(f"{100 + percent} * both >= {percent} * (n_leader + n_node)")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def relatives(homes: DataFrame, found: DataFrame, known: DataFrame, percent: int, table: dict[int, int]) -> DataFrame:
+    """a, b: links across components among the nodes of one home.
+
+    With d = |difference to the home| and c = (100 - percent) / (100 + percent), two nodes are linked if
+    they share at least (d1 + d2 - c (n1 + n2)) / 2 elements of their differences. A node that is out (of the
+    home's component) has d > c (n + n_home), and none has d - c n < -c n_home. So every node shares more than
+    (d - c n + c n_home) / 2 elements with an out node that it is linked with, and an out node at least
+    (d - c n - c n_home) / 2 with any: they meet through the rarest of their elements, which are all but so many.
+    Elements that only one node of a home has cannot be shared, and count for nothing.
+    """
+    spark = homes.sparkSession
+    of = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"component_{n}"))
+    placed = homes.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
+    placed = placed.withColumn("component", F.coalesce("component_node", "node")).withColumn("out", F.col("component") != F.coalesce("component_leader", "leader"))
+    mixed_homes = placed.where("out").select("leader").distinct()
+    placed = written(placed.join(mixed_homes, "leader", "left_semi").select("leader", "node", "component", "out", "n_leader", "n_node", "diff"))
+    each = placed.select("leader", "node", F.explode("diff").alias("e"))
+    counts = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(counts, ["leader", "e"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("by_n"))
+    q, less = 100 + percent, 100 - percent
+    score, base = F.expr(f"{q}L * size(diff) - {less}L * n_node"), F.expr(f"{less}L * n_leader")
+    held = placed.join(shared, ["leader", "node"]).join(known.select("node", "sketch"), "node")
+    held = held.withColumn("score", score).withColumn("base", base).withColumn("m", F.size("by_n"))
+    held = held.withColumn("some", F.expr(f"m - (score + base) div {2 * q}")).withColumn("most", F.expr(f"m - greatest(1L, (score - base + {2 * q - 1}) div {2 * q}) + 1"))
+    rows = written(held.select("leader", "node", "component", "out", "n_node", F.size("diff").alias("d"), F.transform("by_n", lambda s: s["e"]).alias("own"), "sketch", "some", "most"))
+
+    def keyed(side: DataFrame, length: str, n: str) -> DataFrame:
+        fields = [F.col(c).alias(f"{c}_{n}") for c in ("node", "component", "n_node", "d", "own", "sketch")]
+        return side.where(f"{length} > 0").select("leader", *fields, F.posexplode(F.slice("own", F.lit(1), F.col(length).cast("int"))).alias(f"at_{n}", "e"))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but many comparisons: not to be merged into few tasks
+    one, two = (keyed(side, length, n).repartition(parts, "leader", "e") for side, length, n in ((rows, "some", "x"), (rows.where("out"), "most", "y")))
+    excess = q * (F.col("d_x") + F.col("d_y")) - less * (F.col("n_node_x") + F.col("n_node_y"))
+    # if this is the first element that both have, no more can follow
+    can = excess <= 2 * q * F.least(F.size("own_x") - F.col("at_x"), F.size("own_y") - F.col("at_y"))
+    exact = excess <= 2 * q * F.size(F.array_intersect("own_x", "own_y"))
+    fits = F.when((F.col("component_x") != F.col("component_y")) & can, F.when(alike("sketch_x", "sketch_y", table), exact).otherwise(False)).otherwise(False)
+    return one.join(two, ["leader", "e"]).where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def strangers(buckets: DataFrame, homes: DataFrame, found: DataFrame, known: DataFrame, table: dict[int, int]) -> DataFrame:
+    """leader, node: pairs of different homes and components in a bucket that the sequential test passes. The test is part of the join; the nodes of a bucket's largest home are not set against each other."""
+    placed = buckets.join(homes.select("node", F.col("leader").alias("home")), "node", "left").join(found, "node", "left")
+    placed = written(placed.select("band", "node", F.coalesce("home", "node").alias("home"), F.coalesce("component", "node").alias("component")))
+    apart = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band")
+    sizes = placed.join(apart, "band", "left_semi").groupBy("band", "home").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy("band").agg(F.max(F.struct("n", "home")).alias("top"), F.count(F.lit(1)).alias("homes")).where("homes > 1").select("band", F.col("top.home").alias("top"))
+    signed = placed.join(tops, "band").join(known.select("node", "sketch"), "node")
+    one, two = (signed.select("band", "top", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "home", "component", "sketch")]) for n in "xy")
+    one, two = one.where("home_x <> top").drop("top"), two
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("home_x") != F.col("home_y")) & ((F.col("home_y") == F.col("top")) | (F.col("node_x") < F.col("node_y")))
+    met = one.join(two, "band").where(F.when(fits, alike("sketch_x", "sketch_y", table)).otherwise(False))
+    return met.select(F.least("node_x", "node_y").alias("leader"), F.greatest("node_x", "node_y").alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 5, bands: int = 32, miss: float = 1e-6, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept for every row of docs."""
-    count = rows * bands
-    signed = written(sign(docs, words, rows, bands, id_column, text))
-    classes = signed.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("node"))
-    member = written(signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")))
+    tables, source = Tables(docs.sparkSession), (docs, words, id_column, text)
+    signed = tables.write("signed", sign(docs, words, rows * bands, id_column, text))
+    member = written(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
+    sets = member.where("node IS NOT NULL").select("doc_id", "node")
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("first"))
 
     # one sketch for each class: rows that the bitmap says are no copies need no join
-    copies = written(member.where("doc_id <> node").select("doc_id").distinct())
-    bitmap = IdBitmap(copies, "doc_id")
-    flagged = bitmap.marked(signed.where("class IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "bands", "sketch"), "doc_id", "maybe")
-    named = lambda rows: rows.select(F.col("doc_id").alias("node"), "bands", "sketch")
-    nodes = named(flagged.where("NOT maybe")).unionByName(named(flagged.where("maybe").join(copies, "doc_id", "left_anti")))
+    copies = tables.write("copies", sets.join(least, "node").where("doc_id <> first").select("doc_id", "node").distinct())
+    flagged = IdBitmap(copies, "doc_id").marked(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", "sketch"), "doc_id", "maybe")
+    nodes = flagged.where("NOT maybe").drop("maybe").unionByName(flagged.where("maybe").drop("maybe").join(copies, ["doc_id", "node"], "left_anti"))
 
-    places = banded(nodes)
+    places = banded(nodes, rows, bands)
     sizes = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("band", "n")
-    buckets = written(places.join(sizes, "band"))
+    buckets = tables.write("buckets", places.join(sizes, "band"))
     # a family's centre shares its bands with most of the family, so it leads wherever it is
-    fame = buckets.groupBy("node").agg(F.sum("n").alias("fame"))
-    shared = written(fame.select("node"))
-    known = written(IdBitmap(shared, "node").matching(nodes, "node").join(shared, "node", "left_semi").dropDuplicates(["node"]))
-    famous = buckets.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"))).alias("top"))
-    leaders = famous.select("band", (-F.col("top.m")).alias("leader"))
-
-    sets = written(full_sets(docs, shared, words, id_column, text))
-
-    def links_among(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(likely(pairs, known, percent, count, miss), sets, percent))
-
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = written(buckets.join(leaders, "band").where("node <> leader").select(*ordered("node", "leader")).distinct())
-    links = links_among(tested)
+    fame = tables.write("fame", buckets.groupBy("node").agg(F.sum("n").alias("fame")))
+    known = tables.write("known", IdBitmap(fame, "node").matching(nodes, "node").join(fame, "node").dropDuplicates(["node"]))
+    tables.free("signed", "copies")
+    famous = F.struct("fame", (-F.col("node")).alias("m"))
+    leaders = buckets.join(fame, "node").groupBy("band").agg(F.max(famous).alias("top")).select("band", (-F.col("top.m")).alias("leader"))
+    tested = buckets.join(leaders, "band").where("node <> leader").select("leader", "node").distinct()
+    likely = survivors(tested, known, least_matches(HOME_PERCENT / 100, rows * bands, miss))
+    best = likely.join(fame.select(F.col("node").alias("leader"), "fame"), "leader").groupBy("node").agg(F.max(F.struct("fame", (-F.col("leader")).alias("m"))).alias("top"))
+    # fame grows along homes, or the number falls, so no two nodes are each other's home
+    own = best.join(fame, "node").where(F.col("top") > famous).select((-F.col("top.m")).alias("leader"), "node")
+    homes = tables.write("homes", compared(tables.write("own", own), known, *source))
+
+    table = least_matches(percent / 100, rows * bands, miss)
+    links = tables.write("links1", linked(homes, percent))
+    found = components(links)
+    links = tables.write("links2", links.unionByName(relatives(homes, found, known, percent, table)))
     found = components(links)
-    apart = buckets
-    for turn in range(TURNS + 1):
-        apart, left, members = still_apart(apart, found)
-        if not left:
-            break
-        last = turn == TURNS or left <= FEW * members
-        if last:
-            pairs = apart_pairs(apart, known, rows, bands, least_matches(percent / 100, count, miss))
-        else:
-            # a few members of each bucket's largest component, others each time, meet those outside it
-            order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            some = apart.where("component = largest").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DELEGATES)
-            pairs = some.select("band", F.col("node").alias("x")).join(apart.where("component <> largest").select("band", F.col("node").alias("y")), "band")
-        fresh = written(pairs.select(*ordered("x", "y")).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = written(links.unionByName(links_among(fresh)))
-        found = components(links)
-        if last:
-            break
-        tested = written(tested.unionByName(fresh))
-
-    named = member.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    left = tables.write("left", strangers(buckets, homes, found, known, table))
+    links = links.unionByName(linked(compared(left, known, *source), percent))
+    # the texts of one id are one document
+    split = sets.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    links = links.unionByName(sets.join(split, "doc_id").where("node > a").select("a", F.col("node").alias("b")))
+    found = components(tables.write("links3", links))
+    tables.free("buckets", "fame", "known", "own", "homes", "links1", "links2", "left", "links3")
+
+    placed = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
