@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup, packing, quality, queries, toxicity
-from tidemark.llm.shared import IdBitmap, written
+from tidemark.llm.shared import IdBitmap, unused, written
 
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under TOXIC_FROM."""
+    """Documents whose toxicity score is under TOXIC_FROM; null and empty texts are scored as any other, equal rows alike."""
     queries.small_batches(spark)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(3, 1))
     return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is GOOD_FROM or more."""
+    """Documents whose quality score is GOOD_FROM or more; null and empty texts are scored as any other, equal rows alike."""
     queries.small_batches(spark)
     model = quality.fit(docs, queries.table(spark, sf_dir, "labels"), queries.learnable(5, 0))
     return quality.score(docs, model).where(F.col("score") >= GOOD_FROM).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Of rows that share this id one stays, with the least text. Texts without words are near nothing and stay, but
+    for rows that share an id; rows with a null id all stay.
+    """
     queries.small_batches(spark)
     found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = written(found.where("NOT kept").select("doc_id").distinct())
-    marked = IdBitmap(gone, "doc_id").marked(docs, "doc_id", "_maybe")
-    stay = marked.where("NOT _maybe").unionByName(marked.where("_maybe").join(gone, "doc_id", "left_anti"))
-    return stay.select(docs.columns)
+    rows = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone, maybe, many, place = (unused(c, docs.columns) for c in ("_gone", "_maybe", "_many", "_place"))
+    special = written(rows.where("NOT kept OR n > 1").select("doc_id", (~F.col("kept")).alias(gone), (F.col("n") > 1).alias(many)))
+    marked = IdBitmap(special, "doc_id").marked(docs, "doc_id", maybe)
+    looked_up = marked.where(F.col(maybe)).join(special, "doc_id", "left").where(~F.coalesce(gone, F.lit(False)))
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = looked_up.where(many).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    alone = looked_up.where(~F.coalesce(many, F.lit(False)))
+    return marked.where(~F.col(maybe)).select(docs.columns).unionByName(alone.select(docs.columns)).unionByName(first.select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents with their sequence and place."""
+    """The token pieces of all documents with their ids (little-endian unsigned 32-bit), their CRC, their sequence and their place in it; a null or empty text is the end id alone, and no documents give no pieces."""
     queries.small_batches(spark)
-    return queries.packed(docs)
+    return packing.pack(queries.pieces_of(docs).withColumn("ids_crc32", F.crc32("ids")), queries.SEQUENCE)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality classifier", keep_good), ("minhash near-dedup", one_of_each), ("best-fit packing", pack)]
