@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .scoring import is_tech, rule_direction
-from .text import abbreviations, any_of, text_of
+from .text import abbreviations, any_of, bound, text_of
 from .times import quiet_window
 
 # Results depend on these exact names and patterns.
@@ -18,7 +18,7 @@ _SCALE = r"(?i)[0-9][0-9,]*(?:\.[0-9]+)?\s*[万亿]?\s*(?:台|块|件|片|卡|
 
 
 def is_macro_release(text: Column) -> Column:
-    return text.rlike("|".join(L.MACRO_DATA_PATTERNS)) & any_of(text, L.RELEASE_CONTEXT)
+    return any_of(text, L.RELEASE_CONTEXT) & text.rlike("|".join(L.MACRO_DATA_PATTERNS))
 
 
 def is_major_deal(text: Column) -> Column:
@@ -35,7 +35,7 @@ def has_signal(text: Column) -> Column:
 
 def goes_straight(text: Column, watched: tuple[str, ...] = ()) -> Column:
     """What is judged whatever its score: signal words, data releases, major deals, leading names."""
-    return has_signal(text) | is_macro_release(text) | is_major_deal(text) | any_of(text, (*L.HEADLINE_ENTITIES, *watched))
+    return bound(text, lambda t: has_signal(t) | is_macro_release(t) | is_major_deal(t) | any_of(t, (*L.HEADLINE_ENTITIES, *watched)))
 
 
 def is_watched(title: Column, name: Column, content: Column, watched: tuple[str, ...]) -> Column:

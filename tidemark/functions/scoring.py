@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .text import abbreviations, any_of, clean_url, first_group, hit_count, hits, text_of, url_host, weight_sum, without, word_pattern
+from .text import abbreviations, any_of, bound, clean_url, first_group, hit_count, hits, text_of, url_host, weight_sum, without, word_pattern
 
 #: Words that make an abbreviation a medical one.
 _EYE_WORDS = ("黄斑变性", "眼底", "眼科", "视网膜", "视力")
@@ -30,12 +30,20 @@ def credibility(source: Column) -> Column:
 
 def tech_words(text: Column) -> Column:
     """The distinct technology words; abbreviations stand alone, and AMD is none in a text on eyes."""
+    return bound(text, _tech_words)
+
+
+def _tech_words(text: Column) -> Column:
     eyes = any_of(text, _EYE_WORDS)
-    short = [F.when(text.rlike(word_pattern(w, True)) & (~eyes if w == "AMD" else F.lit(True)), F.lit(w)) for w in L.TECH_ABBREVIATIONS]
+    short = [F.when(F.contains(text, F.lit(w)) & text.rlike(word_pattern(w, True)) & (~eyes if w == "AMD" else F.lit(True)), F.lit(w)) for w in L.TECH_ABBREVIATIONS]
     return F.array_compact(F.array(*short, *[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in _PLAIN_TECH]))
 
 
 def is_tech(text: Column) -> Column:
+    return bound(text, _is_tech)
+
+
+def _is_tech(text: Column) -> Column:
     others = tuple(w for w in L.TECH_ABBREVIATIONS if w != "AMD")
     return any_of(text, (*others, *_PLAIN_TECH), bounded=others) | (any_of(text, ("AMD",), bounded=("AMD",)) & ~any_of(text, _EYE_WORDS))
 
@@ -50,7 +58,11 @@ def announcement_importance(text: Column) -> Column:
 
 def importance(title: Column, content: Column, name: Column, category: Column, direction: Column, source: Column, sectors: Column, stocks: Column) -> Column:
     """Importance before any judgement: 0.1 for noise, else 0.99 tanh(1.4 x) of the category's sum x, less for what is no technology."""
-    text = text_of(without(F.coalesce(title, F.lit("")), name), without(F.coalesce(content, F.lit("")), name))
+    clean = text_of(without(F.coalesce(title, F.lit("")), name), without(F.coalesce(content, F.lit("")), name))
+    return bound(clean, lambda text: _importance(text, category, direction, source, sectors, stocks))
+
+
+def _importance(text: Column, category: Column, direction: Column, source: Column, sectors: Column, stocks: Column) -> Column:
     n_sectors, n_stocks = (F.coalesce(F.size(x), F.lit(0)) for x in (sectors, stocks))
     n_sectors, n_stocks = F.greatest(n_sectors, F.lit(0)), F.greatest(n_stocks, F.lit(0))
     tech = F.size(tech_words(text))
@@ -75,12 +87,12 @@ def importance(title: Column, content: Column, name: Column, category: Column, d
     )
     squeezed = lambda x, less: F.round(0.99 * F.tanh(1.4 * x) * F.when(less, 0.65).otherwise(1.0), 2)
     plain = ~is_tech(text)
-    return (
-        F.when(any_of(text, L.NOISE_WORDS), F.lit(0.10))
-        .when(category == "signal", squeezed(signal, plain & ~any_of(source, ("龙虎榜", "业绩预告"))))
+    of_category = (
+        F.when(category == "signal", squeezed(signal, plain & ~any_of(source, ("龙虎榜", "业绩预告"))))
         .when(category == "announcement", squeezed(announced, plain & ~exempt))
         .otherwise(squeezed(news, plain & (n_stocks > 0) & ~exempt))
-    )
+    )
+    return F.when(any_of(text, L.NOISE_WORDS), F.lit(0.10)).otherwise(of_category)
 
 
 def is_official(url: Column, source: Column) -> Column:
@@ -90,7 +102,10 @@ def is_official(url: Column, source: Column) -> Column:
 def relevance(title: Column, content: Column, url: Column, source: Column, code: str = "", name: str = "") -> Column:
     """score (0-100) and category (direct, macro or sector) of a row for a stock."""
     title, content, url = (F.coalesce(x, F.lit("")) for x in (title, content, url))
-    text = text_of(title, content)
+    return bound(text_of(title, content), lambda text: _relevance(text, title, content, url, source, code, name))
+
+
+def _relevance(text: Column, title: Column, content: Column, url: Column, source: Column, code: str, name: str) -> Column:
     has = lambda where, what: F.contains(where, F.lit(what)) if what else F.lit(False)
     direct = F.when(has(title, code), 55).when(has(content, code), 34).when(has(url, code), 18).otherwise(0) + F.when(has(title, name), 45).when(has(content, name), 28).otherwise(0)
     event = any_of(text, L.COMPANY_EVENT_WORDS)
@@ -114,7 +129,7 @@ def relevance_bonus(title: Column, content: Column, watched: tuple[str, ...]) ->
 def sectors_of(title: Column, content: Column, name: Column) -> Column:
     """Up to five sectors, in the order of the list."""
     text = text_of(without(F.coalesce(title, F.lit("")), name), without(F.coalesce(content, F.lit("")), name))
-    found = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(s)) for w, s in L.SECTOR_NAMES.items()]))
+    found = bound(text, lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(s)) for w, s in L.SECTOR_NAMES.items()])))
     return F.slice(F.array_distinct(found), 1, 5)
 
 
@@ -128,8 +143,7 @@ def announcement_type(kind: Column, title: Column) -> Column:
 
 
 def macro_subject(title: Column, content: Column) -> Column:
-    text = text_of(title, content)
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in L.MACRO_SUBJECTS])
+    return bound(text_of(title, content), lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in L.MACRO_SUBJECTS]))
 
 
 def is_national(source: Column) -> Column:

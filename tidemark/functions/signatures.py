@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .scoring import core_signal_words
-from .text import amounts, any_of, characters, common_stretch, common_subsequence, entity_name, first_group, groups_in, jaccard, overlapping, take_out, text_of, title_anchors, title_norm
+from .text import amounts, any_of, bound, characters, common_stretch, common_subsequence, entity_name, first_group, groups_in, jaccard, overlapping, take_out, text_of, title_anchors, title_norm
 
 def empty() -> Column:
     return F.array().cast("array<string>")
@@ -59,18 +59,21 @@ def fingerprint(published: Column, title: Column, content: Column, name: Column,
     """16 digits of an MD5 over the day and, by what the row has, signal words, stocks, events, amounts, or its title."""
     day = F.substring(F.coalesce(published, F.lit("")), 1, 10)
     text = text_of(title, content)
+    facts = F.struct(core_signal_words(text).alias("words"), stocks_of(stocks, name).alias("own"), event_groups(title, content, extra=True).alias("events"), amounts(text).alias("numbers"), title_norm(title).alias("norm"))
+    return F.substring(F.md5(bound(facts, lambda f: _fingerprint_key(day, f)).cast("binary")), 1, 16)
+
+
+def _fingerprint_key(day: Column, facts: Column) -> Column:
+    words, own, events, numbers, norm = (facts[n] for n in ("words", "own", "events", "numbers", "norm"))
     listed = lambda x: F.concat(F.lit("["), F.concat_ws(",", F.array_sort(x)), F.lit("]"))
-    words, own, events, numbers = core_signal_words(text), stocks_of(stocks, name), event_groups(title, content, extra=True), amounts(text)
-    norm = title_norm(title)
     ev, st, num, head = (F.concat(F.lit(p), x) for p, x in (("ev:", listed(events)), ("st:", listed(own)), ("num:", listed(numbers)), ("t:", F.substring(norm, 1, 6))))
     sig = F.concat(F.lit("sig:"), listed(words))
     has = lambda x: F.size(x) > 0
-    key = (
+    return (
         F.when(has(words) & has(own), F.concat_ws("|", day, sig, ev, st)).when(has(words), F.concat_ws("|", day, sig, ev, head))
         .when(has(own), F.concat_ws("|", day, st, ev, num)).when(has(events) | has(numbers), F.concat_ws("|", day, ev, num, head))
         .otherwise(F.concat_ws("|", day, F.concat(F.lit("t:"), norm)))
     )
-    return F.substring(F.md5(key.cast("binary")), 1, 16)
 
 
 def titles_oppose(a: Column, b: Column) -> Column:
@@ -106,7 +109,10 @@ def theme_keys(s: Column) -> Column:
 
 
 def hard_facts(title: Column, content: Column) -> Column:
-    text = text_of(title, content)
+    return bound(text_of(title, content), _hard_facts)
+
+
+def _hard_facts(text: Column) -> Column:
     more = F.array_compact(F.array(
         F.when(F.contains(text, F.lit("产能")) & any_of(text, L.CAPACITY_WORDS), "capacity_expansion"),
         F.when(F.contains(text, F.lit("回购")) & any_of(text, ("完成", "完毕", "注销", "实施")), "buyback_completion"),

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once for each row however often f uses it: an expression that is used in a lambda, or in many places, would be computed there each time."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def text_of(*parts: Column | str) -> Column:
     """The parts joined by a space; nulls are empty."""
     return F.concat_ws(" ", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
@@ -32,37 +38,44 @@ def abbreviations(words: Iterable[str]) -> set[str]:
 
 def any_of(text: Column, words: Iterable[str], bounded: Iterable[str] = ()) -> Column:
     """Whether the text holds one of the words. Plain words are searched as bytes, which is many times faster than one long alternation; bounded ones by one regular expression."""
-    t, bounded = F.coalesce(text, F.lit("")), set(bounded)
+    bounded = set(bounded)
     plain, alone = [w for w in words if w not in bounded], [w for w in words if w in bounded]
-    found = F.exists(F.array(*map(F.lit, plain)), lambda w: F.contains(t, w)) if plain else F.lit(False)
-    return found | t.rlike("|".join(word_pattern(w, True) for w in alone)) if alone else found
+
+    def found(t: Column) -> Column:
+        held = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(t, w)) if ws else F.lit(False)
+        # the expression runs only on texts that hold one of its words at all
+        return held(plain) | (held(alone) & t.rlike("|".join(word_pattern(w, True) for w in alone))) if alone else held(plain)
+
+    return bound(F.coalesce(text, F.lit("")), found)
 
 
 def hits(text: Column, words: Sequence[str], bounded: Iterable[str] = ()) -> Column:
     """The words that the text holds, in their own order."""
     bounded = set(bounded)
-    found = [F.when(text.rlike(word_pattern(w, True)) if w in bounded else F.contains(text, F.lit(w)), F.lit(w)) for w in words]
-    return F.array_compact(F.array(*found))
+    held = lambda t, w: F.contains(t, F.lit(w)) & t.rlike(word_pattern(w, True)) if w in bounded else F.contains(t, F.lit(w))
+    return bound(text, lambda t: F.array_compact(F.array(*[F.when(held(t, w), F.lit(w)) for w in words])))
 
 
 def hit_count(text: Column, words: Iterable[str]) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
+    return bound(text, lambda t: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))))
 
 
 def weight_sum(text: Column, weights: dict[str, float]) -> Column:
     """The weights of the words that the text holds, added in the list's order."""
     table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(x)).alias("x")) for w, x in weights.items()])
-    return F.aggregate(F.filter(table, lambda r: F.contains(text, r["w"])), F.lit(0.0), lambda total, r: total + r["x"])
+    return bound(text, lambda t: F.aggregate(F.filter(table, lambda r: F.contains(t, r["w"])), F.lit(0.0), lambda total, r: total + r["x"]))
 
 
 def first_group(text: Column, groups: Iterable[tuple[str, Sequence[str]]]) -> Column:
     """The name of the first group a word of which the text holds, else null."""
-    return F.coalesce(*[F.when(any_of(text, words), F.lit(name)) for name, words in groups])
+    groups = list(groups)
+    return bound(text, lambda t: F.coalesce(*[F.when(any_of(t, words), F.lit(name)) for name, words in groups]))
 
 
 def groups_in(text: Column, groups: Iterable[tuple[str, Sequence[str]]]) -> Column:
     """The names of all groups a word of which the text holds, sorted."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(any_of(text, words), F.lit(name)) for name, words in groups]))))
+    groups = list(groups)
+    return bound(text, lambda t: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(any_of(t, words), F.lit(name)) for name, words in groups])))))
 
 
 def clean_url(url: Column) -> Column:
@@ -98,21 +111,23 @@ def characters(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets as arrays; 0 where one is empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))))
 
 
 def simhash32(text: Column) -> Column:
     """Character trigrams voted by the low 32 bits of the first 8 bytes of their MD5; 0 for texts under 5 characters."""
     t = F.coalesce(text, F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    values = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 9, 8), 16, 10).cast("long"))
 
-    def bit(b: int) -> Column:
-        ones = F.size(F.filter(values, lambda v: v.bitwiseAND(F.lit(1 << b).cast("long")) != 0))
-        return F.when(2 * ones > F.size(values), F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
+    def values(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
+        return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 9, 8), 16, 10).cast("long"))
 
-    return F.when(F.char_length(t) < 5, F.lit(0).cast("long")).otherwise(sum(map(bit, range(32)), F.lit(0).cast("long")))
+    def votes(vs: Column) -> Column:
+        bits = F.array(*[F.lit(1 << b).cast("long") for b in range(32)])
+        won = F.filter(bits, lambda b: 2 * F.size(F.filter(vs, lambda v: v.bitwiseAND(b) != 0)) > F.size(vs))
+        return F.aggregate(won, F.lit(0).cast("long"), lambda total, b: total + b)
+
+    return F.when(F.char_length(t) < 5, F.lit(0).cast("long")).otherwise(bound(bound(t, values), votes))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -121,10 +136,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """Amounts in 亿 or 万 as `unit:value`, the value to four digits; distinct and sorted. Units are not converted."""
-    t = F.coalesce(text, F.lit(""))
-    numbers = F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*(亿|万)"), 1)
-    units = F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*(亿|万)"), 2)
-    keys = F.zip_with(numbers, units, lambda n, u: F.concat(u, F.lit(":"), F.format_string("%.3e", n.cast("double"))))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*(亿|万)"), 0)
+    keys = F.transform(found, lambda x: F.concat(F.right(x, F.lit(1)), F.lit(":"), F.format_string("%.3e", F.regexp_extract(x, r"^[0-9.]+", 0).cast("double"))))
     return F.array_sort(F.array_distinct(keys))
 
 
@@ -156,13 +169,20 @@ def take_out(text: Column, parts: Column) -> Column:
 
 def shares_stretch(a: Column, b: Column, length: int) -> Column:
     """Whether the texts share a stretch of so many characters: a substring test for each place in a."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: _shares(s["a"], s["b"], length))
+
+
+def _shares(a: Column, b: Column, length: int) -> Column:
     last = F.char_length(a) - length + 1
     return (last > 0) & F.exists(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(a, i, F.lit(length))), lambda s: F.contains(b, s))
 
 
 def common_stretch(a: Column, b: Column) -> Column:
     """Length of the longest stretch that both texts hold. Rises one length at a time from each place, so it costs |a| + the answer tests."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    return bound(F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")), lambda s: _stretch(s["a"], s["b"]))
+
+
+def _stretch(a: Column, b: Column) -> Column:
     places = F.when(F.char_length(a) > 0, F.sequence(F.lit(1), F.char_length(a))).otherwise(F.array().cast("array<int>"))
 
     def longer(best: Column, i: Column) -> Column:

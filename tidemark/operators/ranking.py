@@ -9,7 +9,7 @@ from ..common import stored
 from ..functions import gates, scoring
 from ..functions import lexicons as L
 from ..functions.signatures import titled_stocks
-from ..functions.text import any_of, characters, jaccard, text_of
+from ..functions.text import any_of, bound, characters, jaccard, text_of
 from ..functions.times import freshness
 from . import dedup
 
@@ -80,7 +80,8 @@ def take_by_quota(rows: DataFrame, total: int = 20) -> DataFrame:
     """rows with bucket and score, as many of each bucket as its quota says, and no more than `total`."""
     counts = rows.agg(*[F.count(F.when(F.col("bucket") == b, 1)).alias(b) for b in ("direct", "sector", "macro")])
     limits = counts.select(quota(F.col("direct"), F.col("sector"), F.col("macro"), total).alias("q")).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("direct", "sector", "macro"))), F.array("q.direct", "q.sector", "q.macro"))).alias("bucket", "most"))
-    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "seq"))).where(F.col("_n") <= 10**9)
+    # no more than `total` rows are taken, so no bucket sends on more than that
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "seq"))).where(F.col("_n") <= total)
     kept = best.join(F.broadcast(limits), "bucket").where(F.col("most").isNull() | (F.col("_n") <= F.col("most"))).drop("_n", "most")
     return kept.orderBy(F.desc("score"), "seq").limit(total)
 
@@ -133,7 +134,9 @@ def candidates(news: DataFrame, watched: tuple[str, ...] = (), most: int = 40, l
 
     text = without(text_of(t, c), n)
     pref = scoring.importance(t, c, n, F.col("category"), F.col("impact_direction"), F.col("source"), F.col("affected_sectors"), F.col("affected_stocks"))
-    rows = news.withColumn("pref_score", pref).withColumn("hit", gates.goes_straight(text, watched)).where((F.col("pref_score") >= least_score) | F.col("hit"))
+    # both are found once for each row, and what does not pass makes no row
+    judged = bound(F.struct(pref.alias("pref_score"), gates.goes_straight(text, watched).alias("hit")), lambda s: F.when((s["pref_score"] >= least_score) | s["hit"], F.array(s)))
+    rows = news.select("*", F.explode(judged).alias("_judged")).select(*news.columns, "_judged.pref_score", "_judged.hit")
     rows = rows.withColumn("released", gates.is_macro_release(text_of(t, c))).withColumn("relevance", scoring.relevance_bonus(t, c, watched)).withColumn("truncated", gates.is_truncated(t)).withColumn("quality", gates.headline_quality(t, n, F.col("affected_stocks")))
     order = [F.desc("hit"), F.desc("released"), F.desc("relevance"), F.asc("truncated"), F.desc("quality"), F.desc("pref_score"), F.asc("seq")]
     return rows.orderBy(*order).limit(most)
