@@ -28,7 +28,7 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     auc, caught, clean = held_out(spark, queries.op4_toxicity, "toxic")
-    assert auc > 0.9 and caught > 0.55 and clean > 0.99  # the small table has few documents of each invented insult
+    assert auc > 0.9 and caught > 0.65 and clean > 0.99  # the small table has few documents of each invented insult
 
 
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
@@ -45,6 +45,19 @@ def test_scores_of_odd_texts(spark, odd_docs, sf, module, label):
     assert {r["score"] for r in module.score(odd_docs, prior).collect()} == {round(1 - 1e-6, 6)}
 
 
+def test_labelled_sample(spark):
+    from tidemark.llm import shared
+
+    docs = spark.createDataFrame([(i, "w" * (10 + i)) for i in range(40)] + [(5, "a"), (None, "n"), (40, None), (41, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    sample, prior = shared.labelled_sample(docs, labels, "toxic", lambda c: c != 7, 10, 1000)
+    assert len(sample) == 10 and sum(y for _, y in sample) == 5 and abs(prior - 29 / 59) < 1e-9
+    assert all(len(t) in (0, 1) or int(t.count("w") - 10) % 2 == y for t, y in sample if "x" not in t) and ("w" * 17, 1) not in sample
+    whole, _ = shared.labelled_sample(docs, labels, "toxic", lambda c: c.isNotNull(), 100, 10_000)
+    assert {("", 0), ("a", 1), ("x" * 5000, 1)} <= {*whole} and len(whole) == 42  # ids without a document are left out
+    assert shared.labelled_sample(docs.where("doc_id < 0"), labels, "toxic", lambda c: c.isNotNull(), 10, 1000)[0] == []
+
+
 def kernel(a: str, b: str) -> float:
     """The subsequence kernel by its definition."""
 
