@@ -28,7 +28,7 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     auc, caught, clean = held_out(spark, queries.op4_toxicity, "toxic")
-    assert auc > 0.9 and caught > 0.65 and clean > 0.99  # the small table has few documents of each invented insult
+    assert auc > 0.9 and caught > 0.6 and clean > 0.99  # the small table has few documents of each invented insult
 
 
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])

@@ -1,4 +1,6 @@
+import hashlib
 import io
+import itertools
 import random
 import wave
 import zlib
@@ -81,6 +83,65 @@ def test_min_cost_flow_is_least(seed):
     assert sum(f[i] for i, f in enumerate(flow)) == sum(map(min, supply, capacity))
 
 
+def all_flows(supply, capacity):
+    """Every way to ship all supply within the capacities."""
+    if not supply:
+        yield []
+        return
+    for row in itertools.product(*(range(min(supply[0], c) + 1) for c in capacity)):
+        if sum(row) == supply[0]:
+            for rest in all_flows(supply[1:], [c - x for c, x in zip(capacity, row, strict=True)]):
+                yield [list(row), *rest]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_min_cost_flow_is_brute_force(seed):
+    r = random.Random(seed)
+    supply = [r.randint(0, 4) for _ in range(3)]
+    capacity = [r.randint(2, 5) for _ in range(3)]
+    cost = [[r.randint(0, 9) for _ in range(3)] for _ in range(3)]
+    price = lambda f: sum(cost[i][j] * f[i][j] for i in range(3) for j in range(3))
+    best = min((price(f) for f in all_flows(supply, capacity)), default=None)
+    flow = resharding.min_cost_flow(supply, capacity, cost)
+    if best is not None:
+        assert sum(map(sum, flow)) == sum(supply) and price(flow) == best
+
+
+def test_resharding_moves_the_fewest_bytes(spark, sf):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8))
+    rows = resharding.reshard(docs, old, 8).select("size", "old_shard", "shard").toPandas()
+    before = rows.groupby("old_shard")["size"].sum().reindex(range(8), fill_value=0).tolist()
+    least = sum(before) - sum(map(min, before, resharding.even_capacities(sum(before), 8)))
+    moved = rows["size"][rows.old_shard != rows["shard"]].sum()
+    # a block begins with the row that holds its first byte: each cut is off by less than a row
+    assert abs(moved - least) <= 8 * rows["size"].max()
+
+
+COLUMNS = {
+    "op1_url_filters": "page_id host path rule verdict", "op2_topk_search": "query_id rank vec_id score", "op3_resharding": "doc_id size text_crc32 law shard slot grown_shard", "op4_toxicity": "doc_id held_out score predicted",
+    "op5_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op7_license_scans": "doc_id paragraph family confirmed",
+    "op8_sentencepiece": "doc_id n_ids ids_crc32 n_merge_ids merge_ids_crc32", "op9_quality": "doc_id held_out score predicted", "op10_minhash_near_dedup": "doc_id n_shingles component_id kept",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_every_query_covers_its_table(spark, sf, name):
+    rows = queries.queries()[name](spark, sf).toPandas()
+    assert {*COLUMNS[name].split()} <= {*rows.columns}
+    if "doc_id" in COLUMNS[name] and name != "op7_license_scans":
+        assert {*rows.doc_id} == {r["doc_id"] for r in queries.table(spark, sf, "documents").select("doc_id").collect()}
+
+
+def test_media_query_is_brute_force(spark, sf):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in queries.table(spark, sf, "documents").collect()}
+    for r in queries.op5_media(spark, sf).collect():
+        payload = media.payload_of(texts[r["doc_id"]])
+        stored = media.to_wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
 def test_resharding(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
     rows = queries.op3_resharding(spark, sf).toPandas()
@@ -136,7 +197,8 @@ def test_fingerprint_finds_tones():
 def test_plan_uses_every_piece(seed):
     r = random.Random(seed)
     counts = {n: r.randint(1, 40) for n in r.sample(range(1, 129), r.randint(1, 90))}
-    plan = packing.plan_sequences(counts, 128)
+    plan, name = packing.plan_sequences(counts, 128)
+    assert name in ("complements", "best fit")
     used = {}
     for parts, times in plan:
         assert sum(parts) <= 128 and times > 0
@@ -157,10 +219,10 @@ def test_plan_uses_every_piece(seed):
 
 
 def test_exact_complements_of_all_kinds():
-    assert packing.plan_sequences({10: 2}, 10) == [((10,), 2)]
-    assert packing.plan_sequences({7: 3, 3: 3}, 10) == [((7, 3), 3)]
-    assert packing.plan_sequences({7: 1, 2: 1, 1: 1}, 10) == [((7, 1, 2), 1)]
-    assert sum(t for _, t in packing.plan_sequences({4: 1, 3: 1, 2: 1, 1: 1}, 10)) == 1
+    assert packing.plan_sequences({10: 2}, 10) == ([((10,), 2)], "complements")
+    assert packing.plan_sequences({7: 3, 3: 3}, 10) == ([((7, 3), 3)], "complements")
+    assert packing.plan_sequences({7: 1, 2: 1, 1: 1}, 10) == ([((7, 1, 2), 1)], "complements")
+    assert sum(t for _, t in packing.plan_sequences({4: 1, 3: 1, 2: 1, 1: 1}, 10)[0]) == 1
 
 
 def test_packing(spark, sf, odd_docs):

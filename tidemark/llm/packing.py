@@ -1,10 +1,11 @@
 """Best-fit packing by exact complements.
 
 A document is its token ids and an end id; one that is longer than a sequence is cut into whole sequences
-and a rest. Packing works on how many pieces there are of each length. Lengths, with sums of pairs and
-triples of lengths, are indexed by hash; a sequence that begins with the longest piece left looks up the
-combination that fills its gap exactly, and takes it as often as the counts allow. What no combination
-fills is packed by best fit. The plan holds one entry for each kind of sequence, of which there are as many
+and a rest. Packing works on how many pieces there are of each length. Lengths and sums of pairs are
+indexed by hash, and the sum of a triple is looked up as a length and the pair sum that is then missing; a
+sequence that begins with the longest piece left looks up the combination that fills its gap exactly, and takes
+it as often as the counts allow. What no combination fills is packed by best fit. Where best fit alone takes
+fewer sequences its plan is taken; the column `plan` says which it was. The plan holds one entry for each kind of sequence, of which there are as many
 as lengths, not pieces. Pieces find their place in it by their rank among pieces of their length.
 
 Defined results: a null text is an empty one, whose piece is the end id alone; equal texts and repeated rows
@@ -30,8 +31,9 @@ from .shared import as_array, give_back, ordered_prefix, passes, written
 #: Bytes of text that are cut into chunks at a time; the larger, the fewer chunks are looked up again.
 TEXTS_BYTES = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Chunks between spaces whose ids a worker remembers, in each of two generations.
+#: Chunks between spaces whose ids a worker remembers, and characters of them, in each of two generations.
 REMEMBERED = 160_000
+REMEMBERED_CHARS = 8 << 20
 _KNOWN: dict[str, ChunkIds] = {}
 _TOKENIZERS: dict = {}
 
@@ -64,6 +66,7 @@ class ChunkIds:
         self.merge = tokenizer(path).model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0
 
     def learn(self, chunks: set[str]) -> None:
         young, old = self.young, self.old
@@ -98,16 +101,17 @@ class ChunkIds:
     def rest(self) -> None:
         """Between partitions one generation is kept."""
         if self.young:
-            self.old, self.young = self.young, {}
+            self.old, self.young, self.chars = self.young, {}, 0
 
     def of(self, texts: list[str]) -> list[bytes]:
         # str.lower is the tokenizer's own lower-casing but for the sigma that ends a word
         split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        if len(self.young) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.old, self.young, self.chars = self.young, {}, 0
         fresh = set().union(*split) - self.young.keys()
         if fresh:
             self.learn(fresh)
+            self.chars += sum(map(len, fresh))
         young = self.young
         return [b"".join([young[c] for c in chunks]) for chunks in split]
 
@@ -142,10 +146,10 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, id_colu
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
 
 
-def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)] that use up the counts: by complements, or by best fit alone where that takes fewer sequences."""
-    plans = [fill_sequences(counts, size, complements) for complements in (True, False)]
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
+def plan_sequences(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], str]:
+    """[(lengths of a sequence, how many such sequences)] that use up the counts, and its name: complements, or best fit where that alone takes fewer sequences."""
+    plans = [(fill_sequences(counts, size, name == "complements"), name) for name in ("complements", "best fit")]
+    return min(plans, key=lambda plan: sum(times for _, times in plan[0]))
 
 
 def fill_sequences(counts: dict[int, int], size: int, complements: bool = True) -> list[tuple[tuple[int, ...], int]]:
@@ -244,13 +248,14 @@ class Places:
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
-    """pieces (doc_id, piece, length and other columns) with sequence_id and offset.
+    """pieces (doc_id, piece, length and other columns) with sequence_id, offset and plan.
 
     The driver holds a count for each length, at most `size` of them, and a plan of about as many entries.
     """
     table = written(pieces)
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = Places(plan_sequences(counts, size))
+    plan, kind = plan_sequences(counts, size)
+    places = Places(plan)
     names = pieces.columns
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,4 +263,4 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ordered_prefix(table, "length", [F.col("doc_id"), F.col("piece")], "length", "rank", "_before", place, schema)[0]
+    return ordered_prefix(table, "length", [F.col("doc_id"), F.col("piece")], "length", "rank", "_before", place, schema)[0].withColumn("plan", F.lit(kind))

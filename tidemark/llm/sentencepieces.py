@@ -37,8 +37,11 @@ from .shared import as_array, give_back, passes
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-#: Words whose paths a worker remembers, in each of two generations.
+#: Words whose paths a worker remembers, and characters of them, in each of two generations.
 REMEMBERED = 100_000
+REMEMBERED_CHARS = 4 << 20
+#: Up to so many characters a word's merges are made one by one; in longer texts that takes the square of the length.
+SHORT = 40
 #: Pairs of pieces for which a worker remembers whether merging leaves them.
 MOST_PAIRS = 1_000_000
 #: Bytes of text that are cut into words at a time.
@@ -84,6 +87,13 @@ class Pieces:
         self.turn = {p: -self.automaton.get(p)[2] if len(p) > 1 else -1.0 for p in self.automaton} if self.merges else {}
         self.young: dict[str, tuple[bytes, float, bytes]] = {}
         self.old: dict[str, tuple[bytes, float, bytes]] = {}
+        self.chars = 0
+        self.lengths = [0] * model.get_piece_size()
+        for length, i, _ in self.automaton.values():
+            self.lengths[i] = length
+        # numbers in the order of the merges; what no merge makes has none
+        self.order = {p: t for p, t in self.turn.items() if len(p) > 1}
+        self.id_of = {p: i for i, p in self.text_of.items()}
 
     def merged(self, text: str, fewest: int = 1) -> list[str]:
         """What merging leaves, or has left at `fewest` parts: again and again the neighbours whose joined piece scores best, the first ones first."""
@@ -132,20 +142,9 @@ class Pieces:
         """Ids and score of the best segmentation of a normalised text, and the ids that merging leaves (none for other models)."""
         size = len(text)
         low = float("-inf")
-        score, back, piece = [0.0] + [low] * size, [0] * (size + 1), [-1] * (size + 1)
         if self.singles.issuperset(text):  # nothing but relaxing
-            matches = list(self.automaton.iter(text)) if self.merges else self.automaton.iter(text)
-            for end, (length, i, own) in matches:
-                end += 1
-                new = score[end - length] + own
-                if new > score[end]:
-                    score[end], back[end], piece[end] = new, end - length, i
-            ids, at = [], size
-            while at:
-                ids.append(piece[at])
-                at = back[at]
-            ids.reverse()
-            return ids, score[size], self.left(size, ids, matches) if self.merges else []
+            return self.relaxed(text)
+        score, back, piece = [0.0] + [low] * size, [0] * (size + 1), [-1] * (size + 1)
         last, since = [-2] * (size + 1), [0] * (size + 1)  # -2: not known yet
         last[0] = -1
         singles, unknown, merges, stays = self.singles, self.unknown_score, self.merges, self.stays
@@ -172,6 +171,45 @@ class Pieces:
             ready += 1
         return self.path(text, back, piece), score[size], self.path(text, since, last) if merges else []
 
+    def relaxed(self, text: str) -> tuple[list[int], float, list[int]]:
+        """The same for a text of known characters. score[e] is the best of what ends with character e; the last place is what is before the first one."""
+        size = len(text)
+        score, piece, lengths = [float("-inf")] * size + [0.0], [0] * size, self.lengths
+        short = size <= SHORT or not self.merges
+        matches = self.automaton.iter(text) if short else list(self.automaton.iter(text))
+        for end, (length, i, own) in matches:
+            new = score[end - length] + own
+            if new > score[end]:
+                score[end], piece[end] = new, i
+        ids, at = [], size - 1
+        while at >= 0:
+            i = piece[at]
+            ids.append(i)
+            at -= lengths[i]
+        ids.reverse()
+        total = score[size - 1] if size else 0.0
+        if not self.merges:
+            return ids, total, []
+        return ids, total, self.stepwise(text) if short else self.left(size, ids, matches)
+
+    def stepwise(self, text: str) -> list[int]:
+        """The ids that merging leaves of known characters, by making the merges."""
+        get, never = self.order.get, float("inf")
+        parts = list(text)
+        turns = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while turns:
+            first = min(turns)
+            if first == never:
+                break
+            i = turns.index(first)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del turns[i]
+            if i:
+                turns[i - 1] = get(parts[i - 1] + parts[i], never)
+            if i < len(turns):
+                turns[i] = get(parts[i] + parts[i + 1], never)
+        return [self.id_of[p] for p in parts]
+
     def left(self, size: int, ids: list[int], matches: list[tuple[int, tuple[int, int, float]]]) -> list[int]:
         """The ids that merging leaves of `size` known characters: the best path's where merging leaves these, else they are searched for.
 
@@ -250,11 +288,12 @@ class Pieces:
         """For each text the ids of the best path as little-endian unsigned 32-bit integers, their score, the ids that merging leaves, and the normalised text."""
         normal = [self.normalize(t) for t in texts]
         split = [_WORD.findall(n) if self.by_word else [n] * bool(n) for n in normal]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        if len(self.young) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.old, self.young, self.chars = self.young, {}, 0
         fresh = set().union(*split) - self.young.keys()
         if fresh:
             self.learn(fresh)
+            self.chars += sum(map(len, fresh))
         young = self.young
         out = []
         for words, text in zip(split, normal, strict=True):

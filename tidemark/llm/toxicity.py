@@ -6,8 +6,10 @@ weight. Gaps let an insult with inserted or left-out characters stay near its pl
 letters counts as one word too. The machine works in the Nyström space of landmark words with a squared
 hinge loss. A sentence scores as its worst word and a text as its worst sentence. It is trained on sentences
 of labelled documents: those of clean documents are clean; a toxic document has at least one toxic sentence,
-whose witness word is chosen anew by each round's machine, with the further words that it is sure of. Kernels stand
-on words and on runs of letters; an insult that only several words together make is not seen. As the kernel is a sum over subsequences, a
+whose witness word is chosen anew by each round's machine; words of many toxic documents and no clean one are
+witnesses in every round, without which recall falls (held out, check_s: 0.87 to 0.99 by the sample, against
+0.98 to 1.0). Kernels stand on words and on runs of letters: an insult that only several words together make is
+not seen. As the kernel is a sum over subsequences, a
 trained machine comes down to one number for each subsequence.
 
 Defined results: null and empty texts, and texts of white space only, score as a text whose words share
@@ -32,11 +34,11 @@ from .shared import as_array, give_back, hashed, labelled_sample, passes, words_
 
 DECAY = 0.7
 SPAN = 6
-#: a-z are 1-26, digits 27-36, letters of other scripts share 37-127 by a hash, and marks are 0, which no subsequence holds.
-CLASSES = 128
+#: a-z are 1-26, other letters and digits share 27-39, and marks are 0, which no subsequence holds.
+CLASSES = 40
 _ASCII = np.zeros(128, np.int32)
 _ASCII[97:123] = np.arange(1, 27)
-_ASCII[48:58] = 27 + np.arange(10)
+_ASCII[48:58] = 27 + np.arange(10) % 13
 _PAIRS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 #: Bytes of text whose distinct words are scored at a time.
 PASS = 1 << 18
@@ -44,16 +46,15 @@ _EMPTY = -4.0
 #: How many times a clean document weighs in the final fit: a wrong accusation is worse than a miss.
 CAUTION = 2.0
 COST = 100.0
-#: The score from which on a toxic document's further words are witnesses as well as its worst one.
-FIRM = 0.75
-#: The most witnesses that are learned in disguise too, and how many documents must have one for that.
+#: Minus the log of the chance that a word's documents are all toxic, from which on it is surely a toxic word.
+SURE = 11.5
+#: The most of them that are learned in disguise too.
 DISGUISED = 64
-REPEATED = 4
 
 
 def subsequences(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all words of a stream of characters, parted by single spaces: index and weight of each subsequence, and the number of its word."""
-    code = np.where(chars < 128, _ASCII[np.minimum(chars, 127)], 37 + (chars * np.uint32(2654435761) >> np.uint32(16)) % 91).astype(np.int32)
+    code = np.where(chars < 128, _ASCII[np.minimum(chars, 127)], 27 + (chars * np.uint32(2654435761) >> np.uint32(16)) % 13).astype(np.int32)
     word = np.cumsum(chars == 32, dtype=np.int32)
     index, weight, number = [], [], []
     for i, j in _PAIRS:
@@ -243,24 +244,22 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
     weights, bias = np.zeros(CLASSES**3, np.float32), 0.0
     is_clean = np.zeros(len(vocabulary), bool)
     is_clean[list(in_clean)] = True
+    # words of many toxic documents and no clean one are positive whether or not they are a document's worst
+    chance = -np.log(len(toxic) / (len(toxic) + len(clean)))
+    sure = np.array([w for w, n in sorted(in_toxic.items()) if n * chance >= SURE and not is_clean[w]], np.int64)
+    disguised = [v for w in sure[np.argsort([-in_toxic[w] for w in sure.tolist()], kind="stable")][:DISGUISED].tolist() for v in disguises(vocabulary[w], rng)]
     score = guess
-    for turn in range(rounds):
-        # the worst word of each toxic document, and its others that the last machine is sure of
+    for _ in range(rounds):
         witness = np.array([members[i][np.argmax(np.where(is_clean[members[i]], -99.0, score[members[i]]))] for i in toxic])
-        witness = witness[~is_clean[witness]]
-        others = np.flatnonzero(score >= FIRM) if turn else np.empty(0, np.int64)
-        others = others[[w in in_toxic and not is_clean[w] for w in others.tolist()]]
+        witness = np.concatenate([witness[~is_clean[witness]], sure])
         clean_words = np.flatnonzero(is_clean)
         worst = clean_words[np.argsort(-score[clean_words], kind="stable")[: hard // 2]]
         some = rng.choice(clean_words, min(hard // 2, len(clean_words)), replace=False)
         positive, times = np.unique(witness, return_counts=True)
-        held = dict(zip(positive.tolist(), times.tolist(), strict=True)) | {w: in_toxic[w] for w in others.tolist()}
-        positive, times = np.array(sorted(held), np.int64), np.array([held[w] for w in sorted(held)])
+        times = np.maximum(times, np.where(np.isin(positive, sure), [in_toxic[w] for w in positive.tolist()], 0))
         words = np.concatenate([positive, worst, some])
         target = np.r_[np.ones(len(positive)), -np.ones(len(worst) + len(some))]
         cost = COST * np.r_[np.sqrt(times), np.ones(len(worst) + len(some))]
-        often = [w for w in positive[np.argsort(-times, kind="stable")][:DISGUISED].tolist() if held[w] >= REPEATED]
-        disguised = [v for w in often for v in disguises(vocabulary[w], rng)]
         texts = [vocabulary[w] for w in words] + disguised
         target, cost = np.r_[target, np.ones(len(disguised))], np.r_[cost, np.full(len(disguised), COST)]
         x = np.c_[alike(texts, columns) @ to_nystrom, np.ones(len(texts))]
