@@ -73,3 +73,43 @@ def test_rss_and_kline(spark):
     assert [(r["title"], r["content"]) for r in got] == [("A & B", "hi x"), ("C", "y")]
     lines = spark.createDataFrame([("2024-01-02,1,2.5,3,4,5,6.5",), ("bad,1,2",), ("x,1,2,3,4,5,6",)], "line string")
     assert [(str(r["date"]), r["close"], r["amount"]) for r in feeds.kline(lines).collect()] == [("2024-01-02", 2.5, 6.5)]
+
+
+def test_stateful_rounds(spark, tmp_path):
+    from tidemark.streaming import stateful
+
+    news, at = views.news(spark, SF), F.lit(views.AS_OF).cast("timestamp")
+    store = stateful.StateStore(spark, str(tmp_path / "state"))
+    assert store.batches() == [] and store.read("seen").count() == 0
+    first = {r["seq"]: r["gate"] for r in stateful.stateful_round(news, store, at, 1, views.WATCHED, most=10).collect()}
+    seen, pending, sent = (store.read(n).collect() for n in ("seen", "pending", "sent"))
+    assert store.batches() == [1] and first and len(sent) == sum(g == "sent" for g in first.values())
+    assert sum(r["pushed"] for r in seen) == len(sent) and not {r["fp"] for r in seen} & {r["fp"] for r in pending}
+    assert pending and all(r["retry"] == 1 and r["payload"] for r in pending)
+    # a committed batch is read, not run again
+    assert {r["seq"]: r["gate"] for r in stateful.stateful_round(news.limit(1), store, at, 1, views.WATCHED).collect()} == first
+    # the same rows again: only those that waited are looked at, and no event goes out twice
+    second = stateful.stateful_round(news.where("seq < 0"), store, at, 2, views.WATCHED, most=10).collect()
+    assert store.batches() == [1, 2] and second and all(r["seq"] < 0 and r["fp"] in {p["fp"] for p in pending} for r in second)
+    assert {r["fp"] for r in store.read("seen").collect()} >= {r["fp"] for r in second}
+    assert {r["fp"] for r in store.read("pending").collect()} < {p["fp"] for p in pending} and store.read("seen", 1).count() == len(seen)
+    store.forget(1)
+    assert store.batches() == [2]
+
+
+def test_daily_limit_spares_signals(spark):
+    from tidemark.streaming import stateful
+
+    at = F.lit("2026-01-05 10:00:00").cast("timestamp")
+    rows = spark.createDataFrame([(1, "a", "", "sent"), (2, "b", "", "sent"), (3, "央行降准", "", "sent"), (4, "c", "", "topic")], "seq long, title string, content string, gate string")
+    sent = spark.createDataFrame([(1,), (2,)], "event_id long").withColumn("t", F.lit("2026-01-05 01:00:00").cast("timestamp"))
+    gates = {r["seq"]: r["gate"] for r in stateful.within_day(rows, sent, at, 3).collect()}
+    assert gates == {1: "sent", 2: "daily limit", 3: "sent", 4: "topic"}
+
+
+def test_numbered(spark):
+    from tidemark.common import numbered
+
+    rows = spark.createDataFrame([((i * 37) % 101, i) for i in range(300)], "k int, seq long").repartition(5)
+    got = [(r["k"], r["seq"]) for r in numbered(rows, [F.desc("k"), F.asc("seq")], "n").orderBy("n").collect()]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1])) and len(got) == 300

@@ -7,6 +7,8 @@ pairs, and the greedy choice is a fixpoint over the table of like pairs.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,12 +76,24 @@ def greedy_keep_by_keys(nodes: DataFrame, keys: DataFrame, seq: str = "seq") ->
     return nodes if dropped is None else nodes.join(dropped, seq, "left_anti")
 
 
+#: Bits of the blocks of a 32-bit value: where each begins and how many it has.
+BLOCKS = ((0, 5), (5, 5), (10, 5), (15, 5), (20, 6), (26, 6))
+
+
 def simhash_pairs(rows: DataFrame, threshold: int = 3, seq: str = "seq", value: str = "fp") -> DataFrame:
-    """a < b and distance of the rows whose 32-bit values, each on one row, differ in at most `threshold` (up to 3) bits. Of four bytes, one at least is equal."""
+    """a < b and distance of the rows whose 32-bit values, each on one row, differ in at most `threshold` (up to 3) bits.
+
+    Of six blocks three at least are equal: values meet in one of 20 tables by some 16 bits each, so chance
+    meetings are few.
+    """
     assert threshold <= 3
-    bands = rows.where(F.col(value) != 0).select(F.col(value).alias("v"), F.col(seq).alias("s"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(F.col(value), 8 * i).bitwiseAND(F.lit(255)).alias("byte")) for i in range(4)])).alias("k"))
-    a, b = (bands.select(F.col("k.i").alias("i"), F.col("k.byte").alias("byte"), F.col("s").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
-    return a.join(b, ["i", "byte"]).where("a < b").select("a", "b", F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))).alias("distance")).where(F.col("distance") <= threshold).distinct()
+    v = F.col(value)
+    block = [F.shiftright(v, low).bitwiseAND(F.lit((1 << bits) - 1)) for low, bits in BLOCKS]
+    keys = F.array(*[F.xxhash64(F.lit(i), *[block[b] for b in three]) for i, three in enumerate(combinations(range(len(BLOCKS)), 3))])
+    tables = rows.where(v != 0).select(v.alias("v"), F.col(seq).alias("s"), F.explode(keys).alias("key"))
+    a, b = (tables.select("key", F.col("s").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
+    distance = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def three_layers(news: DataFrame, threshold: int = 3) -> DataFrame:

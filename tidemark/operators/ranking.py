@@ -9,7 +9,7 @@ from ..common import stored
 from ..functions import gates, scoring
 from ..functions import lexicons as L
 from ..functions.signatures import titled_stocks
-from ..functions.text import any_of, bound, characters, jaccard, text_of
+from ..functions.text import any_of, bound, characters, jaccard, text_of, without
 from ..functions.times import freshness
 from . import dedup
 
@@ -88,8 +88,6 @@ def take_by_quota(rows: DataFrame, total: int = 20) -> DataFrame:
 
 def is_self_only(title: Column, content: Column, name: Column, code: Column, category: Column) -> Column:
     """Whether a row speaks of one stock alone, and none that leads: such rows are left out before judging."""
-    from ..functions.text import without
-
     name, code = F.coalesce(name, F.lit("")), F.coalesce(code, F.lit(""))
     text = without(text_of(title, content), name)
     leads = name.isin(*L.LEADER_NAMES) | code.isin(*L.LEADER_CODES) | any_of(text, L.LEADER_NAMES)
@@ -127,19 +125,26 @@ def cluster_weights(kept: DataFrame, above: float = 0.35, most: int = 10) -> Dat
     return kept.drop("cluster_weight").join(near, "seq", "left").withColumn("cluster_weight", F.least(F.coalesce("n", F.lit(0)), F.lit(most)).cast("double")).drop("n")
 
 
-def candidates(news: DataFrame, watched: tuple[str, ...] = (), most: int = 40, least_score: float = 0.55) -> DataFrame:
-    """The rows that go to the judge, at most `most`, with pref_score, hit, relevance, truncated and quality."""
+def passing(news: DataFrame, watched: tuple[str, ...] = (), least_score: float = 0.55) -> DataFrame:
+    """The rows that may go to the judge, with pref_score, hit, released, relevance, truncated and quality."""
     t, c, n = F.col("title"), F.col("content"), F.col("name")
-    from ..functions.text import without
-
     text = without(text_of(t, c), n)
     pref = scoring.importance(t, c, n, F.col("category"), F.col("impact_direction"), F.col("source"), F.col("affected_sectors"), F.col("affected_stocks"))
     # both are found once for each row, and what does not pass makes no row
     judged = bound(F.struct(pref.alias("pref_score"), gates.goes_straight(text, watched).alias("hit")), lambda s: F.when((s["pref_score"] >= least_score) | s["hit"], F.array(s)))
     rows = news.select("*", F.explode(judged).alias("_judged")).select(*news.columns, "_judged.pref_score", "_judged.hit")
-    rows = rows.withColumn("released", gates.is_macro_release(text_of(t, c))).withColumn("relevance", scoring.relevance_bonus(t, c, watched)).withColumn("truncated", gates.is_truncated(t)).withColumn("quality", gates.headline_quality(t, n, F.col("affected_stocks")))
+    return rows.withColumn("released", gates.is_macro_release(text_of(t, c))).withColumn("relevance", scoring.relevance_bonus(t, c, watched)).withColumn("truncated", gates.is_truncated(t)).withColumn("quality", gates.headline_quality(t, n, F.col("affected_stocks")))
+
+
+def first_candidates(passed: DataFrame, most: int = 40) -> DataFrame:
+    """The first `most` of them: direct ones, releases, relevance, whole titles, quality, score."""
     order = [F.desc("hit"), F.desc("released"), F.desc("relevance"), F.asc("truncated"), F.desc("quality"), F.desc("pref_score"), F.asc("seq")]
-    return rows.orderBy(*order).limit(most)
+    return passed.orderBy(*order).limit(most)
+
+
+def candidates(news: DataFrame, watched: tuple[str, ...] = (), most: int = 40, least_score: float = 0.55) -> DataFrame:
+    """The rows that go to the judge, at most `most`, with pref_score, hit, released, relevance, truncated and quality."""
+    return first_candidates(passing(news, watched, least_score), most)
 
 
 def rescored(rows: DataFrame, scores: DataFrame, as_of: Column, top: int = 20) -> DataFrame:

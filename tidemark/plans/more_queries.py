@@ -47,9 +47,9 @@ def judgement_merge(spark, sf_dir):
     return announcements.with_judgements(n.withColumn("idx", F.col("seq")), j).select("seq", "by")
 
 
-@query(with_news(f", p AS (SELECT a.seq AS a, b.seq AS b, substr(a.title, 1, 24) AS ta, substr(b.title, 1, 24) AS tb FROM news a JOIN news b ON b.seq = a.seq + 40), c AS (SELECT *, {chars_sql('ta')} AS ca, {chars_sql('tb')} AS cb, coalesce(list_max(list_transform(range(1, length(ta) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(ta) - i + 2), lambda n: contains(tb, substr(ta, i::INTEGER, n::INTEGER)))), 0))), 0) AS l FROM p) SELECT a, b FROM c WHERE ta <> '' AND tb <> '' AND ({jaccard_sql('ca', 'cb')} >= 0.55 OR (least(length(ta), length(tb)) >= 6 AND l::DOUBLE / least(length(ta), length(tb)) >= 0.5))"))
+@query(with_news(f", p AS (SELECT a.seq AS a, b.seq AS b, a.title AS ta, b.title AS tb FROM news a JOIN news b ON b.seq = a.seq + 40), c AS (SELECT *, {chars_sql('ta')} AS ca, {chars_sql('tb')} AS cb, coalesce(list_max(list_transform(range(1, length(ta) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(ta) - i + 2), lambda n: contains(tb, substr(ta, i::INTEGER, n::INTEGER)))), 0))), 0) AS l FROM p) SELECT a, b FROM c WHERE ta <> '' AND tb <> '' AND ({jaccard_sql('ca', 'cb')} >= 0.55 OR (least(length(ta), length(tb)) >= 6 AND l::DOUBLE / least(length(ta), length(tb)) >= 0.5))"))
 def pending_same_as_sent(spark, sf_dir):
-    n = V.news(spark, sf_dir).select("seq", F.substring("title", 1, 24).alias("t"))
+    n = V.news(spark, sf_dir).select("seq", F.col("title").alias("t"))
     pairs = n.select(F.col("seq").alias("a"), F.col("t").alias("ta")).join(n.select((F.col("seq") - 40).alias("a"), F.col("seq").alias("b"), F.col("t").alias("tb")), "a")
     return pairs.where(signatures.titles_alike(F.col("ta"), F.col("tb"))).select("a", "b")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import numbered, shared_folder, stored
 from ..functions import lexicons as L
 from ..operators import dedup, events, health, ranking, state
 from . import views as V
@@ -166,15 +167,13 @@ def _members():
 
 
 def _ranked(spark, sf_dir):
-    """news in order with rank; numbered by the order of the sorted partitions."""
-    from pyspark.sql import Window
-
+    """news in order with rank: narrow rows are sorted by range and numbered, and the rank comes back to the rows."""
     n = ranking.scored(V.news(spark, sf_dir), as_of(V.AS_OF), constituents=_members())
     boost = F.when(F.col("influence_scope") == "market", 0.20).when(F.col("influence_scope") == "stock", -0.05).otherwise(0.0)
-    band = Window.partitionBy("band_priority").orderBy(F.desc("rank_score"), F.desc("time_factor"), "seq")
-    counted = n.withColumn("rank_score", F.round(F.col("total_score") + boost, 4))
-    before = counted.groupBy("band_priority").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("band_priority")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return counted.join(F.broadcast(before.select("band_priority", "before")), "band_priority").withColumn("rank", F.col("before") + F.row_number().over(band)).drop("before")
+    scored = stored(n.withColumn("rank_score", F.round(F.col("total_score") + boost, 4)))
+    order = [F.desc("band_priority"), F.desc("rank_score"), F.desc("time_factor"), F.asc("seq")]
+    ranks = numbered(scored.select("seq", "band_priority", "rank_score", "time_factor"), order, "rank")
+    return scored.join(ranks.select("seq", "rank"), "seq")
 
 
 @query(with_news(ranked_sql() + " SELECT rank, seq, band AS impact_band, scope AS influence_scope, total AS total_score, tf AS time_factor FROM ranks"))
@@ -346,3 +345,16 @@ def batch_round(spark, sf_dir):
 
     return round_of(V.news(spark, sf_dir), V.event_log(spark, sf_dir), as_of(V.AS_OF), V.WATCHED)
 
+
+@query()
+def stateful_rounds(spark, sf_dir):
+    """Two rounds in a row with state between them: the second has the first one's rows again, and new ones."""
+    import uuid
+
+    from ..streaming.stateful import StateStore, stateful_round
+
+    news = V.news(spark, sf_dir)
+    store = StateStore(spark, f"{shared_folder(spark)}/tidemark-state/{uuid.uuid4().hex}")
+    first = stateful_round(news.where("seq % 2 = 0"), store, as_of(V.AS_OF), 1, V.WATCHED)
+    second = stateful_round(news, store, as_of(V.AS_OF), 2, V.WATCHED)
+    return first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))

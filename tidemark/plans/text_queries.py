@@ -397,20 +397,20 @@ def row_classes(spark, sf_dir):
     return V.news(spark, sf_dir).select("seq", scoring.is_national(F.col("source")).alias("national"), text.any_of(text.text_of(t, c), L.NATIONAL_POLICY_WORDS).alias("policy"), ranking.is_high_impact(t, c).alias("high_impact"), scoring.announcement_type(F.lit(""), t).alias("kind"))
 
 
-_PAIRS = "x AS (SELECT seq, title, row_number() OVER (ORDER BY seq) AS i FROM news), p AS (SELECT a.seq AS a, b.seq AS b, substr(a.title, 1, 40) AS ta, substr(b.title, 1, 40) AS tb FROM news a JOIN news b ON b.seq = a.seq + 1)"
+_PAIRS = "x AS (SELECT seq, title, row_number() OVER (ORDER BY seq) AS i FROM news), p AS (SELECT a.seq AS a, b.seq AS b, a.title AS ta, b.title AS tb FROM news a JOIN news b ON b.seq = a.seq + 1)"
 
 
 @query(with_news(f", {_PAIRS} SELECT a, b, coalesce(list_max(list_transform(range(1, length(ta) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(ta) - i + 2), lambda n: contains(tb, substr(ta, i::INTEGER, n::INTEGER)))), 0))), 0)::INTEGER AS stretch FROM p"))
 def lcs_pairs(spark, sf_dir):
     """The longest common stretch of each title and the next row's."""
-    n = V.news(spark, sf_dir).select("seq", F.substring("title", 1, 40).alias("t"))
+    n = V.news(spark, sf_dir).select("seq", F.col("title").alias("t"))
     pairs = n.select(F.col("seq").alias("a"), F.col("t").alias("ta")).join(n.select((F.col("seq") - 1).alias("a"), F.col("seq").alias("b"), F.col("t").alias("tb")), "a")
     return pairs.select("a", "b", text.common_stretch(F.col("ta"), F.col("tb")).alias("stretch"))
 
 
 @query()
 def same_event_pairs(spark, sf_dir):
-    """Pairs of signatures that share an event group, an entity or a market domain, and tell of the same event."""
+    """Pairs of rows that tell of the same event and share a stock or an entity; of rows with one title the first stands for all. (batch_round compares all pairs of its few candidates.)"""
     from ..operators.events import signed
 
     n = signed(V.news(spark, sf_dir), F.col("entities"), F.col("affected_sectors"), F.col("influence_scope"))
