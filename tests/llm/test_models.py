@@ -50,12 +50,13 @@ def test_labelled_sample(spark):
 
     docs = spark.createDataFrame([(i, "w" * (10 + i)) for i in range(40)] + [(5, "a"), (None, "n"), (40, None), (41, "x" * 5000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (2, None), (None, 1)], "doc_id long, toxic int")
-    sample, prior = shared.labelled_sample(docs, labels, "toxic", lambda c: c != 7, 10, 1000)
+    sample, prior = shared.labelled_sample(docs, labels, "toxic", lambda c: c != 7, 10, 1000, 1000)
     assert len(sample) == 10 and sum(y for _, y in sample) == 5 and abs(prior - 29 / 59) < 1e-9
     assert all(len(t) in (0, 1) or int(t.count("w") - 10) % 2 == y for t, y in sample if "x" not in t) and ("w" * 17, 1) not in sample
-    whole, _ = shared.labelled_sample(docs, labels, "toxic", lambda c: c.isNotNull(), 100, 10_000)
+    whole, _ = shared.labelled_sample(docs, labels, "toxic", lambda c: c.isNotNull(), 100, 10_000, 5000)
     assert {("", 0), ("a", 1), ("x" * 5000, 1)} <= {*whole} and len(whole) == 42  # ids without a document are left out
-    assert shared.labelled_sample(docs.where("doc_id < 0"), labels, "toxic", lambda c: c.isNotNull(), 10, 1000)[0] == []
+    assert shared.labelled_sample(docs.where("doc_id < 0"), labels, "toxic", lambda c: c.isNotNull(), 10, 1000, 1000)[0] == []
+    assert "x" * 5000 not in dict(shared.labelled_sample(docs, labels, "toxic", lambda c: c.isNotNull(), 100, 10_000, 4999)[0])
 
 
 def kernel(a: str, b: str) -> float:

@@ -140,9 +140,9 @@ def train(sample: list[tuple[str, int]], prior: float, dims: int = 8, visits: in
     return Model(weights.astype(np.float32), float(bias[1] - bias[0] + shift))
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = 2400, max_bytes: int = 12 << 20) -> Model:
-    """Learn labels.quality from at most `rows` labelled documents and `max_bytes` of their text."""
-    return train(*labelled_sample(docs, labels, "quality", allowed, rows, max_bytes))
+def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = 2400, max_bytes: int = 12 << 20, longest: int = 40 << 10) -> Model:
+    """Learn labels.quality from at most `rows` labelled documents of up to `longest` bytes and `max_bytes` of text in all."""
+    return train(*labelled_sample(docs, labels, "quality", allowed, rows, max_bytes, longest))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

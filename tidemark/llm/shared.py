@@ -274,18 +274,19 @@ def components(edges: DataFrame) -> DataFrame:
         tables.free(f"labels{turn - 1}", f"hooks{turn - 1}")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, max_bytes: int, ones: float = 0.5, id_column: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int, max_bytes: int, longest: int, ones: float = 0.5, id_column: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], float]:
     """[(text, label)] of at most `rows` labelled documents, a share `ones` of them of label 1 where there are as many, and the share of label 1 in all.
 
     `allowed` says which labelled rows may be learned from. Documents are taken in the order of a hash of their
-    id; one that would take the texts over `max_bytes` is left out, whole, and the next one takes its place.
+    id; one whose text has more than `longest` bytes, or would take the texts over `max_bytes`, is left out, whole,
+    and the next one takes its place.
     Rows that share an id are one document, with the least of their texts. The driver is sent the ids and sizes of
     2 * `rows` documents, and then `max_bytes` of text, at most.
     """
     known = labels.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(allowed(F.col("id"))).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    there = texts.select("id", F.octet_length("t").alias("n")).groupBy("id").agg(F.max("n").alias("n")).join(known, "id")
+    there = texts.select("id", F.octet_length("t").alias("n")).groupBy("id").agg(F.max("n").alias("n")).where(F.col("n") <= longest).join(known, "id")
     order = [F.xxhash64("id", F.lit(3)), F.col("id")]
     most = {1: int(rows * ones), 0: rows - int(rows * ones)}
     first = [there.where(F.col("y") == y).orderBy(*order).limit(2 * n).withColumn("place", F.xxhash64("id", F.lit(3))).collect() for y, n in most.items()]
@@ -297,7 +298,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, row
             left[r["y"]] -= 1
             taken += r["n"]
     ids = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen.items()), "id long, y int"))  # `rows` at most
-    found = texts.join(ids, "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
-    sample = [(r["t"], r["y"]) for r in sorted(found, key=lambda r: r["id"] * 0x9E3779B97F4A7C15 % 2**64)]
+    found = texts.join(ids, "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    sample = [(t, y) for _, t, y in sorted((r["id"] * 0x9E3779B97F4A7C15 % 2**64, r["t"], r["y"]) for r in found.toLocalIterator())]
     total = sum(counts.values())
     return sample, (counts.get(1, 0) / total if total else 0.5)

@@ -278,9 +278,9 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
     return Model(weights, bias, max(slope, 0.0), shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = 3600, max_bytes: int = 14 << 20) -> Model:
-    """Learn labels.toxic from at most `rows` labelled documents and `max_bytes` of their text."""
-    return train(*labelled_sample(docs, labels, "toxic", allowed, rows, max_bytes, ones=0.25))
+def fit(docs: DataFrame, labels: DataFrame, allowed, rows: int = 3600, max_bytes: int = 14 << 20, longest: int = 32 << 10) -> Model:
+    """Learn labels.toxic from at most `rows` labelled documents of up to `longest` bytes and `max_bytes` of text in all."""
+    return train(*labelled_sample(docs, labels, "toxic", allowed, rows, max_bytes, longest, ones=0.25))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
