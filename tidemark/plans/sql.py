@@ -86,3 +86,10 @@ FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d
 
 def time_sql(text: str, formats: int = 9) -> str:
     return "coalesce(" + ", ".join(f"try_strptime(trim({text}), {quote(f)})" for f in FORMATS[:formats]) + ")"
+
+
+def greedy_sql(p: str, nodes: str, pairs: str) -> str:
+    """CTEs that end in {p}_kept (seq): the rows of `nodes` that are not like an earlier kept one. pairs: a < b. Recursive."""
+    return f"""{p}_n AS MATERIALIZED (SELECT seq, row_number() OVER (ORDER BY seq) AS i FROM {nodes}), {p}_l AS MATERIALIZED (SELECT b, list(a) AS earlier FROM {pairs} GROUP BY b),
+{p}_w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN l.earlier IS NOT NULL AND list_has_any(w.kept, l.earlier) THEN w.kept ELSE list_append(w.kept, n.seq) END FROM {p}_w w JOIN {p}_n n ON n.i = w.i + 1 LEFT JOIN {p}_l l ON l.b = n.seq),
+{p}_kept AS (SELECT unnest(kept) AS seq FROM (SELECT kept FROM {p}_w ORDER BY i DESC LIMIT 1))"""

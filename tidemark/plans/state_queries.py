@@ -8,7 +8,7 @@ from ..common import numbered, shared_folder, stored
 from ..functions import lexicons as L
 from ..operators import dedup, events, health, ranking, state
 from . import views as V
-from .sql import any_sql, cases, listed, quote
+from .sql import amounts_sql, any_sql, cases, chars_sql, greedy_sql, groups_sql, jaccard_sql, listed, quote, title_core_sql
 from .text_queries import CLEAN, TEXT, _BOUND, _QUALITY, _STOCKS, _TRUNCATED, cols, importance_sql, release_sql, straight_sql, tech_sql, with_news
 
 QUERIES: dict = {}
@@ -236,18 +236,44 @@ def leader_gates(spark, sf_dir):
     return V.news(spark, sf_dir).select("seq", ranking.is_self_only(t, c, n, code, k).alias("self_only"), ranking.leads_or_matters(t, c, n, code, _members()).alias("matters"))
 
 
-@query()
+_TITLED = f"CASE WHEN len({_STOCKS}) > 0 THEN {_STOCKS} WHEN {_HEAD} IS NOT NULL THEN [{_HEAD}] ELSE []::VARCHAR[] END"
+
+
+def _by_event(rows: str) -> str:
+    """CTEs that end in e_kept: greedy over shared stocks and facts."""
+    facts = f"list_concat(list_transform(string_split({groups_sql(TEXT, L.EVENT_GROUPS)}, ','), lambda x: 'e:' || x), list_transform(string_split({amounts_sql(TEXT)}, ','), lambda x: 'n:' || x))"
+    return f"""e_keys AS MATERIALIZED (SELECT DISTINCT seq, stock || chr(1) || fact AS key FROM (SELECT seq, unnest(stocks) AS stock, facts FROM (SELECT seq, {_TITLED} AS stocks, {facts} AS facts FROM {rows})) x, (SELECT unnest(x.facts) AS fact) f WHERE length(fact) > 2),
+e_pairs AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM e_keys a JOIN e_keys b ON a.key = b.key AND a.seq < b.seq), {greedy_sql('e', rows, 'e_pairs')}"""
+
+
+def _by_title(rows: str) -> str:
+    """CTEs that end in t_out: greedy over like titles; equal cores stand together under their first row."""
+    return f"""cores AS (SELECT seq, {title_core_sql('title')} AS core FROM {rows}), t_nodes AS MATERIALIZED (SELECT min(seq) AS seq, core, {chars_sql('core')} AS chars FROM cores WHERE core <> '' GROUP BY core),
+t_pairs AS (SELECT a.seq AS a, b.seq AS b FROM t_nodes a JOIN t_nodes b ON a.seq < b.seq AND ({jaccard_sql('a.chars', 'b.chars')} >= 0.6 OR (least(length(a.core), length(b.core)) >= 6 AND (contains(a.core, b.core) OR contains(b.core, a.core))))),
+{greedy_sql('t', 't_nodes', 't_pairs')}, t_out AS (SELECT seq FROM t_kept UNION ALL SELECT seq FROM cores WHERE core = '')"""
+
+
+def _recursive(tail: str) -> str:
+    return with_news(tail).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(f", {_by_event('news')} SELECT seq FROM e_kept"))
 def dedup_by_event(spark, sf_dir):
-    """Greedy over shared stocks and facts: held against a brute-force version in the tests."""
+    """Greedy over shared stocks and facts."""
     return dedup.first_of_events(V.news(spark, sf_dir)).select("seq")
 
 
-@query()
+@query(_recursive(f", {_by_title('news')} SELECT seq FROM t_out"))
 def dedup_by_title(spark, sf_dir):
     return dedup.first_of_titles(V.news(spark, sf_dir)).select("seq")
 
 
-@query()
+_SUBJECT = "CASE WHEN influence_scope IN ('market', 'sector') THEN " + cases([(f"contains({TEXT}, {quote(w)})", quote(w)) for w in L.MACRO_SUBJECTS], "NULL") + " END"
+
+
+@query(_recursive(f""", {_by_event('news')}, one AS MATERIALIZED (SELECT n.* FROM news n JOIN e_kept k ON k.seq = n.seq), {_by_title('one')}, two AS (SELECT n.*, {_SUBJECT} AS subject FROM one n JOIN t_out k ON k.seq = n.seq),
+three AS (SELECT *, CASE WHEN category = 'announcement' THEN CASE WHEN len({_STOCKS}) > 0 THEN {_STOCKS}[1] ELSE {_HEAD} END END AS stock FROM (SELECT * FROM two QUALIFY subject IS NULL OR row_number() OVER (PARTITION BY subject ORDER BY seq) <= 2))
+SELECT seq FROM three QUALIFY stock IS NULL OR row_number() OVER (PARTITION BY stock ORDER BY seq) <= 2"""))
 def display_selection(spark, sf_dir):
     return ranking.for_display(V.news(spark, sf_dir), [F.asc("seq")]).select("seq")
 
