@@ -53,6 +53,44 @@ def test_families_are_brute_force(spark, seed):
     assert got == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize(("words", "seed"), [(1, 0), (2, 1), (5, 2)])
+def test_links_apart_from_the_centre_are_found(spark, words, seed):
+    """Members that share their changes are linked with each other and not with the family's centre: they meet through rare elements of their differences to it."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows = [" ".join(base)] * 3
+    for _ in range(40):  # near the centre
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(150)] = f"n{r.random()}"
+        rows.append(" ".join(w))
+    for g in range(12):  # small groups away from it
+        away = list(base)
+        for i in r.sample(range(150), {1: 16, 2: 14, 5: 8}[words]):
+            away[i] = f"g{g}_{i}"
+        for _ in range(4):
+            w = list(away)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(150)] = r.choice([f"x{r.random()}", "common"])
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, words, 80)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(docs, words=words).collect()} == expected
+    assert len({c for _, c in expected.values()}) > 2
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, a), (7, b), (3, b), (9, a), (20, c), (20, c), (21, c)]
+    got = {(x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False), (20, 20, True), (21, 20, False)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(None, a, "y")], "doc_id long, text string, _maybe string")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 20]
+
+
 def test_odd_rows(spark, odd_docs):
     rows = neardup.near_duplicates(odd_docs, words=2).collect()
     assert len(rows) == odd_docs.count()
