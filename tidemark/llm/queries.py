@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
+from . import collocations, licenses, media, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
 
 
 def tokenizer_file(name: str) -> str:
@@ -120,6 +120,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, covered=50, most=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_url_filters": op1_url_filters,
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op12_phrase_collocations": op12_phrase_collocations,
     }
     return {name: _bounded(f) for name, f in found.items()}
 
@@ -163,6 +168,29 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+rows AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM rows GROUP BY lang, size, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:size], ' ') AS rp FROM candidates, (VALUES (1), (2)) AS c(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.lp JOIN f y ON y.lang = c.lang AND y.phrase = c.rp),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM weakest p WHERE NOT EXISTS (
+    SELECT 1 FROM candidates q WHERE q.lang = p.lang AND q.size = 3 AND (q.w[1] || ' ' || q.w[2] = p.phrase OR q.w[2] || ' ' || q.w[3] = p.phrase) AND 100 * q.f >= 50 * p.a))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _URL_SQL.format(rules=", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)), "op2_topk_search": _TOP_K_SQL}
+    return {"op12_phrase_collocations": _PHRASE_SQL, "op1_url_filters": _URL_SQL.format(rules=", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)), "op2_topk_search": _TOP_K_SQL}
