@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, licenses, media, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
+from . import alignment, collocations, licenses, media, mixing, neardup, packing, quality, resharding, sentencepieces, topk_search, toxicity, url_filters
 
 
 def tokenizer_file(name: str) -> str:
@@ -120,10 +120,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measured(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, covered=50, most=2000)
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.fit(docs.where(~held_out("doc_id", 7, 2)))
+    return mixing.score(docs, model).select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_url_filters": op1_url_filters,
@@ -136,7 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality": op9_quality,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_lm_scoring": op13_lm_scoring,
     }
     return {name: _bounded(f) for name, f in found.items()}
 
