@@ -33,6 +33,25 @@ def test_common_stretch(spark, a, b, n):
 
 def test_common_subsequence(spark):
     assert one(spark, text.common_subsequence, a="存储ETF上市", b="内存ETF今日上市") == 6
+    assert one(spark, text.common_subsequence, a="", b="内存") == 0
+
+
+def test_common_subsequences_of_any_length(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = [("".join(r.choices("abc中文", k=n)), "".join(r.choices("abc中文", k=m))) for n, m in ((5, 9), (1, 1), (40, 40), (60, 80), (61, 64), (75, 70), (0, 0), (59, 3))]
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before, row = row, [0]
+            for j, d in enumerate(y):
+                row.append(before[j] + 1 if c == d else max(before[j + 1], row[j]))
+        return row[-1]
+
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    assert len(got) == len(pairs) and all(x["n"] == table(x["a"], x["b"]) for x in got)
 
 
 def test_title_norm_keeps_dots_between_digits(spark):

@@ -98,13 +98,11 @@ def test_stateful_rounds(spark, tmp_path):
 
 
 def test_daily_limit_spares_signals(spark):
-    from tidemark.streaming import stateful
-
     at = F.lit("2026-01-05 10:00:00").cast("timestamp")
-    rows = spark.createDataFrame([(1, "a", "", "sent"), (2, "b", "", "sent"), (3, "央行降准", "", "sent"), (4, "c", "", "topic")], "seq long, title string, content string, gate string")
-    sent = spark.createDataFrame([(1,), (2,)], "event_id long").withColumn("t", F.lit("2026-01-05 01:00:00").cast("timestamp"))
-    gates = {r["seq"]: r["gate"] for r in stateful.within_day(rows, sent, at, 3).collect()}
-    assert gates == {1: "sent", 2: "daily limit", 3: "sent", 4: "topic"}
+    rows = candidates(spark, ["公司甲获批新药", "公司乙签订合同", "央行宣布降准", "公司丙签订合同"])
+    sent = candidates(spark, ["日报一", "日报二"]).select(F.col("seq").alias("event_id"), "sig", F.lit("2026-01-05 01:00:00").cast("timestamp").alias("t"))
+    gates = {r["seq"]: r["gate"] for r in rounds.gated(rows, sent, at, (), daily_limit=3).collect()}
+    assert gates == {0: "sent", 1: "daily limit", 2: "sent", 3: "daily limit"}
 
 
 def test_numbered(spark):

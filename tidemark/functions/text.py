@@ -1,14 +1,12 @@
-"""Text functions on columns. All stay in the JVM but the two common-subsequence measures."""
+"""Text functions on columns. All stay in the JVM."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -192,18 +190,38 @@ def _stretch(a: Column, b: Column) -> Column:
     return F.aggregate(places, F.lit(0), longer)
 
 
-def _subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = before + 1 if x == y else max(above, row[j - 1])
-            before = above
-    return row[-1]
+#: Characters of which each is one bit of a 64-bit number, with room for a carry.
+_BITS = 60
 
 
-@F.pandas_udf(T.IntegerType())
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence; no built-in function has it."""
-    return pd.Series([_subsequence(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; null is empty.
+
+    Up to 60 characters of the shorter text are the bits of a number, and each character of the other one step of
+    it: bits that become 0 count. Longer texts fill the table of lengths row by row.
+    """
+    chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+
+    def by_bits(x: Column, y: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(y) - 1)
+        all_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(y)) - 1
+
+        def step(v: Column, c: Column) -> Column:
+            mask = F.aggregate(places, F.lit(0).cast("long"), lambda m, i: F.when(F.get(y, i) == c, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(m))
+            return bound(mask, lambda m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(all_bits))
+
+        return F.size(y) - F.bit_count(F.aggregate(x, all_bits, step))
+
+    def by_rows(x: Column, y: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(y))
+        zeros = F.array_repeat(F.lit(0), F.size(y) + 1)
+        cell = lambda row, before, c, j: F.when(F.get(y, j - 1) == c, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(row, j - 1)))
+        return F.array_max(F.aggregate(x, zeros, lambda before, c: F.aggregate(places, F.array(F.lit(0)), lambda row, j: F.array_append(row, cell(row, before, c, j)))))
+
+    def length(t: Column) -> Column:
+        x, y = t["long"], t["short"]
+        return F.when(F.size(y) == 0, 0).when(F.size(y) <= _BITS, by_bits(x, y)).otherwise(by_rows(x, y)).cast("int")
+
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    first = F.char_length(x) >= F.char_length(y)
+    return bound(F.struct(chars(F.when(first, x).otherwise(y)).alias("long"), chars(F.when(first, y).otherwise(x)).alias("short")), length)

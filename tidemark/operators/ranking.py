@@ -137,9 +137,9 @@ def passing(news: DataFrame, watched: tuple[str, ...] = (), least_score: float =
 
 
 def first_candidates(passed: DataFrame, most: int = 40) -> DataFrame:
-    """The first `most` of them: direct ones, releases, relevance, whole titles, quality, score."""
+    """The first `most` of them, with their place: direct ones, releases, relevance, whole titles, quality, score."""
     order = [F.desc("hit"), F.desc("released"), F.desc("relevance"), F.asc("truncated"), F.desc("quality"), F.desc("pref_score"), F.asc("seq")]
-    return passed.orderBy(*order).limit(most)
+    return passed.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def candidates(news: DataFrame, watched: tuple[str, ...] = (), most: int = 40, least_score: float = 0.55) -> DataFrame:

@@ -372,6 +372,32 @@ def batch_round(spark, sf_dir):
     return round_of(V.news(spark, sf_dir), V.event_log(spark, sf_dir), as_of(V.AS_OF), V.WATCHED)
 
 
+def _rounds(spark, sf_dir):
+    """All news, judged and signed, in rounds of 40 rows."""
+    n = _signed(spark, sf_dir)
+    judged = {"round": F.floor(F.col("seq") / 40), "place": F.col("seq"), "push": F.col("seq") % 3 > 0, "score": F.col("market_impact_score"), "pref_score": (F.col("seq") % 7) / 7, "scope": F.col("influence_scope"), "judged": F.col("seq") % 11 > 0}
+    return n.withColumns(judged)
+
+
+@query()
+def growing_events(spark, sf_dir):
+    """The events of each round of 40 rows: a row joins the first whose signature, grown by all rows before it, is like its own."""
+    from ..streaming.folds import grown_groups
+
+    return grown_groups(_rounds(spark, sf_dir).select("round", "place", "seq", "sig"), by=("round",))
+
+
+@query()
+def admitted_events(spark, sf_dir):
+    """What goes out of each round of 40 rows, row by row: each sees what its round sent before it."""
+    from ..streaming.rounds import gated, representatives
+
+    by = ("round",)
+    best = representatives(_rounds(spark, sf_dir), by, "place")
+    sent = V.event_log(spark, sf_dir).where("event_id % 50 = 0")
+    return gated(stored(best), sent, as_of(), V.WATCHED, mode="loose", by=by, order="place", daily_limit=400).select("round", "group", "seq", "gate", "exempt")
+
+
 @query()
 def stateful_rounds(spark, sf_dir):
     """Two rounds in a row with state between them: the second has the first one's rows again, and new ones."""

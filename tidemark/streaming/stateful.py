@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import stored
-from ..functions import gates
 from ..functions.judge import rule_judge
-from ..functions.signatures import chain_key, fingerprint, titles_alike
-from ..functions.text import text_of
+from ..functions.signatures import fingerprint, titles_alike
 from ..operators import dedup, events, ranking, state
 from .rounds import gated, representatives
 
@@ -83,30 +81,13 @@ def waiting_rows(back: DataFrame, news: DataFrame) -> DataFrame:
     return read.select(*cells)
 
 
-def exempted(rows: DataFrame, sent: DataFrame) -> DataFrame:
-    """rows with exempt and chain: a strong hard event that its topic's limit stops goes out once for each chain."""
-    chained = rows.withColumn("chain", F.when(F.col("direction").isin("bullish", "bearish"), chain_key(F.col("sig"), F.col("title"), F.col("content"))))
-    free = stored(events.open_chains(rows.where("gate = 'topic'"), sent).groupBy("chain").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("exempt")))
-    out = chained.join(free, "seq", "left").withColumn("exempt", F.coalesce("exempt", F.lit(False)))
-    return out.withColumn("gate", F.when(F.col("exempt"), "sent").otherwise(F.col("gate"))).withColumn("chain", F.when(F.col("exempt"), F.col("chain")))
-
-
-def within_day(rows: DataFrame, sent: DataFrame, as_of: Column, limit: int) -> DataFrame:
-    """rows with the gate `daily limit` where so many were sent that day; signal words are spared. Rows are few: one for each event of a round."""
-    before = sent.where(F.to_date("t") == F.to_date(as_of)).agg(F.count(F.lit(1)).alias("before"))
-    order = Window.partitionBy("gate").orderBy("seq")
-    placed = rows.withColumn("_place", F.row_number().over(order) - 1).crossJoin(F.broadcast(before))
-    full = (F.col("gate") == "sent") & (F.col("before") + F.col("_place") >= limit) & ~gates.has_signal(text_of("title", "content"))
-    return placed.withColumn("gate", F.when(full, "daily limit").otherwise(F.col("gate"))).drop("_place", "before")
-
-
 def stateful_round(news: DataFrame, store: StateStore, as_of: Column, batch: int, watched: tuple[str, ...] = (), judge: Callable[[DataFrame], DataFrame] = rule_judge, most: int = 40, daily_limit: int = 100) -> DataFrame:
     """One round over news and what waits; returns one row for each event with its gate, and commits the state.
 
     Seen rows are left out, waiting ones come back in front, rows beyond the `most` candidates wait (or are given
-    up after their retries), events that the log tells are not sent again, a hard event passes its topic's limit once,
-    and the day's limit holds. Counts of topics, themes and chains are those before the round. A committed batch
-    is read, not run again.
+    up after their retries). Events that the log or the round itself tells are not sent again, a hard event passes its
+    topic's limit once for each chain, and the day's limit holds; all of these see what the round has sent before.
+    A committed batch is read, not run again.
     """
     if batch in store.batches():
         return store.read("outcome", batch)
@@ -118,8 +99,8 @@ def stateful_round(news: DataFrame, store: StateStore, as_of: Column, batch: int
     chosen = stored(ranking.first_candidates(passed, most))
     waits, given_up = state.overflow(passed.join(chosen.select("seq"), "seq", "left_anti"), as_of)
     signed = events.signed(judge(chosen), F.coalesce("entities", F.array().cast("array<string>")), F.col("affected_sectors"), F.col("scope"))
-    told = exempted(gated(stored(representatives(signed)), sent, as_of, watched), sent)
-    outcome = stored(within_day(told, sent, as_of, daily_limit).select("seq", "fp", "title", "direction", "score", "gate", "sig", "exempt", "chain"))
+    told = gated(stored(representatives(signed, order="place")), sent, as_of, watched, daily_limit=daily_limit, order="place")
+    outcome = stored(told.select("seq", "fp", "title", "direction", "score", "gate", "sig", "exempt", "chain"))
 
     out = outcome.where("gate = 'sent'")
     more = out.select(F.xxhash64("fp", F.lit(batch)).alias("event_id"), as_of.alias("t"), F.col("direction").alias("dir"), F.substring("title", 1, 60).alias("title"), F.col("sig").cast(SIGNATURE), "exempt", "chain")
