@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import state
+
 
 def streaks(rounds: DataFrame, source: str = "source", at: str = "round", count: str = "count") -> DataFrame:
     """rounds with streak: how many rounds in a row have been empty, up to and with this one."""
@@ -28,3 +30,11 @@ def alerts(health: DataFrame, as_of: Column, least: int = 6, hours: int = 24) ->
     calm = F.col("last_alert").isNull() | ((F.unix_micros(as_of) - F.unix_micros("last_alert")) >= hours * 3_600_000_000)
     due = health.where((F.col("streak") >= least) & calm)
     return due.withColumn("_all", F.lit(1)).join(F.broadcast(alive.select(F.lit(1).alias("_all"))), "_all", "left_semi").drop("_all")
+
+
+def history(rounds: DataFrame, source: str = "source", at: str = "t", count: str = "count", alive: str = "alive", least: int = 6, hours: int = 24) -> DataFrame:
+    """rounds with streak and alert: from `least` empty rounds on, where any source is alive, and at least `hours` after the source's last alert."""
+    told = streaks(rounds, source, at, count)
+    due = told.where((F.col("streak") >= least) & F.col(alive)).select(source, F.col(at).alias("t"))
+    sent = state.spaced(due, source, hours).select(source, F.col("t").alias(at), F.lit(True).alias("alert"))
+    return told.join(sent, [source, at], "left").withColumn("alert", F.coalesce("alert", F.lit(False)))

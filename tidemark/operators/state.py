@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions.gates import has_signal
 from ..functions.text import text_of
 
@@ -101,10 +102,29 @@ def recent(log: DataFrame, as_of: Column, hours: int = 24, most: int = 100) -> D
 def spaced(log: DataFrame, key: str, hours: int = 24) -> DataFrame:
     """Of each key's times those that are at least `hours` after the last one taken: the greedy rate limit.
 
-    Each key's times are folded in order; a key of any length is one pass over its sorted times.
+    Every time has a link to the first one at least `hours` after it, and what the first time of a key reaches over
+    links is taken. Times stand in slots of `hours`: a link ends in the slot it points into, or at the first time of
+    the next slot that has any, so only one slot of a key is ever sorted together. Links are followed 1, 2, 4 ...
+    at a time; their number is at most that of a key's slots.
     """
     gap = hours * 3_600_000_000
-    times = log.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros("t"))).alias("times"))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(x - acc["last"] >= gap, F.struct(x.alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
-    return times.select(key, F.explode(F.aggregate("times", start, step, lambda acc: acc["kept"])).alias("u")).select(key, F.timestamp_micros("u").alias("t"))
+    times = stored(log.where(F.col(key).isNotNull() & F.col("t").isNotNull()).select(F.col(key).alias("k"), F.unix_micros("t").alias("u")).distinct())
+    slot = F.floor(F.col("u") / gap)
+    firsts = times.groupBy("k", slot.alias("slot")).agg(F.min("u").alias("first"))
+    order = Window.partitionBy("k").orderBy("slot")  # one row for each slot
+    later = firsts.select("k", (F.col("slot") + 1).alias("slot"), F.lead("first").over(order).alias("one"), F.lead("first", 2).over(order).alias("two"))
+    # in each slot, the times there (own) and those whose links point into it (asks), from the last to the first
+    asks = times.select("k", "u", (F.col("u") + gap).alias("at"), F.lit(0).alias("own"))
+    both = asks.unionByName(times.select("k", "u", F.col("u").alias("at"), F.lit(1).alias("own"))).withColumn("slot", F.floor(F.col("at") / gap))
+    back = Window.partitionBy("k", "slot").orderBy(F.desc("at"), F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("to", F.last(F.when(F.col("own") == 1, F.col("at")), ignorenulls=True).over(back)).where("own = 0")
+    # a link points into the slot after that of its time; where that has no time for it, to the first of a later slot
+    beyond = F.when(F.floor(F.col("one") / gap) > F.col("slot"), F.col("one")).otherwise(F.col("two"))
+    links = stored(inside.join(later, ["k", "slot"]).select("k", "u", F.coalesce("to", beyond).alias("to")).where("to IS NOT NULL"))
+    taken = stored(times.groupBy("k").agg(F.min("u").alias("u")))
+    while True:
+        more = stored(taken.join(links, ["k", "u"]).select("k", F.col("to").alias("u")))
+        if more.isEmpty():
+            return taken.select(F.col("k").alias(key), F.timestamp_micros("u").alias("t"))
+        taken = stored(taken.unionByName(more).distinct())
+        links = stored(links.join(links.select("k", F.col("u").alias("to"), F.col("to").alias("end")), ["k", "to"]).select("k", "u", F.col("end").alias("to")))

@@ -13,7 +13,7 @@ from .text_queries import CLEAN, TEXT, _BOUND, _QUALITY, _STOCKS, _TRUNCATED, co
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-TIMED = {"seen_prune", "pending_settle", "pending_given_up", "pending_reinject", "merge_seen", "merge_pending", "events_compaction", "events_archive", "candidates_compaction", "rate_limit_24h"}
+TIMED = {"seen_prune", "pending_settle", "pending_given_up", "pending_reinject", "merge_seen", "merge_pending", "events_compaction", "events_archive", "candidates_compaction", "rate_limit_24h", "rate_limit_stream", "source_alerts", "source_alerts_stream"}
 
 
 def query(sql: str | None = None):
@@ -126,6 +126,58 @@ def rate_limit_24h(spark, sf_dir):
     return state.spaced(V.table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("t")), "k")
 
 
+_WALK = """e AS (SELECT {k} AS k, {t} AS t, row_number() OVER (PARTITION BY {k} ORDER BY {t}) AS i FROM {rows}),
+walk AS (SELECT k, t, t AS last, i, true AS kept FROM e WHERE i = 1 UNION ALL SELECT e.k, e.t, CASE WHEN e.t - w.last >= INTERVAL 24 HOUR THEN e.t ELSE w.last END, e.i, e.t - w.last >= INTERVAL 24 HOUR FROM walk w JOIN e ON e.k = w.k AND e.i = w.i + 1)"""
+
+
+def _streamed(spark, rows, of):
+    """What a keyed stream over the rows has given when they have all come, an hour before the last one."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/tidemark-streams/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    out = of(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(f"WITH RECURSIVE {_WALK.format(k='user_id', t='ts', rows='events')} SELECT k, t FROM walk WHERE kept AND t <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@dated
+def rate_limit_stream(spark, sf_dir):
+    """rate_limit_24h as a stream with state for each key."""
+    from ..streaming import keyed
+
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("t"))
+    return _streamed(spark, rows, lambda s: keyed.spaced(s, "k"))
+
+
+_TIMED_ROUNDS = f"{V.ROUNDS_SQL}, timed AS (SELECT source, TIMESTAMP '2024-01-01 00:00:00' + to_hours(round * 7) AS t, count, max(count) OVER (PARTITION BY round) > 0 AS alive FROM rounds), m AS (SELECT *, sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY t) AS g FROM timed), s AS (SELECT source, t, count, alive, sum(CASE WHEN count > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source, g ORDER BY t)::BIGINT AS streak FROM m), due AS (SELECT * FROM s WHERE streak >= 6 AND alive)"
+_ALERTS = f"WITH RECURSIVE {_TIMED_ROUNDS}, {_WALK.format(k='source', t='t', rows='due')} SELECT s.source, s.t, s.count, s.streak, coalesce(w.kept, false) AS alert FROM s LEFT JOIN walk w ON w.k = s.source AND w.t = s.t"
+
+
+def _timed_rounds(spark, sf_dir):
+    r = V.rounds(spark, sf_dir)
+    alive = r.groupBy("round").agg((F.max("count") > 0).alias("alive"))
+    t = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("round") * 7 * 3600)
+    return r.join(alive, "round").select("source", t.alias("t"), "count", "alive")
+
+
+@query(_ALERTS)
+@dated
+def source_alerts(spark, sf_dir):
+    """Streaks and rate-limited alerts of all rounds, as tables."""
+    return health.history(_timed_rounds(spark, sf_dir)).select("source", "t", "count", "streak", "alert")
+
+
+@query(f"{_ALERTS} WHERE s.t <= (SELECT max(t) FROM s) - INTERVAL 1 HOUR")
+@dated
+def source_alerts_stream(spark, sf_dir):
+    """The same as a stream with state for each source."""
+    from ..streaming import keyed
+
+    return _streamed(spark, _timed_rounds(spark, sf_dir), keyed.source_health)
+
+
 @query(f"WITH {V.ROUNDS_SQL}, m AS (SELECT *, sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY round) AS g FROM rounds) SELECT source, round::INTEGER AS round, count, sum(CASE WHEN count > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source, g ORDER BY round)::BIGINT AS streak FROM m")
 def source_streak(spark, sf_dir):
     return health.streaks(V.rounds(spark, sf_dir))
