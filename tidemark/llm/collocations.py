@@ -25,17 +25,16 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-PIECE_ENDS = "[.,;:!?\\n-\\r]"
-WORD_GAPS = "[ \\t]+"
-WORD = "[^ \\t.,;:!?\\n-\\r]+"
+PIECE_ENDS = ".,;:!?\n\v\f\r"
 #: Parts in which each language is ranked before its first phrases are ranked together.
 PARTS = 64
 #: A count, and a product of counts.
 COUNT, PRODUCT = "decimal(16,0)", "decimal(38,0)"
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+def pieces_of(text: Column) -> Column:
+    """The text's pieces: letters become small, what ends a piece a full stop and a tab a space, in one pass."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase + PIECE_ENDS + "\t", ascii_lowercase + "." * len(PIECE_ENDS) + " "), "\\.")
 
 
 def runs(words: Column, most: int) -> Column:
@@ -48,22 +47,18 @@ def runs(words: Column, most: int) -> Column:
     return F.concat(*reduce(longer, range(2, most + 1), [words]))
 
 
-def phrase_counts(docs: DataFrame, max_words: int, text: str, lang: str) -> DataFrame:
-    """lang, phrase, f: how often each run of words occurs within pieces, overlaps included."""
+def phrase_counts(docs: DataFrame, max_words: int, least: int, text: str, lang: str) -> DataFrame:
+    """lang, phrase, f: how often each run of words occurs within pieces, overlaps included, from `least` on; the empty phrase stands for all rarer words."""
     spoken = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    pieces = docs.select(spoken.alias("lang"), F.explode(F.split(lowered(F.col(text)), PIECE_ENDS)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", WORD_GAPS), lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    pieces = docs.select(spoken.alias("lang"), F.explode(pieces_of(F.col(text))).alias("piece"))
+    words = pieces.select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("words")).where(F.size("words") > 0)
     rows = words.select("lang", F.explode(runs(F.col("words"), max_words)).alias("phrase"))
     # one text as the key of the aggregate: a phrase holds no tab
-    keyed = rows.select(F.concat("lang", F.lit("\t"), "phrase").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    counted = rows.select(F.concat("lang", F.lit("\t"), "phrase").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("f"))
     phrase = F.substring_index("key", "\t", -1)
-    return keyed.select(F.expr("substring(key, 1, char_length(key) - char_length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
-
-
-def word_totals(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, n: how many words occur."""
-    spoken = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    return docs.groupBy(spoken.alias("lang")).agg(F.sum(F.regexp_count(lowered(F.col(text)), F.lit(WORD)).cast("long")).alias("n"))
+    split = counted.select("key", phrase.alias("phrase"), "f").where((F.col("f") >= least) | (F.instr("phrase", " ") == 0))
+    named = split.select(F.expr("substring(key, 1, char_length(key) - char_length(phrase) - 1)").alias("lang"), F.when(F.col("f") >= least, F.col("phrase")).otherwise("").alias("phrase"), "f")
+    return named.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered: int = 50, most: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -75,7 +70,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered:
     """
     docs = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     # a part occurs at least as often as the whole, so nothing rarer is asked for
-    known = written(phrase_counts(docs, max_words, "text", "lang").where(F.col("f") >= least))
+    known = written(phrase_counts(docs, max_words, least, "text", "lang"))
     sized = known.withColumn("words", F.split("phrase", " ")).withColumn("size", F.size("words"))
     candidates = sized.where(F.col("size") > 1)
 
@@ -97,4 +92,5 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered:
     parted = free.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     near = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*first))).where(F.col("rank") <= most)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).where(F.col("rank") <= most)
-    return ranked.join(word_totals(docs, "text", "lang"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    totals = known.where(F.instr("phrase", " ") == 0).groupBy("lang").agg(F.sum("f").alias("n"))
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -408,15 +408,22 @@ def lcs_pairs(spark, sf_dir):
     return pairs.select("a", "b", text.common_stretch(F.col("ta"), F.col("tb")).alias("stretch"))
 
 
+def _event_links(spark, sf_dir):
+    from ..operators.events import signed
+    from ..operators.same_events import same_event_links
+
+    return same_event_links(signed(V.news(spark, sf_dir), F.col("entities"), F.col("affected_sectors"), F.col("influence_scope")))
+
+
 @query()
 def same_event_pairs(spark, sf_dir):
-    """Pairs of rows that tell of the same event and share a stock or an entity; of rows with one title the first stands for all. (batch_round compares all pairs of its few candidates.)"""
-    from ..operators.events import signed
+    """All pairs of classes (rows with one signature, named by the least) that tell of the same event; `same_event_rows` has the rows."""
+    return _event_links(spark, sf_dir)[1]
+
 
-    n = signed(V.news(spark, sf_dir), F.col("entities"), F.col("affected_sectors"), F.col("influence_scope"))
-    first = n.groupBy("sig.title_norm").agg(F.min("seq").alias("seq"))
-    n = n.join(first.select("seq"), "seq", "left_semi").select("seq", "sig")
-    keys = n.select("seq", F.explode(F.array_distinct(F.concat(F.col("sig.stocks"), signatures.all_entities(F.col("sig"))))).alias("k"))
-    met = keys.select(F.col("seq").alias("a"), "k").join(keys.select(F.col("seq").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    both = met.join(n.select(F.col("seq").alias("a"), F.col("sig").alias("sa")), "a").join(n.select(F.col("seq").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.where(signatures.same_event(F.col("sa"), F.col("sb"))).select("a", "b")
+@query()
+def same_event_rows(spark, sf_dir):
+    """Each row's class, and with how many other classes it shares an event."""
+    rows, pairs = _event_links(spark, sf_dir)
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    return rows.join(ends.groupBy("class").agg(F.count(F.lit(1)).alias("links")), "class", "left").select("seq", "class", F.coalesce("links", F.lit(0)).alias("links"))
