@@ -2,11 +2,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import market_queries, more_queries, state_queries, text_queries
+from tidemark.plans import history_queries, market_queries, more_queries, state_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = text_queries.SQL | state_queries.SQL | market_queries.SQL | more_queries.SQL
+OWN = text_queries.SQL | state_queries.SQL | market_queries.SQL | more_queries.SQL | history_queries.SQL
 
 
 @pytest.fixture(scope="module")

@@ -128,3 +128,27 @@ def forecast_signals(rows: DataFrame, directions: dict[str, str], above: float =
     wide = rows.where((F.col("amplitude") > above) | (F.col("amplitude") < below)).withColumn("direction", F.coalesce(F.element_at(named, F.col("kind")), F.lit("neutral")))
     best = wide.groupBy("code").agg(F.max_by("seq", F.struct(F.abs("amplitude"), -F.col("seq"))).alias("seq"))
     return wide.join(best, ["code", "seq"], "left_semi").orderBy(F.desc(F.abs("amplitude")), "seq").limit(most)
+
+
+def wide_panels(bars: DataFrame, field: str, benchmark: DataFrame, width: int = 400) -> list[tuple[list, DataFrame]]:
+    """(codes, panel) for each `width` codes of the bars: date, index_close, and a column of the field for each code, named by it.
+
+    Every panel has the same dates, all those of the bars, in rows that any two of them share by date; a code
+    without a bar of a date is null there. benchmark: date, close. Column names are the driver's, so it is sent the
+    codes; the bars themselves are pivoted where they lie.
+    """
+    codes = [r[0] for r in bars.select("code").where("code IS NOT NULL").distinct().orderBy("code").toLocalIterator()]
+    dates = bars.select("date").distinct().join(benchmark.select("date", F.col("close").alias("index_close")), "date", "left")
+    out = []
+    for low in range(0, len(codes), width):
+        some = codes[low : low + width]
+        # between the least and the largest code of the chunk: a range, not a list of values
+        mine = bars.where(F.col("code").between(some[0], some[-1]))
+        out.append((some, dates.join(mine.groupBy("date").pivot("code", some).agg(F.max(field)), "date", "left")))
+    return out
+
+
+def long_panel(codes: list, panel: DataFrame, field: str) -> DataFrame:
+    """date, index_close, code and field of a wide panel, cells without a value too."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").alias(field)) for c in codes])).alias("cell")
+    return panel.select("date", "index_close", cells).select("date", "index_close", "cell.*")

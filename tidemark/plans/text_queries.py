@@ -322,16 +322,23 @@ def direct_pass(spark, sf_dir):
     return V.news(spark, sf_dir).select("seq", gates.is_macro_release(t).alias("release"), gates.is_major_deal(t).alias("deal"), gates.is_macro_policy(t, F.col("content")).alias("policy"), gates.has_signal(t).alias("signal"), gates.goes_straight(t, V.WATCHED).alias("straight"))
 
 
-def noise_sql() -> str:
-    rest = f"regexp_replace(title, {quote('|'.join(sorted(L.COLUMN_MARKERS, key=lambda w: -len(w))))}, '', 'g')"
+REST_SQL = f"regexp_replace(title, {quote('|'.join(sorted(L.COLUMN_MARKERS, key=lambda w: -len(w))))}, '', 'g')"
+
+
+def noise_case(names: tuple[str, ...], watched: str, leader: str) -> str:
+    """The noise rule over the columns title and rest (REST_SQL). watched: whether a row names one of the names; leader: whether its stock leads."""
     moves = lambda t: f"({any_sql(t, gates._INDEXES)} AND {any_sql(t, L.INDEX_MOVES)})"
-    watched = any_sql("(title || ' ' || name || ' ' || content)", V.WATCHED)
     weighty = f"({release_sql('rest')} OR {deal_sql('rest')})"
-    column = f"CASE WHEN {any_sql('title', L.DAILY_COLUMNS)} THEN CASE WHEN {weighty} OR {watched} THEN '' ELSE '日报栏目' END WHEN NOT ({any_sql('rest', L.SIGNAL_WORDS, _BOUND)} OR {release_sql('rest')}) THEN '栏目汇总' WHEN NOT ({weighty} OR {any_sql('rest', (*L.HEADLINE_ENTITIES, *V.WATCHED))}) AND ({moves('rest')} OR {any_sql('rest', L.INTRADAY_WORDS)}) THEN '栏目汇总' ELSE '' END"
-    body = f"CASE WHEN {any_sql('title', L.NOISE_LEADERS)} OR {any_sql('title', (*L.EVENT_VERBS, *V.WATCHED))} THEN '' WHEN regexp_matches(title, {quote(gates._MOVE)}) AND regexp_matches(title, {quote(gates._SIZE)}) THEN '播报体' ELSE '' END"
-    return with_news(f""", x AS (SELECT *, {rest} AS rest FROM news), y AS (SELECT seq, CASE WHEN {any_sql('title', L.COLUMN_MARKERS)} THEN {column} WHEN {moves('title')} THEN '指数播报' WHEN {any_sql('title', L.OVERSEAS_STOCKS)} AND {any_sql('title', L.OVERSEAS_MOVES)} THEN '外盘个股播报'
-  WHEN {any_sql('title', L.INTRADAY_WORDS)} AND NOT {any_sql('title', L.CORPORATE_EVENTS)} AND NOT ({watched} OR {any_sql('title', L.NOISE_LEADERS)} OR (market_impact_score >= 8 AND influence_scope = 'stock')) THEN '盘面异动' ELSE {body} END AS reason FROM x)
-SELECT reason, count(*) AS n, min(seq) AS first FROM y GROUP BY reason""")
+    column = f"CASE WHEN {any_sql('title', L.DAILY_COLUMNS)} THEN CASE WHEN {weighty} OR {watched} THEN '' ELSE '日报栏目' END WHEN NOT ({any_sql('rest', L.SIGNAL_WORDS, _BOUND)} OR {release_sql('rest')}) THEN '栏目汇总' WHEN NOT ({weighty} OR {any_sql('rest', (*L.HEADLINE_ENTITIES, *names))}) AND ({moves('rest')} OR {any_sql('rest', L.INTRADAY_WORDS)}) THEN '栏目汇总' ELSE '' END"
+    body = f"CASE WHEN {any_sql('title', L.NOISE_LEADERS)} OR {any_sql('title', (*L.EVENT_VERBS, *names))} THEN '' WHEN regexp_matches(title, {quote(gates._MOVE)}) AND regexp_matches(title, {quote(gates._SIZE)}) THEN '播报体' ELSE '' END"
+    return f"""CASE WHEN title = '' THEN '' WHEN {any_sql('title', L.COLUMN_MARKERS)} THEN {column} WHEN {moves('title')} THEN '指数播报' WHEN {any_sql('title', L.OVERSEAS_STOCKS)} AND {any_sql('title', L.OVERSEAS_MOVES)} THEN '外盘个股播报'
+  WHEN {any_sql('title', L.INTRADAY_WORDS)} AND NOT {any_sql('title', L.CORPORATE_EVENTS)} AND NOT ({watched} OR {any_sql('title', L.NOISE_LEADERS)} OR {leader}) THEN '盘面异动' ELSE {body} END"""
+
+
+def noise_sql() -> str:
+    watched = any_sql("(title || ' ' || name || ' ' || content)", V.WATCHED)
+    reason = noise_case(V.WATCHED, watched, "(market_impact_score >= 8 AND influence_scope = 'stock')")
+    return with_news(f", x AS (SELECT *, {REST_SQL} AS rest FROM news), y AS (SELECT seq, {reason} AS reason FROM x) SELECT reason, count(*) AS n, min(seq) AS first FROM y GROUP BY reason")
 
 
 @query(noise_sql())
