@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import events
@@ -93,8 +94,70 @@ def test_stateful_rounds(spark, tmp_path):
     assert store.batches() == [1, 2] and second and all(r["seq"] < 0 and r["fp"] in {p["fp"] for p in pending} for r in second)
     assert {r["fp"] for r in store.read("seen").collect()} >= {r["fp"] for r in second}
     assert {r["fp"] for r in store.read("pending").collect()} < {p["fp"] for p in pending} and store.read("seen", 1).count() == len(seen)
+    judged = store.read("candidates").collect()
+    assert {(r["day"], r["sig_key"]) for r in judged} and len({(r["day"], r["sig_key"]) for r in judged}) == len(judged)
+    assert sum(r["pushed"] for r in judged) == len({r["sig_key"] for r in store.read("sent").collect()})
     store.forget(1)
     assert store.batches() == [2]
+    with pytest.raises(ValueError):
+        stateful.stateful_round(news, store, at, 1)
+    # three days later the log is the archive's, and a watched announcement goes out once a day for its key
+    later = F.lit("2024-01-05 12:00:00").cast("timestamp")
+    notice = news.limit(2).withColumns({"title": F.concat(F.lit("某公司关于解除质押的公告"), F.col("seq").cast("string")), "url": F.lit(""), "watch_key": F.lit("000001|质押"), "seq": F.col("seq") + 10**6})
+    third = {r["seq"]: r["gate"] for r in stateful.stateful_round(notice, store, later, 3, most=10).collect()}
+    assert sorted(third.values()).count("sent") == 1 and [r["key"] for r in store.read("watch").collect()] == ["000001|质押"]
+    assert store.read("archive").count() == len({r["sig_key"] for r in sent}) and store.read("sent").count() == 1
+    fourth = stateful.stateful_round(notice.withColumn("title", F.concat("title", F.lit("更正"))), store, later, 4, most=10).collect()
+    assert all(r["gate"] != "sent" for r in fourth) and store.read("watch").count() == 1
+
+
+def test_a_round_that_breaks_off_leaves_nothing(spark, tmp_path, monkeypatch):
+    from tidemark.streaming import stateful
+
+    store = stateful.StateStore(spark, str(tmp_path / "s"), {"x": "n long", "y": "n long"})
+    tables = lambda n: {"x": spark.range(n).toDF("n"), "y": spark.range(n + 1).toDF("n")}
+    store.commit(1, tables(2))
+
+    def broken(draft, batch):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish", broken)
+        with pytest.raises(OSError):
+            store.commit(2, tables(5))
+    again = stateful.StateStore(spark, str(tmp_path / "s"), {"x": "n long", "y": "n long"})
+    assert again.batches() == [1] and (again.read("x").count(), again.read("y").count()) == (2, 3)
+    again.commit(2, tables(5))
+    assert again.batches() == [1, 2] and (again.read("x").count(), again.read("y").count()) == (5, 6) and sorted(p.name for p in (tmp_path / "s").iterdir()) == [f"{i:020d}" for i in (1, 2)]
+    again.commit(2, tables(9))  # another run of a batch that is there
+    assert again.read("x").count() == 5 and len(list((tmp_path / "s").iterdir())) == 2
+    open_reader = again.read("x", 1)
+    again.forget(1)
+    assert again.batches() == [2] and again.read("x").count() == 5 and open_reader.columns == ["n"]
+
+
+def test_two_replicas_are_merged(spark, tmp_path):
+    import datetime
+
+    from tidemark.streaming import stateful
+
+    t = datetime.datetime(2024, 1, 1)
+    sig = ([], [], [], [], [], "stock", "t")
+    event = lambda i, k: (i, t, "bullish", "x", "s", sig, False, None, k)
+    judged = lambda k, pushed, gate: ("2024-01-01", k, "bullish", t, pushed, 5.0, gate, "s", "x")
+    sides = {
+        "a": {"seen": [("f1", t, True, "x")], "pending": [("p", t, 1, "x", None), ("f2", t, 1, "x", None)], "sent": [event(1, "k")], "archive": [], "candidates": [judged("k", True, "sent"), judged("m", False, "topic")], "watch": [("w", t)]},
+        "b": {"seen": [("f1", t, False, "y"), ("f2", t, False, "y")], "pending": [("p", t, 2, "y", None)], "sent": [event(2, "k"), event(3, "l")], "archive": [event(9, "z")], "candidates": [judged("k", False, "threshold")], "watch": [("w", t), ("v", t)]},
+    }
+    stores = {}
+    for name, tables in sides.items():
+        stores[name] = stateful.StateStore(spark, str(tmp_path / name))
+        stores[name].commit(1, {n: spark.createDataFrame(rows, stateful.TABLES[n]) for n, rows in tables.items()} | {"outcome": spark.createDataFrame([], stateful.OUTCOME)})
+    stores["a"].commit(2, stateful.merged(stores["a"], stores["b"]))
+    read = lambda n: stores["a"].read(n).collect()
+    assert sorted((r["fp"], r["pushed"]) for r in read("seen")) == [("f1", True), ("f2", False)] and [(r["fp"], r["retry"]) for r in read("pending")] == [("p", 2)]
+    assert sorted(r["event_id"] for r in read("sent")) == [2, 3] and [r["event_id"] for r in read("archive")] == [9]
+    assert sorted((r["sig_key"], r["pushed"], r["gate"]) for r in read("candidates")) == [("k", True, "sent"), ("m", False, "topic")] and sorted(r["key"] for r in read("watch")) == ["v", "w"]
 
 
 def test_daily_limit_spares_signals(spark):

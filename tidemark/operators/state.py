@@ -52,29 +52,34 @@ def compact_candidates(rows: DataFrame, as_of: Column, hours: int = 48, most: in
     return newest(rows.where(F.col("t") >= since(as_of, hours)), most, F.asc("pushed"))
 
 
-def _preferred(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+def preferred(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each key: the first in order."""
     names = [n for n in rows.columns if n not in keys]
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").select(*keys, *[n for n in names if n != "_local"])
 
 
+def first_of(local: DataFrame, remote: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One row of each key from both tables: the first in order, in which _local is 1 for a local row."""
+    return preferred(_both(local, remote), keys, order)
+
+
 def _both(local: DataFrame, remote: DataFrame) -> DataFrame:
     return local.withColumn("_local", F.lit(1)).unionByName(remote.withColumn("_local", F.lit(0)))
 
 
 def merge_seen(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Sent wins over unsent, then the remote row."""
-    return _preferred(_both(local, remote), ["fp"], [F.desc("pushed"), F.asc("_local")])
+    return first_of(local, remote, ["fp"], [F.desc("pushed"), F.asc("_local")])
 
 
 def merge_pending(local: DataFrame, remote: DataFrame) -> DataFrame:
     """More retries win, then the local row."""
-    return _preferred(_both(local, remote), ["fp"], [F.desc("retry"), F.desc("_local")])
+    return first_of(local, remote, ["fp"], [F.desc("retry"), F.desc("_local")])
 
 
 def merge_events(local: DataFrame, remote: DataFrame) -> DataFrame:
     """The remote row of a signature key wins."""
-    return _preferred(_both(local, remote), ["sig_key"], [F.asc("_local"), F.asc("t")])
+    return first_of(local, remote, ["sig_key"], [F.asc("_local"), F.asc("t")])
 
 
 def reinjected(pending: DataFrame, seen: DataFrame, fetched: DataFrame) -> DataFrame:
