@@ -139,6 +139,20 @@ def test_versions_and_unseen_licences(spark):
     assert [licenses.version_of(t) for t in texts] == [{0: "1 1", 1: "3", 2: "1", 3: "2", 4: "3", 5: ""}[i] for i in range(6)]
 
 
+UNSEEN = ("CDDL-1.0", "Artistic-2.0", "OFL-1.1", "Zlib", "WTFPL", "CC0-1.0", "BSL-1.0", "PostgreSQL", "NCSA", "Python-2.0", "Ruby", "PHP-3.01", "Vim", "OSL-3.0", "EUPL-1.2", "MS-PL", "AFL-3.0", "CPAL-1.0", "SSPL-1.0", "BUSL-1.1", "QPL-1.0")
+
+
+def test_licences_of_no_family_are_not_confirmed(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = licenses.fit(docs)
+    frames = ("SPDX-License-Identifier: {}", "Licensed under the {} License.", "This work is distributed under the terms of the {} licence")
+    lines = [f.format(n) for n in UNSEEN for f in frames] + ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: Apache-2.0"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), model).where("confirmed").collect()
+    n = len(lines)
+    assert sorted((r["doc_id"], r["family"]) for r in got) == [(n - 3, "mit"), (n - 2, "isc"), (n - 1, "apache")]
+    assert all(r["probability"] > 0.5 for r in got)
+
+
 def test_wrapped_notices_are_confirmed(spark):
     import textwrap
 

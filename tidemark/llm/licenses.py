@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,6 +133,8 @@ FRAMES = (
 FAMILIES = (*TEMPLATES, "unknown")
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRMED_FROM = 0.6
+#: A confirmed row has the share of the pairs that its family alone has too, and more than this probability.
+SURE_FROM = 0.5
 #: How much less than a paragraph's best similarity a family's may be; licences share some of their wording.
 NEARLY = 0.02
 #: The most rows of the tables of weights and templates that go to every task.
@@ -281,17 +284,19 @@ def fit(docs: DataFrame, documents: int = 200, lines: int = 4000, text: str = "t
 
 
 def tables(spark: SparkSession, model: Model) -> tuple[DataFrame, DataFrame]:
-    """The model's weights by feature, and the templates' word pairs and versions."""
+    """The model's weights by feature, and the templates' word pairs and versions; own: a pair that no other family's templates have."""
     weights = [(g, list(w)) for g, w in sorted(model.weights.items())]
+    pairs_of = lambda template: {*map(" ".join, zip(words_of(template), words_of(template)[1:], strict=False))}
+    families = Counter(g for templates in TEMPLATES.values() for g in set().union(*map(pairs_of, templates)))
     pairs = []
     for k, (family, templates) in enumerate(TEMPLATES.items()):
         for t, template in enumerate(templates):
-            words = words_of(template)
-            own = sorted({*map(" ".join, zip(words, words[1:], strict=False))})
-            pairs += [(g, k, f"{family}-{t}", t, version_of(template), len(own)) for g in own]
+            known = sorted(pairs_of(template))
+            alone = sum(families[g] == 1 for g in known)
+            pairs += [(g, k, f"{family}-{t}", t, version_of(template), len(known), families[g] == 1, alone) for g in known]
     if max(len(weights), len(pairs)) > MOST_FEATURES:
         raise ValueError(f"more than {MOST_FEATURES} features")
-    return spark.createDataFrame(weights, "gram string, weights array<double>"), spark.createDataFrame(pairs, "gram string, k int, template string, t int, said string, pairs int")
+    return spark.createDataFrame(weights, "gram string, weights array<double>"), spark.createDataFrame(pairs, "gram string, k int, template string, t int, said string, pairs int, own boolean, alone int")
 
 
 def version(norm: Column) -> Column:
@@ -321,12 +326,12 @@ def judged(norms: DataFrame, model: Model) -> DataFrame:
     each = F.transform(F.slice("z", 1, size - 1), lambda x, k: F.struct(k.alias("k"), x.alias("z"), F.round(F.exp(x - F.col("top")) / F.col("total"), 6).alias("probability")))
     likely = logits.select("key", best.alias("best"), F.explode(F.filter(each, lambda e: e["z"] > unknown)).alias("e")).select("key", "best", "e.k", "e.probability")
 
-    shares = taken.join(F.broadcast(templates), "gram").groupBy("key", "k", "template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("share"), *[F.first(c).alias(c) for c in ("said", "version", "t")])
+    shares = taken.join(F.broadcast(templates), "gram").groupBy("key", "k", "template").agg((F.count(F.lit(1)) / F.first("pairs")).alias("share"), ((F.first("alone") == 0) | (F.count_if("own") >= F.first("alone") * CONFIRMED_FROM)).alias("named"), *[F.first(c).alias(c) for c in ("said", "version", "t")])
     same = (F.col("said") == "") | (F.col("version") == "") | (F.col("said") == F.col("version"))
-    match = shares.withColumn("fits", (F.col("share") >= CONFIRMED_FROM) & same).groupBy("key", "k").agg(F.max(F.struct("fits", "share", (-F.col("t")).alias("t"), "template")).alias("m"), F.first("version").alias("version"))
+    match = shares.withColumn("fits", (F.col("share") >= CONFIRMED_FROM) & F.col("named") & same).groupBy("key", "k").agg(F.max(F.struct("fits", "share", (-F.col("t")).alias("t"), "template")).alias("m"), F.first("version").alias("version"))
     return likely.join(match, ["key", "k"], "left").select(
         "key", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1).alias("family"), "probability", (F.col("k") == F.col("best")).alias("likeliest"), F.col("m.template").alias("template"),
-        F.round(F.coalesce("m.share", F.lit(0.0)), 6).alias("similarity"), F.translate(F.coalesce("version", F.lit("")), " ", ".").alias("version"), F.coalesce("m.fits", F.lit(False)).alias("confirmed"),
+        F.round(F.coalesce("m.share", F.lit(0.0)), 6).alias("similarity"), F.translate(F.coalesce("version", F.lit("")), " ", ".").alias("version"), (F.coalesce("m.fits", F.lit(False)) & (F.col("probability") > SURE_FROM)).alias("confirmed"),
     )
 
 
