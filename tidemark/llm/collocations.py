@@ -61,6 +61,13 @@ def phrase_counts(docs: DataFrame, max_words: int, least: int, text: str, lang:
     return named.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def exact_score() -> Column:
+    """floor(1000000 * a * a / (l * r)) in decimals of 38 digits: exact up to counts of 15 digits."""
+    whole = lambda x: f"CAST({x} AS {PRODUCT})"
+    square, parts = (f"CAST({a} AS {COUNT}) * CAST({b} AS {COUNT})" for a, b in ("aa", "lr"))
+    return F.expr(f"CAST({whole(f'{square} * 1000000')} div {whole(parts)} AS bigint)")
+
+
 def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered: int = 50, most: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `most` phrases.
 
@@ -79,9 +86,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered:
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     count_of = lambda side, name: known.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
     cut = cuts.join(count_of("left", "l"), ["lang", "left"]).join(count_of("right", "r"), ["lang", "right"])
-    # exact: at most 7 + 2 * 15 digits over what divides to a million at most
-    score = F.expr(f"(CAST(1000000 AS {COUNT}) * CAST(a AS {COUNT}) * CAST(a AS {COUNT})) div CAST(CAST(l AS {COUNT}) * CAST(r AS {COUNT}) AS {PRODUCT})")
-    weakest = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    weakest = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(exact_score().alias("score"), "k", "l", "r")).alias("cut"))
     scored = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     extended = candidates.where(F.col("size") > 2).select("lang", F.col("f").alias("more"), F.explode(F.array(part(F.lit(1), F.col("size") - 1), part(F.lit(2), F.col("size") - 1))).alias("phrase"))
