@@ -173,3 +173,15 @@ def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
     none = odd.where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, none, base).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    odd = docs.withColumns({"score": F.lit(123.0), "a.b": F.col("doc_id") * 2, "SCORE x`y": F.lit("z"), "c0": F.col("lang"), "kept": F.lit(7)})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, odd, sf)
+        assert kept.columns == odd.columns
+        rows = kept.toDF(*[f"x{i}" for i in range(len(odd.columns))]).collect()
+        i = odd.columns.index("score")
+        assert rows and all(r[i] == 123.0 and r[i + 1] == 2 * r[0] and r[i + 2] == "z" and r[i + 4] == 7 for r in rows)
+        assert stage(spark, odd.where("doc_id < 0"), sf).count() == 0
