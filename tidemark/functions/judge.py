@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,3 +110,17 @@ def parsed_judgements(answers: DataFrame, column: str) -> DataFrame:
 
     others = [F.col(c) for c in answers.columns if c != column]
     return answers.select(*others, F.inline(read(F.col(column))))
+
+
+# The labels of steps that a judge may write into its chain of reasons.
+_STEPS = r"(事件识别|影响范围|方向|强度|置信度|置信|第[0-9]步)[：:]\s*"
+
+
+def clean_chain(chain: Column) -> Column:
+    """A judge's chain of reasons without the labels of its steps; null and empty stay."""
+    return F.when(F.coalesce(chain, F.lit("")) == "", chain).otherwise(F.regexp_replace(F.regexp_replace(chain, _STEPS, ""), r"^\s+|\s+$", ""))
+
+
+def direction_date(history: Column) -> Column:
+    """The latest day of a map from days to directions; empty where there is none."""
+    return F.coalesce(F.array_max(F.filter(F.map_keys(history), lambda d: F.trim(d) != "")), F.lit(""))

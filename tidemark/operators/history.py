@@ -113,3 +113,15 @@ def with_provisional(final: DataFrame, bars: DataFrame) -> DataFrame:
     ends = final.groupBy("code").agg(F.max("date").alias("end"))
     ahead = bars.join(ends, "code", "left").where(F.col("end").isNull() | (F.col("date") > F.col("end")))
     return final.select("code", "date", "close", "amount", F.lit(False).alias("provisional")).unionByName(ahead.select("code", "date", "close", "amount", F.lit(True).alias("provisional")))
+
+
+def universe(members: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """index, code (six digits) and name of each index's members as its last landed list has them; a list is good for `days`.
+
+    members: index, code, name, loaded (a date). Of a code that is listed twice the least name stays.
+    """
+    live = members.where((F.col("loaded") <= as_of) & (F.date_diff(as_of, F.col("loaded")) <= days))
+    last = live.groupBy("index").agg(F.max("loaded").alias("loaded"))
+    code = F.col("code").cast("string")
+    six = F.when(F.char_length(code) < 6, F.lpad(code, 6, "0")).otherwise(code)
+    return live.join(last, ["index", "loaded"], "left_semi").groupBy("index", six.alias("code")).agg(F.min("name").alias("name"))
