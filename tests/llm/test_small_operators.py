@@ -107,6 +107,32 @@ def test_min_cost_flow_is_brute_force(seed):
         assert sum(map(sum, flow)) == sum(supply) and price(flow) == best
 
 
+@pytest.mark.parametrize("shares", [(5, 1, 1, 1, 0, 2, 3, 1), (1, 0, 0, 0, 0, 0, 0, 0), (1, 2, 3, 4, 5, 6, 7, 8)])
+def test_uneven_capacities_move_the_fewest_bytes(spark, sf, shares):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8))
+    rows = resharding.reshard(docs, old, 8, shares=shares).select("doc_id", "size", "old_shard", "shard").toPandas()
+    assert sorted(rows.doc_id) == sorted(r[0] for r in docs.select("doc_id").collect())
+    want = resharding.capacities_for(int(rows["size"].sum()), 8, shares)
+    assert sum(want) == rows["size"].sum() and all((w == 0) == (s == 0) for w, s in zip(want, shares))
+    before, after = (rows.groupby(c)["size"].sum().reindex(range(8), fill_value=0).tolist() for c in ("old_shard", "shard"))
+    # what cannot stay moves, and no more; each cut falls between two rows
+    cuts = sum(b > w for b, w in zip(before, want)) + 8
+    largest = rows["size"].max()
+    moved = rows["size"][rows.old_shard != rows["shard"]].sum()
+    assert abs(moved - (sum(before) - sum(map(min, before, want)))) <= cuts * largest
+    assert all(abs(a - w) <= cuts * largest for a, w in zip(after, want))
+    blocks = resharding.plan_blocks({o: (1, b) for o, b in enumerate(before) if b}, 8, shares)
+    assert all(shares[j] > 0 for cut in blocks.values() for _, j in cut)
+
+
+def test_capacities_are_checked():
+    for shares in ((1, 2), (0, 0, 0), (1, -1, 2)):
+        with pytest.raises(ValueError):
+            resharding.capacities_for(10, 3, shares)
+    assert resharding.capacities_for(10, 3, (1, 1, 2)) == [2, 3, 5] and resharding.even_capacities(11, 4) == resharding.capacities_for(11, 4)
+
+
 def test_resharding_moves_the_fewest_bytes(spark, sf):
     docs = queries.table(spark, sf, "documents").select("doc_id", "text", "source")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(8))

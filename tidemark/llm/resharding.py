@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
+from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,15 +74,24 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return [[room[(first + 2 * (i * m + j)) ^ 1] for j in range(m)] for i in range(n)]
 
 
+def capacities_for(total: int, shards: int, shares: Sequence[int] | None = None) -> list[int]:
+    """Bytes for each new shard, of `total` together: by the shares, or evenly."""
+    shares = [1] * shards if shares is None else list(shares)
+    if len(shares) != shards or min(shares) < 0 or sum(shares) == 0:
+        raise ValueError("one share for each shard, none under 0 and not all 0")
+    ends = [total * x // sum(shares) for x in accumulate(shares)]
+    return [b - a for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
-    return [total * (j + 1) // shards - total * j // shards for j in range(shards)]
+    return capacities_for(total, shards)
 
 
-def plan_blocks(totals: dict, shards: int) -> dict:
+def plan_blocks(totals: dict, shards: int, shares: Sequence[int] | None = None) -> dict:
     """{old shard: [(first byte, new shard)]}: blocks of each old shard's bytes in order, what stays first."""
     olds = sorted(totals, key=lambda x: (x is None, x))
     sizes = [totals[x][1] for x in olds]
-    flow = min_cost_flow(sizes, even_capacities(sum(sizes), shards), [[int(old != j) for j in range(shards)] for old in olds])
+    flow = min_cost_flow(sizes, capacities_for(sum(sizes), shards, shares), [[int(old != j) for j in range(shards)] for old in olds])
     blocks: dict = {}
     for old, row in zip(olds, flow, strict=True):
         at = 0
@@ -91,13 +102,13 @@ def plan_blocks(totals: dict, shards: int) -> dict:
     return blocks
 
 
-def assign(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text", shares: Sequence[int] | None = None) -> DataFrame:
     """docs with size, old_shard and new_shard. The texts are read, not shuffled: each block is known by its first row."""
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("size", "old_shard", "new_shard")], (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), old.cast("int").alias("old_shard"))
     key = F.coalesce(F.col(id_column), F.lit(_LEAST))
     narrow = rows.select("old_shard", "size", key.alias("id"))
     placed, totals = ordered_prefix(narrow, "old_shard", [F.desc("size"), F.col("id")], "size", "place", "before")
-    blocks = plan_blocks(totals, shards)
+    blocks = plan_blocks(totals, shards, shares)
     new = F.lit(0)
     pieces = [(o, lo, j) for o, cuts in blocks.items() for lo, j in cuts]
     if not pieces:
@@ -114,13 +125,15 @@ def assign(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id",
     return rows.withColumn("new_shard", new.cast("int"))
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text", shares: Sequence[int] | None = None) -> DataFrame:
     """Rewrite the affected shards as files in the shared folder; returns all rows with size, old_shard and shard.
 
+    `shares` are the new capacities, relative to one another; without them all shards get as many bytes.
+
     Rows of shards that neither lose nor gain are read where they are.
     """
     spark = docs.sparkSession
-    moved = assign(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]), old, shards, id_column, text)
+    moved = assign(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"]), old, shards, id_column, text, shares)
     traffic = moved.groupBy("old_shard", "new_shard").agg(F.count(F.lit(1)).alias("n")).collect()
     affected = {x for r in traffic if r["old_shard"] != r["new_shard"] for x in (r["old_shard"], r["new_shard"])} - {None}
     touched = F.coalesce(F.col("new_shard").isin(sorted(affected)), F.lit(False)) if affected else F.lit(False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
@@ -176,6 +177,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lowered_with(column: pa.Array, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, A-Z lower-cased, with the byte `apart` before, between and after them; and where each text begins."""
+    raw, offsets = text_bytes(column)
+    out = np.full(len(raw) + len(column) + 1, apart, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(1, len(column) + 1), np.diff(offsets))] = _LOWER[raw]
+    return out, offsets[:-1] + np.arange(1, len(column) + 1)
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes with a space before, between and after them, A-Z lower-cased; where each word `[^\\x20\\x09-\\x0D]+` starts and ends in them; and each text's first word."""
     raw, offsets = text_bytes(column)
