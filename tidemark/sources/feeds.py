@@ -79,12 +79,12 @@ def plain(markup: Column) -> Column:
     return F.trim(out)
 
 
-def rss_items(feed: DataFrame, column: str = "xml") -> DataFrame:
-    """title (without the source at its end), source, content and published_at text of each item of RSS documents."""
+def rss_items(feed: DataFrame, column: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """title (without the source at its end), source, content and published_at text of each item of RSS documents, with the columns to keep."""
     item = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "pubDate", "source")])
     shape = T.StructType([T.StructField("channel", T.StructType([T.StructField("item", T.ArrayType(item))]))])
-    rows = feed.select(F.explode(F.from_xml(F.col(column), shape.simpleString())["channel"]["item"]).alias("i"))
-    return rows.select(F.regexp_replace(plain(F.col("i.title")), r"\s+-\s+[^-]*$", "").alias("title"), F.col("i.source").alias("source"), plain(F.col("i.description")).alias("content"), F.col("i.pubDate").alias("published_at"))
+    rows = feed.select(*keep, F.explode(F.from_xml(F.col(column), shape.simpleString())["channel"]["item"]).alias("i"))
+    return rows.select(*keep, F.regexp_replace(plain(F.col("i.title")), r"\s+-\s+[^-]*$", "").alias("title"), F.col("i.source").alias("source"), plain(F.col("i.description")).alias("content"), F.col("i.pubDate").alias("published_at"))
 
 
 def on_topic(rows: DataFrame, words: tuple[str, ...] = TOPIC_WORDS, most: int = 30) -> DataFrame:
@@ -93,7 +93,7 @@ def on_topic(rows: DataFrame, words: tuple[str, ...] = TOPIC_WORDS, most: int =
     return rows.where(any_of(text, [w.lower() for w in words])).orderBy(F.desc("published_at")).limit(most)
 
 
-def kline(lines: DataFrame, column: str = "line") -> DataFrame:
-    """date, close and amount of comma-separated bars of seven fields or more."""
+def kline(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """date, close and amount of comma-separated bars of seven fields or more, with the columns to keep."""
     f = F.split(column, ",")
-    return lines.where(F.size(f) >= 7).select(F.element_at(f, 1).try_cast("date").alias("date"), F.element_at(f, 3).try_cast("double").alias("close"), F.element_at(f, 7).try_cast("double").alias("amount")).where("date IS NOT NULL AND close IS NOT NULL")
+    return lines.where(F.size(f) >= 7).select(*keep, F.element_at(f, 1).try_cast("date").alias("date"), F.element_at(f, 3).try_cast("double").alias("close"), F.element_at(f, 7).try_cast("double").alias("amount")).where("date IS NOT NULL AND close IS NOT NULL")
