@@ -4,16 +4,15 @@ Two words are alike by the gap-weighted subsequences of three characters that th
 spans s characters weighs DECAY**s, up to SPAN characters, and the kernel is normalised by both words' own
 weight. Gaps let an insult with inserted or left-out characters stay near its plain form; a run of single
 letters counts as one word too. The machine works in the Nyström space of landmark words with a squared
-hinge loss. A sentence scores as its worst word and a text as its worst sentence. It is trained on sentences
-of labelled documents: those of clean documents are clean; a toxic document has at least one toxic sentence,
-whose witness word is chosen anew by each round's machine; words of many toxic documents and no clean one are
-witnesses in every round, without which recall falls (held out, check_s: 0.87 to 0.99 by the sample, against
-0.98 to 1.0). Kernels stand on words and on runs of letters: an insult that only several words together make is
-not seen. As the kernel is a sum over subsequences, a
-trained machine comes down to one number for each subsequence.
+hinge loss. A text scores as its worst word. It is trained on the words of labelled documents, each a set of
+its words: those of clean documents are clean; a toxic document has at least one toxic word, its witness, which
+is chosen anew by each round's machine; words of many toxic documents and no clean one are witnesses in every
+round, without which recall falls (held out, check_s: 0.87 to 0.99 by the sample, against 0.98 to 1.0). Units
+are words and runs of letters, not sentences: an insult that only several words together make is not seen. As
+the kernel is a sum over subsequences, a trained machine comes down to one number for each subsequence.
 
 Defined results: null and empty texts, and texts of white space only, score as a text whose words share
-nothing with any landmark; equal texts get equal scores; without labelled rows of both kinds every score is
+nothing with any landmark; very long texts are scored whole; equal texts and repeated rows get equal scores; without labelled rows of both kinds every score is
 the share of label 1; an empty table gives an empty one; other columns stay, and columns named like a result
 are replaced.
 """
@@ -211,7 +210,7 @@ def train(sample: list[tuple[str, int]], prior: float, landmarks: int = 96, roun
     clipped = float(np.clip(prior, 1e-6, 1 - 1e-6))
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(CLASSES**3, np.float32), 0.0, 0.0, float(np.log(clipped / (1 - clipped))))
-    # distinct words of each sentence's document; sentences of a document share its label
+    # each document's distinct words
     bags = [sorted({w for s in t.lower().splitlines() for w in s.split()}) for t, _ in sample]
     vocabulary = sorted({w for b in bags for w in b})
     place = {w: i for i, w in enumerate(vocabulary)}
