@@ -399,7 +399,8 @@ def evening_sectors(spark, sf_dir):
     return evening_review(V.event_log(spark, sf_dir), F.lit("2024-01-29").cast("date"))[1]
 
 
-@query()
+@query("""SELECT doc_id AS seq, doc_id::INTEGER AS idx, true AS push, 7.5::DOUBLE AS score, '看涨' AS direction, 'sector' AS scope, 'x' AS reason, 'a "quoted" title' AS title FROM documents
+UNION ALL SELECT doc_id, 2, false, 3.0, 'neutral', 'stock', '', NULL FROM documents""")
 def judge_parse(spark, sf_dir):
     """One row for each object of a judge's answer, broken ones rescued: held against cases in the tests."""
     from ..functions.judge import parsed_judgements
