@@ -34,7 +34,7 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Bytes of text that are one numpy pass; hashes that a task adds up before it sends them on; bits of the filter.
-PASS, MOST_COUNTS, BITS = 1 << 20, 1 << 22, 1 << 26
+PASS, MOST_COUNTS, BITS = 1 << 20, 3 << 20, 1 << 26
 #: Parts in which each language is ranked before its first phrases are ranked together.
 PARTS = 64
 #: A count, and a product of counts.
@@ -104,7 +104,8 @@ def run_counts(docs: DataFrame, max_words: int) -> DataFrame:
             yield from rows(*merged())
         give_back()
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    # added up in each task already: another sum before the shuffle would only spill
+    return docs.mapInArrow(run, "h long, c long").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def frequent(docs: DataFrame, max_words: int, least: int) -> np.ndarray:
