@@ -49,6 +49,14 @@ def test_url_rules_are_brute_force(spark):
     assert url_filters.filter_urls(rows, []).where("verdict <> 'allow'").count() == 0
 
 
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    spark.createDataFrame(enumerate(("http://a.net/de/1", "http://example.net/de/8", "http://m.example.net/de/9", "http://a.com/en/1", "http://example.com/en/7", "http://org/es/", "http://org/fr/")), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["rule"], r["verdict"]) for r in queries.op1_url_filters(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow")]
+    for word, rule in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")):
+        assert f"('{word}', '{rule}')" in queries.oracle_sql()["op1_url_filters"]
+
+
 def test_url_wildcards_and_rare_tokens():
     rule = url_filters.Rule.parse("block", "ads*.example.com/*/banner/")
     assert rule.tokens() == {"example", "com", "banner"}
