@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, market, replay
@@ -107,3 +108,12 @@ def test_replay_calls_blocked_deeds_wrong(spark):
     assert sum(r["n"] for r in table) == 5 and all((r["change"] == "kept") == (r["old"] == r["new"] == "") for r in table)
     blocked = [r for r in judged.collect() if r["new"]]
     assert all(r["wrong"] == (r["watched"] or r["deed"]) for r in blocked)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_quote_is_split_once(spark):
+    quotes = spark.range(3).selectExpr("id AS code", "timestamp_micros(id) AS at", "concat(CAST(id AS string), repeat('1~', 40)) AS line").repartition(2)
+    assert plan_of(history.intraday_bars(quotes)).count("split(") == 1

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: What the amounts of a source count.
 AMOUNT_UNITS = {"sina_volume": "shares", "tencent_volume": "hands", "eastmoney_hist": "yuan", "eastmoney_push2his": "yuan", "eastmoney_push2his_akshare": "yuan"}
 #: Fields of a quote, from 0.
@@ -79,22 +81,25 @@ def quoted_bar(line: Column) -> Column:
 
     high and low are given where the price lies between them.
     """
-    fields = F.split(line, "~")
 
-    def number(i: int) -> Column:
-        v = F.get(fields, F.lit(i)).try_cast("double")
-        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    def number(fields: Column, i: int) -> Column:
+        return bound(F.get(fields, F.lit(i)).try_cast("double"), lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
+
+    def bar(q: Column) -> Column:
+        inside = (q["low"] > 0) & (q["high"] >= q["price"]) & (q["price"] >= q["low"])
+        made = F.struct(q["price"].alias("close"), F.when(inside, q["high"]).alias("high"), F.when(inside, q["low"]).alias("low"), (q["hands"] * 100.0).alias("amount"), F.when(q["yuan"] >= 0, q["yuan"]).alias("amount_yuan"))
+        return F.when((q["fields"] > HANDS) & (q["price"] > 0) & (q["hands"] >= 0), made)
 
-    price, high, low, hands, yuan = (number(i) for i in (PRICE, HIGH, LOW, HANDS, YUAN))
-    inside = (low > 0) & (high >= price) & (price >= low)
-    bar = F.struct(price.alias("close"), F.when(inside, high).alias("high"), F.when(inside, low).alias("low"), (hands * 100.0).alias("amount"), F.when(yuan >= 0, yuan).alias("amount_yuan"))
-    return F.when((F.size(fields) > HANDS) & (price > 0) & (hands >= 0), bar)
+    places = {"price": PRICE, "high": HIGH, "low": LOW, "hands": HANDS, "yuan": YUAN}
+    # a line is split once, and each number is read once
+    return bound(F.split(line, "~"), lambda fields: bound(F.struct(F.size(fields).alias("fields"), *[number(fields, i).alias(n) for n, i in places.items()]), bar))
 
 
 def intraday_bars(quotes: DataFrame, late: str | None = None) -> DataFrame:
     """code, date, at and the bar of each code's last good quote of a day. quotes: code, at, line; also a stream, with its watermark `late`."""
     rows = quotes.withWatermark("at", late) if late else quotes
-    good = rows.withColumn("bar", quoted_bar(F.col("line"))).where("bar IS NOT NULL")
+    # exploded, not filtered: a filter would make the bar a second time
+    good = rows.select("code", "at", F.explode(F.array_compact(F.array(quoted_bar(F.col("line"))))).alias("bar"))
     last = F.max(F.struct("at", "bar")).alias("last")
     days = good.groupBy("code", F.window("at", "1 day").alias("day")).agg(last) if late else good.groupBy("code", F.to_date("at").alias("date")).agg(last)
     date = F.to_date("day.start") if late else F.col("date")
