@@ -84,3 +84,36 @@ def test_source_health_stream_is_the_batch(spark, tmp_path):
 def test_empty_history(spark):
     none = spark.createDataFrame([], "source string, t timestamp, count long, alive boolean")
     assert health.history(none).count() == 0 and state.spaced(none.select("source", "t"), "source").count() == 0
+
+
+class Held:
+    """A state of one key that counts how often it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return iter(self.value) if isinstance(self.value, list) else self.value
+            if name == "exists":
+                return self.value is not None
+            self.value = (self.value or []) + args[0] if name == "appendList" else None if name == "clear" else args[0]
+
+        return call
+
+
+def test_state_is_asked_for_keys_not_rows():
+    import types
+
+    import pandas as pd
+
+    calls = []
+    handle = types.SimpleNamespace(getListState=lambda *a: Held(calls), getValueState=lambda *a: Held(calls), registerTimer=lambda t: calls.append("timer"))
+    rule = keyed.Spaced(10)
+    rule.init(handle)
+    rows = pd.DataFrame({"u": range(1000, 2000), "count": 1, "alive": True})
+    list(rule.handleInputRows(("k",), iter([rows]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    [out] = rule.handleExpiredTimer(("k",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 5), types.SimpleNamespace(getExpiryTimeInMs=lambda: 1))
+    assert out["u"].tolist() == list(range(1000, 2000, 10)) and len(calls) < 12
