@@ -151,3 +151,11 @@ def test_read_answer():
     broken = '说明\n```json\n[{"idx": 1, "title": "是个"悬而未决"的问题", "push": false, "score": 4.5}, {“idx”: 2， "push": true, "score": 8}]\n```'
     assert [(d["idx"], d["push"], d["score"]) for d in judge.read_answer(broken)] == [(1, False, 4.5), (2, True, 8)]
     assert judge.read_answer(None) == judge.read_answer("no list") == []
+
+
+def test_rule_direction_builds_its_text_once(spark):
+    from tidemark.functions import scoring
+
+    rows = spark.range(2).selectExpr("CAST(id AS string) AS title", "CAST(id AS string) AS content").repartition(2)
+    plan = rows.select(scoring.rule_direction(F.col("title"), F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("concat_ws(") <= 2

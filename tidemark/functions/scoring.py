@@ -216,16 +216,22 @@ def _scan(text: Column) -> Column:
 
 def rule_direction(title: Column, content: Column) -> Column:
     """Direction by rules: a reversing word with a strong word in the 12 characters after it, then the title, then the first sentence of the content."""
-    title, content = F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))
-    full = text_of(title, content)
+    # each text is built once for each row, however many words are searched for in it
+    return bound(F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(content, F.lit("")).alias("content")), lambda t: _direction(t["title"], t["content"]))
+
+
+def _direction(title: Column, content: Column) -> Column:
     more = (*L.BULLISH_WORDS, "增持", "回购", "并购", "重组", "中标", "签约")
-    reversed_ = []
-    for p in L.REVERSING_PREFIXES:
-        window = F.substring(full, F.instr(full, p), F.lit(len(p) + 12))
-        reversed_.append(F.when(F.contains(full, F.lit(p)), F.when(any_of(window, L.BEARISH_WORDS), "bullish").when(any_of(window, more), "bearish")))
-    by_title = _scan(title)
-    first = F.element_at(F.split(content, "[。；;！!？?]", 2), 1)
-    return F.coalesce(*reversed_, F.when(by_title != "neutral", by_title), _scan(first))
+
+    def reversed_(full: Column) -> Column:
+        def by(p: str) -> Column:
+            way = lambda window: F.when(any_of(window, L.BEARISH_WORDS), "bullish").when(any_of(window, more), "bearish")
+            return F.when(F.contains(full, F.lit(p)), bound(F.substring(full, F.instr(full, p), F.lit(len(p) + 12)), way))
+
+        return F.coalesce(*[by(p) for p in L.REVERSING_PREFIXES])
+
+    by_title = bound(_scan(title), lambda d: F.when(d != "neutral", d))
+    return F.coalesce(bound(text_of(title, content), reversed_), by_title, bound(F.element_at(F.split(content, "[。；;！!？?]", 2), 1), _scan))
 
 
 def rounded(x: Column) -> Column:
