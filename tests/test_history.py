@@ -117,3 +117,14 @@ def plan_of(df):
 def test_a_quote_is_split_once(spark):
     quotes = spark.range(3).selectExpr("id AS code", "timestamp_micros(id) AS at", "concat(CAST(id AS string), repeat('1~', 40)) AS line").repartition(2)
     assert plan_of(history.intraday_bars(quotes)).count("split(") == 1
+
+
+@pytest.mark.parametrize("width", (2, 3, 64))
+def test_panel_blocks_are_the_wide_panels(spark, width):
+    bars = spark.createDataFrame([(f"2024-01-{d:02}", c, float(10 * c + d)) for c in (1, 3, 4, 9, 12) for d in (1, 2, 3) if (c + d) % 4], "date string, code long, close double")
+    mark = bars.where("code = 1")
+    want = sorted(tuple(map(str, r)) for codes, panel in market.wide_panels(bars, "close", mark, width) for r in market.long_panel(codes, panel, "close").collect())
+    blocks = market.panel_blocks(bars, "close", mark, width)
+    assert sorted(tuple(map(str, r)) for r in market.long_blocks(blocks, "close").collect()) == want
+    # one table for all blocks: no union of a plan for each
+    assert blocks.select("block").distinct().count() == -(-5 // width) and "Union" not in plan_of(blocks)

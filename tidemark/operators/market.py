@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import numbered, stored
+
 
 def daily_bars(trades: DataFrame, code: str, day: str, at: list[str], price: Column, quantity: Column, amount: Column) -> DataFrame:
     """date, code, open, high, low, close, volume and amount of each day's trades in the order of `at`."""
@@ -148,6 +150,29 @@ def wide_panels(bars: DataFrame, field: str, benchmark: DataFrame, width: int =
     return out
 
 
+def panel_blocks(bars: DataFrame, field: str, benchmark: DataFrame, width: int = 64) -> DataFrame:
+    """block, date, index_close, codes and values: the panels of `width` codes each as one table, a row for each block and date.
+
+    Every block has the same dates, all those of the bars; values stand in the order of codes, null where a code has
+    no bar of a date. One plan for any number of codes: the bars are read as often for many blocks as for one.
+    """
+    known = stored(bars.where("code IS NOT NULL").groupBy("date", "code").agg(F.max(field).alias("value")))
+    places = stored(numbered(known.select("code").distinct(), ["code"], "place").select("code", F.floor((F.col("place") - 1) / width).alias("block")))
+    blocks = places.groupBy("block").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    dates = bars.select("date").distinct().join(benchmark.select("date", F.col("close").alias("index_close")), "date", "left")
+    cells = known.join(places, "code").groupBy("block", "date").agg(F.map_from_entries(F.collect_list(F.struct("code", "value"))).alias("cells"))
+    # the calendar is one row a day
+    grid = blocks.repartition("block").crossJoin(F.broadcast(dates))
+    values = F.transform("codes", lambda c: F.element_at("cells", c))
+    return grid.join(cells, ["block", "date"], "left").select("block", "date", "index_close", "codes", values.alias("values"))
+
+
+def long_blocks(blocks: DataFrame, field: str) -> DataFrame:
+    """date, index_close, code and field of panel_blocks, cells without a value too."""
+    given = F.coalesce(F.col("values"), F.transform("codes", lambda c: F.lit(None).cast(blocks.schema["values"].dataType.elementType)))
+    return blocks.select("date", "index_close", F.inline(F.arrays_zip(F.col("codes").alias("code"), given.alias(field))))
+
+
 def long_panel(codes: list, panel: DataFrame, field: str) -> DataFrame:
     """date, index_close, code and field of a wide panel, cells without a value too."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").alias(field)) for c in codes])).alias("cell")
