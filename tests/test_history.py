@@ -119,6 +119,15 @@ def test_a_quote_is_split_once(spark):
     assert plan_of(history.intraday_bars(quotes)).count("split(") == 1
 
 
+def test_feeds_are_read_once_for_all_choices(spark):
+    rows = lambda n: spark.range(n).selectExpr("id % 3 AS code", "date_add(DATE '2024-01-01', CAST(id AS INT)) AS date", "1.0D AS close", "2.0D AS amount", "'sina_volume' AS source")
+    feeds = rows(77).withColumn("priority", F.lit(0))
+    found = history.index_history(rows(9), feeds, rows(77).select(F.col("date").alias("day")), F.lit("2024-03-10").cast("date"), F.lit("2024-01-01").cast("date"))
+    # its rows, and the ends of its histories; the choice is made in a table of its own
+    assert plan_of(found).count("(0, 77,") <= 3
+    assert found.count() == 70 and {r["action"] for r in found.select("action").collect()} == {"append"}
+
+
 @pytest.mark.parametrize("width", (2, 3, 64))
 def test_panel_blocks_are_the_wide_panels(spark, width):
     bars = spark.createDataFrame([(f"2024-01-{d:02}", c, float(10 * c + d)) for c in (1, 3, 4, 9, 12) for d in (1, 2, 3) if (c + d) % 4], "date string, code long, close double")

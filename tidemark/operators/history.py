@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions.text import bound
 
 #: What the amounts of a source count.
@@ -29,17 +30,24 @@ def fresh_since(workdays: DataFrame, today: Column, most_lag: int = 3) -> DataFr
     return workdays.where(F.col("day") <= today).orderBy(F.desc("day")).limit(most_lag + 1).agg(F.coalesce(F.min("day"), F.lit("0001-01-01").cast("date")).alias("since"))
 
 
-def chosen_frames(rows: DataFrame, since: DataFrame, today: Column) -> DataFrame:
-    """code and priority of the first source of each code that can be used: every row sound, and its end fresh.
-
-    rows: code, priority, date, close, amount. A source with one unsound row is out as a whole.
-    """
+def sound_row() -> Column:
+    """Whether a landed row has a date, a finite close over 0 and a finite amount of 0 or more."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     close, amount = F.col("close").cast("double"), F.col("amount").cast("double")
-    sound = F.col("date").isNotNull() & finite(close) & finite(amount) & (close > 0) & (amount >= 0)
-    ends = rows.groupBy("code", "priority").agg(F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"), F.max("date").alias("last"))
-    fit = ends.crossJoin(F.broadcast(since)).where(F.col("sound") & F.col("last").between(F.col("since"), today))
-    return fit.groupBy("code").agg(F.min("priority").alias("priority"))
+    return F.coalesce(F.col("date").isNotNull() & finite(close) & finite(amount) & (close > 0) & (amount >= 0), F.lit(False))
+
+
+def chosen_frames(landed: DataFrame, since: DataFrame, today: Column, parts: dict[str, Column]) -> DataFrame:
+    """code, and for each part of its rows (a test) the priority and the source of the first source that can be used there: every row of the part sound, and its end fresh.
+
+    landed: code, priority, source, date, close, amount. A source with one unsound row in a part is out as a whole
+    there. The rows are read once for all parts, and are added up before they move.
+    """
+    ends = [[F.bool_and(F.when(test, sound_row())).alias(f"{n}_sound"), F.max(F.when(test, F.col("date"))).alias(f"{n}_last")] for n, test in parts.items()]
+    sources = landed.groupBy("code", "priority").agg(F.max("source").alias("source"), *[c for pair in ends for c in pair]).crossJoin(F.broadcast(since))
+    fit = lambda n: F.col(f"{n}_sound") & F.col(f"{n}_last").between(F.col("since"), today) & F.col("priority").isNotNull()
+    best = sources.groupBy("code").agg(*[F.min(F.when(fit(n), F.struct("priority", "source"))).alias(n) for n in parts])
+    return best.select("code", *[F.col(f"{n}.{c}").alias(alias) for n in parts for c, alias in (("priority", n), ("source", f"{n}_source"))])
 
 
 def index_history(cached: DataFrame, feeds: DataFrame, workdays: DataFrame, today: Column, start: Column, most_lag: int = 3) -> DataFrame:
@@ -52,13 +60,12 @@ def index_history(cached: DataFrame, feeds: DataFrame, workdays: DataFrame, toda
     `most_lag` workdays ago gives nothing.
     """
     since = fresh_since(workdays, today, most_lag)
+    last = stored(cached.groupBy("code").agg(F.max("date").alias("last"), F.max("source").alias("had")))
     landed = feeds.where((F.col("date") <= today) | F.col("date").isNull())
-    last = cached.groupBy("code").agg(F.max("date").alias("last"), F.max("source").alias("had"))
-    named = landed.groupBy("code", "priority").agg(F.max("source").alias("source"))
-    later = landed.join(last.select("code", "last"), "code").where(F.col("date").isNull() | (F.col("date") > F.col("last"))).drop("last")
-    whole = landed.where(F.col("date").isNull() | (F.col("date") >= start))
-    pick = lambda rows, name: chosen_frames(rows, since, today).join(named, ["code", "priority"]).select("code", F.col("priority").alias(name), F.col("source").alias(f"{name}_source"))
-    plan = last.join(pick(later, "more"), "code", "full").join(pick(whole, "all"), "code", "full")
+    undated = F.col("date").isNull()
+    later, whole = F.col("cached") & (undated | (F.col("date") > F.col("last"))), undated | (F.col("date") >= start)
+    chosen = chosen_frames(landed.join(last.select("code", "last", F.lit(True).alias("cached")), "code", "left"), since, today, {"more": later, "all": whole})
+    plan = last.join(chosen, "code", "full")
     had, more = F.col("had"), F.col("more_source")
     same = (more == had) & (amount_unit(more) == amount_unit(had)) & (amount_unit(had) != "unknown")
     action = (
@@ -66,13 +73,14 @@ def index_history(cached: DataFrame, feeds: DataFrame, workdays: DataFrame, toda
         .when(F.col("more").isNotNull() & F.coalesce(same, F.lit(False)), "append")
         .when((F.col("more").isNotNull() | had.isNull()) & F.col("all").isNotNull(), "rebuild").otherwise("keep")
     )
-    plan = plan.withColumn("action", action).where("action IS NOT NULL")
+    plan = stored(plan.withColumn("action", action).where("action IS NOT NULL"))
     kept = cached.join(plan.where("action IN ('keep', 'append')").select("code", "action"), "code").select("code", "date", "close", "amount", "source", "action")
-    fetched = lambda rows, name, actions: rows.join(plan.where(F.col("action").isin(*actions)).select("code", F.col(name).alias("priority"), "action"), ["code", "priority"]).select("code", "date", "close", "amount", "source", "action")
-    rows = kept.unionByName(fetched(later, "more", ["append"])).unionByName(fetched(whole, "all", ["rebuild", "new"]))
+    taken = plan.where("action <> 'keep'").select("code", "action", "last", F.when(F.col("action") == "append", F.col("more")).otherwise(F.col("all")).alias("priority"))
+    fetched = landed.join(taken, ["code", "priority"]).where(F.when(F.col("action") == "append", undated | (F.col("date") > F.col("last"))).otherwise(whole)).select("code", "date", "close", "amount", "source", "action")
     # one row for each date: of repeated ones the largest
-    once = rows.groupBy("code", "date").agg(F.max(F.struct("close", "amount", "source", "action")).alias("r")).select("code", "date", "r.*")
-    fresh = once.groupBy("code").agg(F.max("date").alias("end")).crossJoin(F.broadcast(since)).where(F.col("end").between(F.col("since"), today)).select("code")
+    once = kept.unionByName(fetched).groupBy("code", "date").agg(F.max(F.struct("close", "amount", "source", "action")).alias("r")).select("code", "date", "r.*")
+    # the end of a code's history is found from its parts, so that `once` is made once
+    fresh = kept.unionByName(fetched).groupBy("code").agg(F.max("date").alias("end")).crossJoin(F.broadcast(since)).where(F.col("end").between(F.col("since"), today)).select("code")
     return once.join(fresh, "code", "left_semi").where(F.col("date") >= start).withColumn("unit", amount_unit(F.col("source")))
 
 
