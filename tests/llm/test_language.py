@@ -212,3 +212,9 @@ def test_paths_share_no_prefix():
     for s, n, share in zip(starts, lengths, shares, strict=True):
         under[tuple(zip(nodes[s : s + n].tolist(), bits[s : s + n].tolist(), strict=True))] += share
     assert all(abs(v - 1) < 1e-12 for v in under.values())  # what is under one end of a path shares it out
+
+
+def test_weights_are_learned_from_every_stretch(spark):
+    text = "the cat sat on the mat and the dog lay by the door " * 16000  # under one pass each
+    rows = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string").coalesce(1)
+    assert (mixing.fit(rows).weights != mixing.even_weights()).any()
