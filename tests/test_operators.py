@@ -137,3 +137,22 @@ def test_topics_count_an_event_once(spark):
     rows = spark.createDataFrame([(1, row(["NVIDIA", "台积电(TSM.N)"], ["AI算力"]))], f"seq long, sig {sig}")
     log = spark.createDataFrame([(1, at("2024-01-01T10:00:00"), row(["英伟达", "台积电"], ["算力"])), (2, at("2024-01-01T11:00:00"), row([], ["半导体"])), (3, at("2023-12-01T11:00:00"), row(["英伟达"], []))], f"event_id long, t timestamp, sig {sig}")
     assert events.topic_counts(rows, log, F.lit("2024-01-01 12:00:00").cast("timestamp")).first()["n"] == 1
+
+
+def test_titles_are_decided_in_steps(spark, monkeypatch):
+    """Steps of any size keep what the loop keeps; pairs come once each, and are all pairs."""
+    r = random.Random(5)
+    words = ["央行宣布降准释放资金", "半导体板块大涨", "公司签订合同", "alpha", "beta", "gamma"]
+    cores = sorted({"".join(r.choices(words, k=r.randint(1, 3))) + r.choice(["", "甲乙", "丙丁x", "12"]) for _ in range(90)}, key=lambda _: r.random())
+    sets = [set(c) for c in cores]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6 or any(len(x) >= 6 and x in y for x, y in ((cores[i], cores[j]), (cores[j], cores[i])))
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cores)], "seq long, title string")
+    titles = dedup.distinct_titles(rows)
+    pairs = [(p["a"], p["b"]) for p in dedup.title_pairs(titles).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(len(cores)) for j in range(i + 1, len(cores)) if near(i, j)] and pairs
+    kept = []
+    for i in range(len(cores)):
+        if not any(near(k, i) for k in kept):
+            kept.append(i)
+    monkeypatch.setattr(dedup, "FIRST", 4)
+    assert sorted(x["seq"] for x in dedup.first_alike(titles).collect()) == kept

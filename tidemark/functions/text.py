@@ -175,6 +175,12 @@ def _shares(a: Column, b: Column, length: int) -> Column:
     return (last > 0) & F.exists(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(a, i, F.lit(length))), lambda s: F.contains(b, s))
 
 
+def has_stretch(a: Column, b: Column, length: Column) -> Column:
+    """The same for a length (1 at least) that differs by row, with a and b bound. It stops at the first."""
+    last = F.char_length(a) - length + 1
+    return (last > 0) & (F.char_length(b) >= length) & F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.contains(b, F.substring(a, i, length)))
+
+
 def common_stretch(a: Column, b: Column) -> Column:
     """Length of the longest stretch that both texts hold. Rises one length at a time from each place, so it costs |a| + the answer tests."""
     return bound(F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")), lambda s: _stretch(s["a"], s["b"]))
@@ -225,3 +231,30 @@ def common_subsequence(a: Column, b: Column) -> Column:
     x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     first = F.char_length(x) >= F.char_length(y)
     return bound(F.struct(chars(F.when(first, x).otherwise(y)).alias("long"), chars(F.when(first, y).otherwise(x)).alias("short")), length)
+
+
+def stretches(text: Column, length: int) -> Column:
+    """All stretches of so many characters."""
+    places = F.when(F.char_length(text) >= length, F.sequence(F.lit(1), F.char_length(text) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(text, i, F.lit(length)))
+
+
+def bit_masks(codes: Column) -> Column:
+    """For each character, by its code, the places where it stands, as bits; of the first `_BITS` characters."""
+    first = F.slice(codes, 1, _BITS)
+    bits = F.transform(first, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("b")))
+    mask = lambda c: F.aggregate(F.filter(bits, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["b"]))
+    return F.map_from_entries(F.transform(F.array_distinct(first), lambda c: F.struct(c.alias("c"), mask(c).alias("m"))))
+
+
+def has_subsequence(a: Column, b: Column, length: Column) -> Column:
+    """Whether the longest common subsequence has so many characters. a, b: structs, bound, of the text, its number n of characters, their codes and `bit_masks`.
+
+    It has no more than the places of a text whose characters are in the other; else as `common_subsequence` by bits, with masks that are found once for each text.
+    """
+    places = lambda x, y: F.char_length(x) - F.char_length(F.call_function("translate", x, y, F.lit("")))
+    all_bits = F.call_function("shiftleft", F.lit(1).cast("long"), a["n"]) - 1
+    step = lambda v, c: bound(F.coalesce(F.try_element_at(a["masks"], c), F.lit(0).cast("long")), lambda m: F.when(m == 0, v).otherwise((v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(all_bits)))
+    by_bits = a["n"] - F.bit_count(F.aggregate(b["codes"], all_bits, step))
+    ta, tb = a["text"], b["text"]
+    return (places(ta, tb) >= length) & (places(tb, ta) >= length) & (F.when(a["n"] <= _BITS, by_bits).otherwise(common_subsequence(ta, tb)) >= length)
