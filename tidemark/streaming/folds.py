@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import stored
-from ..functions.signatures import all_entities, merged_signature, same_event, theme_keys
+from ..functions.signatures import all_entities, merged_profile, profile, same_profiles, theme_keys
 from ..functions.text import bound, overlapping
 
+#: What of a signature a fold reads.
 _SIGNATURE = "struct<stocks:array<string>,entities:array<string>,events:array<string>,numbers:array<string>,sectors:array<string>,title_norm:string>"
-_FIELDS = ("stocks", "entities", "events", "numbers", "sectors", "title_norm")
 
 
 def in_order(rows: DataFrame, by: tuple[str, ...], order: str, value: Column) -> DataFrame:
@@ -30,19 +30,22 @@ def grown_groups(rows: DataFrame, by: tuple[str, ...] = (), order: str = "place"
     A row joins the first group whose signature tells of the same event; the group's signature grows by the row's,
     so that it catches more. A chain A ~ B ~ C is one group where A and B together are like C.
     """
-    sig = F.struct(*[F.col(f"sig.{n}").alias(n) for n in _FIELDS])
+    sig = F.struct(*[F.col(f"sig.{n}").alias(n) for n in ("stocks", "entities", "events", "numbers", "sectors", "title_norm")])
     lists = in_order(rows, by, order, F.struct("seq", sig.alias("sig")))
+    lists = lists.withColumn("rows", F.transform("rows", lambda x: F.struct(x["seq"].alias("seq"), profile(x["sig"]).alias("sig"))))
 
     def step(groups: Column, x: Column) -> Column:
         def joined(at: Column) -> Column:
             new = F.array_append(groups, F.struct(x["sig"].alias("sig"), F.array(x["seq"]).alias("seqs")))
-            grow = lambda g, i: F.when(i == at - 1, F.struct(merged_signature(g["sig"], x["sig"]).alias("sig"), F.array_append(g["seqs"], x["seq"]).alias("seqs"))).otherwise(g)
+            grow = lambda g, i: F.when(i == at - 1, F.struct(merged_profile(g["sig"], x["sig"]).alias("sig"), F.array_append(g["seqs"], x["seq"]).alias("seqs"))).otherwise(g)
             return F.when(at == 0, new).otherwise(F.transform(groups, grow))
 
-        like = F.transform(groups, lambda g: F.coalesce(same_event(x["sig"], g["sig"]), F.lit(False)))
-        return bound(F.array_position(like, True), joined)
+        # n: groups gone through; at: the place of the first that is like the row, after which none is tested
+        place = lambda s, g: F.struct((s["n"] + 1).alias("n"), F.when((s["at"] == 0) & F.coalesce(same_profiles(x["sig"], g["sig"]), F.lit(False)), s["n"] + 1).otherwise(s["at"]).alias("at"))
+        return bound(F.aggregate(groups, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at")), place, lambda s: s["at"]), joined)
 
-    start = F.expr(f"CAST(array() AS array<struct<sig:{_SIGNATURE},seqs:array<bigint>>>)")
+    kind = lists.schema["rows"].dataType.elementType["sig"].dataType.simpleString()
+    start = F.expr(f"CAST(array() AS array<struct<sig:{kind},seqs:array<bigint>>>)")
     groups = lists.select(*by, F.posexplode(F.aggregate("rows", start, step, lambda g: g["seqs"])).alias("group", "seqs"))
     return groups.select(*by, "group", F.posexplode("seqs").alias("member", "seq"))
 
@@ -58,12 +61,13 @@ def best_of_groups(rows: DataFrame, by: tuple[str, ...] = (), order: str = "plac
 
 def peers(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """by, seq, same, topic and theme: the other rows of the round (few) that tell of the same event, share an entity or sector, share a theme."""
-    side = lambda n: rows.select(*by, F.col("seq").alias(n), F.col("sig").alias(f"s{n}"))
+    known = stored(rows.select(*by, "seq", "sig", profile(F.col("sig")).alias("profile"), theme_keys(F.col("sig")).alias("themes"), all_entities(F.col("sig")).alias("names")))
+    side = lambda n: known.select(*by, F.col("seq").alias(n), F.struct("sig.sectors", "profile", "themes", "names").alias(f"s{n}"))
     pairs = side("x").join(side("y"), list(by)) if by else side("x").crossJoin(F.broadcast(side("y")))
     a, b = F.col("sx"), F.col("sy")
-    topic = F.arrays_overlap(all_entities(a), all_entities(b)) | (F.size(overlapping(a["sectors"], b["sectors"])) > 0)
-    # a table of their own: same_event is large
-    told = stored(pairs.where("x <> y").select(*by, "x", "y", F.coalesce(same_event(a, b), F.lit(False)).alias("same"), F.coalesce(topic, F.lit(False)).alias("topic"), F.arrays_overlap(theme_keys(a), theme_keys(b)).alias("theme")))
+    topic = F.arrays_overlap(a["names"], b["names"]) | (F.size(overlapping(a["sectors"], b["sectors"])) > 0)
+    # a table of their own: the test is large
+    told = stored(pairs.where("x <> y").select(*by, "x", "y", F.coalesce(same_profiles(a["profile"], b["profile"]), F.lit(False)).alias("same"), F.coalesce(topic, F.lit(False)).alias("topic"), F.arrays_overlap(a["themes"], b["themes"]).alias("theme")))
     return told.groupBy(*by, F.col("x").alias("seq")).agg(*[F.collect_list(F.when(F.col(n), F.col("y"))).alias(n) for n in ("same", "topic", "theme")])
 
 
