@@ -75,6 +75,19 @@ def test_alignment_of_the_table(spark, sf):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == aligned(rows)
 
 
+def test_stretches_of_common_texts_are_known(spark, monkeypatch):
+    chunks = alignment.Chunks(*FILES)
+    assert chunks.cut("the cat and  the dog ") == [" the", " cat", " and", "  the", " dog "]
+    # each stretch once in a block; texts of several blocks, and blocks of several texts
+    rows = [(i, t) for i, t in enumerate(["the cat and the dog", "the dog and the cat 日本", "x\u2581y the cat", "the the the", "=" * 90 + " the cat"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = alignment.blocks(docs, *FILES, "doc_id", "text")
+    assert alignment.stretches(held).count() == len({c for _, t in rows if "\u2581" not in t for c in chunks.cut(t)})
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", 30)
+    got = alignment.measured(docs.repartition(4), *FILES)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == aligned(rows)
+
+
 def test_groups_give_the_tokens_back(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox — déjà vu, naïve 日本")], "doc_id long, text string")
     r = alignment.align(docs, *FILES).first()
