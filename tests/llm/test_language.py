@@ -227,6 +227,13 @@ def test_paths_share_no_prefix():
     assert all(abs(v - 1) < 1e-12 for v in under.values())  # what is under one end of a path shares it out
 
 
+def test_training_guesses_are_32_bits_wide():
+    counts = np.random.default_rng(3).integers(0, 10**6, (1024, 2), np.int32)
+    slots = np.arange(0, 1024, 3, dtype=np.uint32)
+    got = mixing.logistic_at(counts, slots)
+    assert got.dtype == np.float32 and np.allclose(got, mixing.logistic(counts[slots].astype(np.float64)), atol=1e-5)
+
+
 def test_weights_are_learned_from_every_stretch(spark):
     text = "the cat sat on the mat and the dog lay by the door " * 16000  # under one pass each
     rows = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string").coalesce(1)
