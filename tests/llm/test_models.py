@@ -219,6 +219,14 @@ def test_query_returns_the_ids_of_the_library(spark):
         assert (r.n_merge_ids, r.merge_ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), r.doc_id
 
 
+def test_words_end_where_no_piece_goes_on():
+    fresh, words = sentencepieces.Pieces(MODEL, merges=True), ["alpha", "beta", "gamma", "delta"]
+    fresh.encode([" ".join(f"{a}.\n{b}" for a in words for b in words)])
+    assert len(fresh.young) == 2 * len(words) + 2  # with and without a mark, the full stop and the line end
+    some = [*fresh.young, "é\0", "x" * 50, "日a", "▁"]
+    assert fresh.found_together(some) == [fresh.found(w) for w in some]
+
+
 def test_taking_merges_back_is_merging(pieces):
     rng = np.random.default_rng(3)
     known = list(pieces.text_of)

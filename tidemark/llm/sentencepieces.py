@@ -26,6 +26,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,16 @@ from .shared import as_array, give_back, passes
 MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Words whose paths a worker remembers, and characters of them, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 REMEMBERED_CHARS = 4 << 20
 #: Up to so many characters a word's merges are made one by one; in longer texts that takes the square of the length.
 SHORT = 40
 #: Pairs of pieces for which a worker remembers whether merging leaves them.
 MOST_PAIRS = 1_000_000
+#: New words that are relaxed in one pass, and what stands between them.
+TOGETHER, APART = 16_384, "\0"
 #: Bytes of text that are cut into words at a time.
 TEXTS_BYTES = 3 << 19
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Pieces:
@@ -81,6 +83,8 @@ class Pieces:
         self.merges = merges and self.made_by_merges
         self.text_of = {i: p.decode() for i, p in self.plain.items() if i not in self.byte_ids.values()}
         self.spans = {p[i : i + 2] for p in self.automaton for i in range(len(p) - 1)}
+        self.word = self.words_pattern()
+        self.apart = not any(APART in p for p in self.automaton)
         self.stays: dict[int, bool] = {}
         self.halves: dict[str, tuple[str, str] | tuple[()] | None] = {}
         # whose turn to merge comes first has the least number; characters are there before all merges
@@ -95,6 +99,20 @@ class Pieces:
         self.order = {p: t for p, t in self.turn.items() if len(p) > 1}
         self.id_of = {p: i for i, p in self.text_of.items()}
 
+    def words_pattern(self) -> re.Pattern:
+        """What finds words: runs of characters that pieces have side by side, directly or by way of others, with the marks before them; and runs of what no piece has beside anything. No piece spans their borders."""
+        group = {p: {p} for p in self.singles if p != MARK}
+        for a, b in self.spans:
+            if MARK not in (a, b):
+                one, other = (group.setdefault(c, {c}) for c in (a, b))
+                if one is not other:
+                    small, large = sorted((one, other), key=len)
+                    large |= small
+                    group.update(dict.fromkeys(small, large))
+        groups = {id(g): g for g in group.values() if len(g) > 1}.values()
+        alike = ["".join(map(re.escape, sorted(g))) for g in groups]
+        return re.compile("|".join([*(f"{MARK}*[{g}]+" for g in alike), f"{MARK}*[^{MARK}{''.join(alike)}]+", f"{MARK}+"]))
+
     def merged(self, text: str, fewest: int = 1) -> list[str]:
         """What merging leaves, or has left at `fewest` parts: again and again the neighbours whose joined piece scores best, the first ones first."""
         parts = list(text)
@@ -196,19 +214,19 @@ class Pieces:
         """The ids that merging leaves of known characters, by making the merges."""
         get, never = self.order.get, float("inf")
         parts = list(text)
-        turns = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        turns = [get(a + b, never) for a, b in pairwise(text)]
         while turns:
             first = min(turns)
             if first == never:
                 break
             i = turns.index(first)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            whole = parts[i] = parts[i] + parts.pop(i + 1)
             del turns[i]
             if i:
-                turns[i - 1] = get(parts[i - 1] + parts[i], never)
+                turns[i - 1] = get(parts[i - 1] + whole, never)
             if i < len(turns):
-                turns[i] = get(parts[i] + parts[i + 1], never)
-        return [self.id_of[p] for p in parts]
+                turns[i] = get(whole + parts[i + 1], never)
+        return [*map(self.id_of.__getitem__, parts)]
 
     def left(self, size: int, ids: list[int], matches: list[tuple[int, tuple[int, int, float]]]) -> list[int]:
         """The ids that merging leaves of `size` known characters: the best path's where merging leaves these, else they are searched for.
@@ -263,22 +281,47 @@ class Pieces:
         return ids[::-1]
 
     def learn(self, words: set[str]) -> None:
-        """Find the paths of words. A boundary that no piece spans parts a word for good, so a mark after a word is a word of its own there."""
-        young, old, spans = self.young, self.old, self.spans
-        parted = []
+        """Find the paths of words."""
+        young, old = self.young, self.old
+        fresh = []
         for word in words:
             got = old.get(word)
-            if got is None and len(word) > 1 and word[-2:] not in spans:
-                parted.append(word)
-                continue
-            young[word] = got or self.found(word)
-        for word in parted:
-            halves = []
-            for part in (word[:-1], word[-1]):
-                got = young.get(part) or old.get(part) or self.found(part)
-                young[part] = got
-                halves.append(got)
-            young[word] = tuple(x + y for x, y in zip(*halves, strict=True))
+            if got is None:
+                fresh.append(word)
+            else:
+                young[word] = got
+        for low in range(0, len(fresh), TOGETHER):
+            some = fresh[low : low + TOGETHER]
+            young.update(zip(some, self.found_together(some), strict=True))
+
+    def found_together(self, words: list[str]) -> list[tuple[bytes, float, bytes]]:
+        """`found` of each word; short ones of known characters are relaxed in one pass over all of them, as no piece reaches over the APART between them."""
+        known = self.singles.issuperset
+        short = [w for w in words if len(w) <= SHORT and known(w)] if self.apart else []
+        if not short:
+            return [self.found(w) for w in words]
+        text = APART + APART.join(short)
+        score, piece, lengths = [float("-inf")] * len(text), [0] * len(text), self.lengths
+        at = 0
+        for word in short:
+            score[at] = 0.0
+            at += len(word) + 1
+        for end, (length, i, own) in self.automaton.iter(text):
+            new = score[end - length] + own
+            if new > score[end]:
+                score[end], piece[end] = new, i
+        done, before = {}, 0
+        for word in short:
+            last = at = before + len(word)
+            ids = []
+            while at > before:
+                i = piece[at]
+                ids.append(i)
+                at -= lengths[i]
+            ids.reverse()
+            done[word] = array("I", ids).tobytes(), score[last], array("I", self.stepwise(word)).tobytes() if self.merges else b""
+            before = last + 1
+        return [done.get(w) or self.found(w) for w in words]
 
     def found(self, word: str) -> tuple[bytes, float, bytes]:
         ids, score, left = self.best(word)
@@ -287,7 +330,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[tuple[bytes, float, bytes, str]]:
         """For each text the ids of the best path as little-endian unsigned 32-bit integers, their score, the ids that merging leaves, and the normalised text."""
         normal = [self.normalize(t) for t in texts]
-        split = [_WORD.findall(n) if self.by_word else [n] * bool(n) for n in normal]
+        split = [self.word.findall(n) if self.by_word else [n] * bool(n) for n in normal]
         if len(self.young) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.old, self.young, self.chars = self.young, {}, 0
         fresh = set().union(*split) - self.young.keys()
