@@ -238,3 +238,10 @@ def test_weights_are_learned_from_every_stretch(spark):
     text = "the cat sat on the mat and the dog lay by the door " * 16000  # under one pass each
     rows = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string").coalesce(1)
     assert (mixing.fit(rows).weights != mixing.even_weights()).any()
+
+
+def test_blocks_end_before_they_weigh_on_a_worker(spark):
+    docs = spark.range(240, numPartitions=1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 500), i -> concat('w', id * 500 + i, 'q')), ' ') AS text")
+    held = alignment.blocks(docs, *FILES, "doc_id", "text").select(F.size("n_a").alias("n"), F.size("rows").alias("rows")).collect()
+    assert sum(r.n for r in held) >= 120_000 and sum(r.rows for r in held) == 240
+    assert max(r.n for r in held) < 80_000

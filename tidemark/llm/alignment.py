@@ -28,6 +28,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,7 +43,7 @@ from .shared import as_array, give_back, passes, written
 #: Stretches of text whose ids a worker remembers, and characters of them, in each of two generations.
 REMEMBERED, REMEMBERED_CHARS = 100_000, 3 << 20
 #: Different stretches of a block, and characters of its texts, at which it ends.
-BLOCK_STRETCHES, BLOCK_CHARS = 100_000, 3 << 20
+BLOCK_STRETCHES, BLOCK_CHARS = 50_000, 3 << 19
 #: Links of a group up to which they are listed one by one; of a larger group distinct id pairs are.
 LISTED = 64
 #: Id pairs whose counts are sent to all tasks, some 16 bytes each; beyond it they meet the texts by a shuffle.
@@ -244,6 +245,12 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
+@lru_cache(maxsize=1)
+def written_ids() -> list[str]:
+    """Each id of 16 bits with a comma, a bar and a semicolon behind it."""
+    return [f"{i}{c}" for i in range(1 << 16) for c in ",|;"]
+
+
 @dataclass
 class Groups:
     """A block's texts and the groups of its stretches."""
@@ -296,7 +303,7 @@ class Groups:
         at = runs(self.starts.reshape(-1), sizes)
         mark = np.zeros(len(at), np.int64)
         mark[np.cumsum(sizes) - 1] = np.tile([1, 2], len(self.counts))
-        words = [f"{i}{c}" for i in range(int(self.ids.max(initial=-1)) + 1) for c in ",|;"]
+        words = written_ids()
         told = [words[i] for i in (self.ids[at] * 3 + mark).tolist()]
         ends = np.append(0, np.cumsum(self.counts.sum(axis=1)))[self.first].tolist()
         stretches = ["".join(told[low:high]) for low, high in zip(ends, ends[1:], strict=False)]
