@@ -290,3 +290,12 @@ def test_chunks_are_the_whole_text():
     odd = ["ΣΑΣ. Foo's x", "áb É ﬁ İstanbul K", "don't  stop...\tnow\x1cthen x 12,5 a.b.c U.S., <|endoftext|> hi<|startoftext|>.", "  ", "", "a\r\nb\x0b c", "日本語。テスト, 12345.", "é. ́x l'été. x'S", "Ünï, ö. ß! ñ; É:"]
     for _ in range(2):  # unknown, then remembered
         assert [np.frombuffer(i, "<u4").tolist() for i in packing.encode_texts(odd, path)] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_no_chunks_are_remembered_between_partitions():
+    known = packing.ChunkIds(queries.tokenizer_file("word_bpe_49k.json"))
+    first = known.of(["the word, the word.", "thing"])
+    known.of(["another"])
+    known.rest()
+    assert not known.young and not known.old and not known.chars
+    assert known.of(["the word, the word.", "thing"]) == first

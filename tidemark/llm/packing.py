@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .shared import as_array, give_back, ordered_prefix, passes, written
 
 #: Bytes of text that are cut into chunks at a time; the larger, the fewer chunks are looked up again.
-TEXTS_BYTES = 3 << 20
+TEXTS_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 #: Chunks between spaces whose ids a worker remembers, and characters of them, in each of two generations.
 REMEMBERED = 160_000
@@ -99,9 +99,8 @@ class ChunkIds:
             young[c] = young[stem] + young[c[-1]]
 
     def rest(self) -> None:
-        """Between partitions one generation is kept."""
-        if self.young:
-            self.old, self.young, self.chars = self.young, {}, 0
+        """Between partitions nothing is kept: workers live on while other stages need the memory."""
+        self.old, self.young, self.chars = {}, {}, 0
 
     def of(self, texts: list[str]) -> list[bytes]:
         # str.lower is the tokenizer's own lower-casing but for the sigma that ends a word
