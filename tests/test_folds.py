@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.signatures import all_entities, chain_key, merged_signature, same_event, theme_keys
 from tidemark.functions.text import overlapping
 from tidemark.operators import events
-from tidemark.plans import views
+from tidemark.plans import state_queries, views
 from tidemark.streaming import folds
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +127,9 @@ def test_the_sixth_row_of_a_topic_is_stopped(spark):
 def test_empty_rounds(spark):
     rows = cases(spark, 0).where("seq < 0")
     assert folds.best_of_groups(rows, ("round",)).count() == 0
+
+
+def test_no_row_goes_out_that_any_sent_event_told(spark):
+    told = events.already_sent(state_queries._signed(spark, SF), views.event_log(spark, SF), state_queries.as_of())
+    sent = state_queries.admitted_events(spark, SF).where("gate = 'sent'")
+    assert told.count() > 0 and sent.join(told, "seq").count() == 0
