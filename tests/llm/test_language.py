@@ -227,6 +227,11 @@ def test_paths_share_no_prefix():
     assert all(abs(v - 1) < 1e-12 for v in under.values())  # what is under one end of a path shares it out
 
 
+def test_every_bit_of_a_word_is_guessed():
+    codes = mixing.Codes.of([(i, 9000 // (i + 1)) for i in range(6000)], 500, 100000, 7000)
+    assert sum(2.0 ** -n for n in codes.paths[1].tolist()) == 1 and not codes.shares.any()
+
+
 def test_training_guesses_are_32_bits_wide():
     counts = np.random.default_rng(3).integers(0, 10**6, (1024, 2), np.int32)
     slots = np.arange(0, 1024, 3, dtype=np.uint32)
